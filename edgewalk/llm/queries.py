@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import media, quality, secrets, toxicity
 from .common import held_out, table
 
 
@@ -18,6 +18,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.encode_media(table(spark, sf_dir, "documents")).drop("n_bytes")
+    return media.media_digests(media.read_media(stored))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
@@ -25,8 +30,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "hits")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_toxicity)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_media_columns, op5_toxicity, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
