@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, quality, secrets, simhash, toxicity
+from . import fingerprints, media, quality, secrets, simhash, toxicity
 from .common import held_out, table
 
 
@@ -34,13 +34,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return fingerprints.compare_with_next(docs, fingerprints.entropy_ranks(docs))
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_media_columns, op5_toxicity, op8_secret_scan, op10_simhash_components)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_media_columns, op5_toxicity, op8_secret_scan, op9_document_fingerprints, op10_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:

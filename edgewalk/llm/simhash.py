@@ -264,7 +264,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 #: Five-word shingles of similarity 0.8, as bits of 256: pairs at or above it differ in at most so many bits of
 #: two-word fingerprints (the tree's, whose noise is smaller) and of five-word ones. PAIR_SHARE is the share of
 #: differing two-word bits that the tables are laid out for.
-PAIR_RADIUS, FIVE_RADIUS, PAIR_SHARE = 30, 47, 0.1
+PAIR_RADIUS, FIVE_RADIUS, PAIR_SHARE = 42, 45, 0.1
 
 
 def near_copy_components(docs: DataFrame) -> DataFrame:
