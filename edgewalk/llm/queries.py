@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, fingerprints, media, quality, secrets, simhash, toxicity, urls
+from . import chats, fingerprints, media, mixing, pieces, quality, secrets, simhash, toxicity, urls
 from .common import held_out, table
 
 
@@ -18,6 +18,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.scheduled(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return rows.select("row.doc_id", "source", "block", "place", "slot", "release", "deadline")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.PieceModel.load()
+    decoded = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_ids", "ids", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_media(table(spark, sf_dir, "documents")).drop("n_bytes")
     return media.media_digests(media.read_media(stored))
@@ -57,7 +68,7 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_media_columns, op5_toxicity, op6_url_filter, op7_chat_format, op8_secret_scan, op9_document_fingerprints, op10_simhash_components)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_mixing_sources, op3_sentencepiece, op4_media_columns, op5_toxicity, op6_url_filter, op7_chat_format, op8_secret_scan, op9_document_fingerprints, op10_simhash_components)}
 
 
 def oracle_sql() -> dict[str, str]:

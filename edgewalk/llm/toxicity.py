@@ -272,3 +272,16 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(hits)], ["doc_id", "score", "predicted", "hits"])
 
     return over_batches(texts(docs), score, "doc_id long, score double, predicted int, hits long")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
+    """The rows and columns of ``docs`` whose text scores under the threshold; null texts stay."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        x = np.array([m.features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
+        return batch.filter(pa.array(m.score(x) < threshold))
+
+    return over_batches(docs, keep, docs.schema)
