@@ -1 +1 @@
-"""Part of edgewalk."""
+"""Place for streams; no operator of this library is one yet."""
