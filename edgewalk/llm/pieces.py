@@ -21,7 +21,9 @@ library). Texts are never cut. The model file is read on the driver and broadcas
 from __future__ import annotations
 
 import re
+import string
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,7 +36,7 @@ from .common import over_batches, small_batches, texts, tokenizer_path
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Most parts whose paths a worker keeps, most characters of such a part, most pairs whose weights it keeps.
-KEPT, KEPT_CHARS, KEPT_PAIRS = 300_000, 64, 1_000_000
+KEPT, KEPT_CHARS, KEPT_PAIRS = 800_000, 64, 1_000_000
 
 # Field numbers and kinds of the model's protocol buffer.
 NORMAL, UNKNOWN, BYTE, UNUSED, USER = 1, 2, 6, 5, 4
@@ -129,6 +131,8 @@ class PieceTransducer:
         self.longest = max(map(len, self.arcs), default=1)
         self.pairs: dict[int, bool] = {}
         self.paths: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.joints = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.arcs):
             raise ValueError("pieces with a space or line end inside; parts can't be cut there")
         if m.kind == BPE:
@@ -222,14 +226,29 @@ class PieceTransducer:
 
     def part(self, part: str) -> bytes:
         """Packed ids (int32) of a part: a space in front is implied unless it begins with a line end."""
-        ids = self.shortest("\n" + part[1:] if part[:1] == "\n" else SPACE + part)
-        packed = np.array(ids, "<i4").tobytes()
+        stem = part.rstrip(string.punctuation)
+        if stem and len(stem) < len(part) and stem != "\n" and part[len(stem) - 1 : len(stem) + 1] not in self.joints:
+            # No piece spans the two characters, so the paths of both sides may be computed, and kept, apart.
+            packed = (self.paths.get(stem) or self.part(stem)) + self.tail(part[len(stem) :])
+        else:
+            ids = self.shortest("\n" + part[1:] if part[:1] == "\n" else SPACE + part)
+            packed = array("i", ids).tobytes()
         if len(part) <= KEPT_CHARS:
             if len(self.paths) >= KEPT:
                 self.paths.clear()
             self.paths[part] = packed
         return packed
 
+    def tail(self, marks: str) -> bytes:
+        packed = self.tails.get(marks)
+        if packed is None:
+            packed = array("i", self.shortest(marks)).tobytes()
+            if len(marks) <= KEPT_CHARS:
+                if len(self.tails) >= KEPT:
+                    self.tails.clear()
+                self.tails[marks] = packed
+        return packed
+
     def encode(self, text: str) -> bytes:
         """Packed ids (int32) of a text."""
         if not text:
