@@ -275,13 +275,13 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """The rows and columns of ``docs`` whose text scores under the threshold; null texts stay."""
+    """The rows and columns of ``docs`` whose text scores under the threshold or has no matched clause."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         x = np.array([m.features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
-        return batch.filter(pa.array(m.score(x) < threshold))
+        return batch.filter(pa.array((m.score(x) < threshold) | ~x.any(axis=1)))
 
     return over_batches(docs, keep, docs.schema)
