@@ -85,20 +85,21 @@ class Coder:
 
 
 def keyed_turns(conversations: DataFrame, coder: Coder) -> DataFrame:
-    """One row for each turn: conv_id, depth, key, tokens and mask (binary), and the position of its first token."""
+    """One row for each turn: conv (conv_id as text), conv_id, depth, key, tokens and mask, and its first token's position."""
     spark = conversations.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(coder)
-    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    names = ["conv_id", "depth", "key", "tokens", "mask", "position", "size"]
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")
+    rows = conversations.select(conv, "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
+    names = ["conv", "conv_id", "depth", "key", "tokens", "mask", "position", "size"]
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches):
-        conv, depth, key, position = object(), 0, b"", 0
+        conv, depth, key, position = None, 0, b"", 0
         for batch in batches:
             out = []
-            for c, role, text in zip(*(batch[n].to_pylist() for n in ("conv_id", "role", "text")), strict=True):
+            for c, conv_id, role, text in zip(*(batch[n].to_pylist() for n in ("conv", "conv_id", "role", "text")), strict=True):
                 if c != conv:
                     conv, depth, key, position = c, 0, b"", 0
                 r, t = role.encode(), text.encode()
@@ -107,12 +108,12 @@ def keyed_turns(conversations: DataFrame, coder: Coder) -> DataFrame:
                 mask = bytearray(len(ids))
                 if role == "assistant":
                     mask[a:b] = b"\1" * (b - a)
-                out.append((c, depth, key, np.array(ids, "<i4").tobytes(), bytes(mask), position, len(ids)))
+                out.append((c, conv_id, depth, key, np.array(ids, "<i4").tobytes(), bytes(mask), position, len(ids)))
                 depth, position = depth + 1, position + len(ids)
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], names)
 
-    return dealt.mapInArrow(run, "conv_id long, depth long, key binary, tokens binary, mask binary, position long, size long")
+    return dealt.mapInArrow(run, "conv string, conv_id long, depth long, key binary, tokens binary, mask binary, position long, size long")
 
 
 def pack(conversations: DataFrame, coder: Coder) -> DataFrame:
@@ -122,17 +123,23 @@ def pack(conversations: DataFrame, coder: Coder) -> DataFrame:
     rank, start in the stream, position, length) in the order of positions.
     """
     turns = checkpointed(keyed_turns(conversations, coder))
-    paths = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "key"))), lambda x: x["key"]).alias("path"))
+    paths = turns.groupBy("conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "key"))), lambda x: x["key"]).alias("path"))
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_convs = paths.repartitionByRange(parts, "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    ranks = checkpointed(sorted_convs.select("conv_id", F.monotonically_increasing_id().alias("rank")))
-    named = turns.withColumnRenamed("conv_id", "c").join(ranks, F.col("c").eqNullSafe(F.col("conv_id"))).drop("c")
-    owners = named.groupBy("key").agg(F.min("rank").alias("owner"))
-    owned = checkpointed(named.join(owners, "key").select("rank", "conv_id", "owner", "depth", "position", "size", F.when(F.col("owner") == F.col("rank"), F.struct("depth", "tokens", "mask")).alias("own")))
-    per_conv = owned.groupBy("rank", "conv_id").agg(
-        F.sum(F.when(F.col("own").isNotNull(), F.col("size")).otherwise(0)).alias("length"),
-        F.coalesce(F.min(F.when(F.col("own").isNotNull(), F.col("position"))), F.max(F.col("position") + F.col("size"))).alias("position"),
-        F.array_sort(F.collect_list("own")).alias("turns"),
+    sorted_convs = paths.repartitionByRange(parts, "path", "conv").sortWithinPartitions("path", "conv")
+    ranks = checkpointed(sorted_convs.select("conv", F.monotonically_increasing_id().alias("rank")))
+    named = turns.select("conv", "key", "depth", "position", "size").join(ranks, "conv")
+    # Written, so that the join below may split the key of a turn that most conversations share.
+    owners = checkpointed(named.groupBy("key").agg(F.min("rank").alias("owner")))
+    owned = checkpointed(named.join(owners, "key").select("rank", "conv", "owner", "depth", "position", "size"))
+    # Keys chain, so a conversation's own turns are its last ones; only these tokens travel, and once.
+    firsts = owned.groupBy("conv", "rank").agg(
+        F.sum(F.when(F.col("owner") == F.col("rank"), F.col("size")).otherwise(0)).alias("length"),
+        F.coalesce(F.min(F.when(F.col("owner") == F.col("rank"), F.col("position"))), F.max(F.col("position") + F.col("size"))).alias("position"),
+    )
+    bodies = turns.select("conv", "conv_id", F.col("position").alias("at"), "depth", "tokens", "mask")
+    per_conv = firsts.join(bodies, "conv").groupBy("conv").agg(
+        F.first("rank").alias("rank"), F.first("conv_id").alias("conv_id"), F.first("length").alias("length"), F.first("position").alias("position"),
+        F.array_sort(F.collect_list(F.when(F.col("at") >= F.col("position"), F.struct("depth", "tokens", "mask")))).alias("turns"),
     )
     part = F.shiftright("rank", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
