@@ -27,6 +27,8 @@ K = 15
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 8
 BLOCK = 1024
+#: Repeated words are counted within stretches of so many words, so that long texts don't count as repetitive.
+STRETCH = 2000
 #: Texts are processed in pieces of so many bytes.
 PIECE = 1 << 22
 
@@ -68,9 +70,11 @@ def _count(data: np.ndarray, counts: np.ndarray) -> None:
     at += _LENGTHS
     counts[at] += np.count_nonzero(word[1:] == word[:-1])
     counts[at + 1] += np.count_nonzero(word[2:] == word[:-2])
-    distinct = len(np.unique(word[:2000]))
-    counts[at + 2] += len(word[:2000]) - distinct
-    counts[at + 3] += distinct
+    for begin in range(0, len(word), STRETCH):
+        some = word[begin : begin + STRETCH]
+        distinct = len(np.unique(some))
+        counts[at + 2] += len(some) - distinct
+        counts[at + 3] += distinct
 
 
 def term_rates(column: pa.Array) -> np.ndarray:
