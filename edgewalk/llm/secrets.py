@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, then strings that a tokenizer's vocabulary compresses badly.
 
 Base kinds: ``assign`` (a value behind password, token and the like), ``access`` (AKIA keys) and ``hex`` (24 or more
-lower-case hex digits). The method adds ``token`` spans: runs of 20 or more characters of the base64 and URL alphabets
-that hold letters and digits and average under ``CHARS_PER_TOKEN`` characters a token. Known digests (hex of the usual
-lengths), UUIDs, and identifiers (names whose parts are words or short numbers) are excluded, and so is what a base
-span covers.
+lower-case hex digits). The method adds ``token`` spans: stretches of 20 or more characters within runs of the base64
+and URL alphabets that hold a letter and average under ``CHARS_PER_TOKEN`` characters a token. Whole runs, their parts
+(between / = _ - +) and all windows of 20 characters are tried. Known digests (hex of the usual lengths) and UUIDs are
+excluded, and a stretch of a run neither begins nor ends with a name: a short number, or a word that the vocabulary itself
+compresses well. What a base span covers is left out of a stretch, and the rest of it is reported.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. No text is cut. The vocabulary file is
 read on the driver and broadcast (under 1 MB); its path is a parameter.
@@ -33,10 +34,15 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"api")
 DIGESTS = (32, 40, 48, 56, 64, 96, 128)
-UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\Z")
+KNOWN = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|" + "|".join(f"[0-9A-Fa-f]{{{n}}}" for n in DIGESTS) + r")(?![A-Za-z0-9])"
+)
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEX = re.compile(r"[0-9A-Fa-f]+\Z")
-NAME = re.compile(r"(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}|[A-Za-z]{1,2}[0-9]{0,2})(?:[-_/=+]+(?:[A-Z]?[a-z]{3,}|[A-Z]{3,}|[0-9]{1,4}|[A-Za-z]{1,2}[0-9]{0,2}))*\Z")
+PART = re.compile(r"[A-Za-z0-9]+")
+SHORT = re.compile(r"[0-9]{1,4}\Z|[A-Za-z]{1,2}[0-9]{0,2}\Z")
+WORD = re.compile(r"[A-Z]?[a-z]{3,}\Z|[A-Z]{3,}\Z")
+#: Letters that are tokenised at a time, since the time for one word grows faster than its length.
+SLICE = 1024
 
 _IS_HEX, _IS_TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _IS_HEX[[ord(c) for c in "0123456789abcdef"]] = True
@@ -52,22 +58,88 @@ class Vocabulary:
     def __getstate__(self):
         return {"data": self.data, "_encoding": None}
 
-    def count(self, text: str) -> int:
+    def lengths(self, text: str) -> np.ndarray:
+        """Bytes of each token of a text."""
         if self._encoding is None:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, self.data.splitlines())}
             self._encoding = tiktoken.Encoding("secret-scan", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        return len(self._encoding.encode_ordinary(text))
-
-
-def looks_random(text: str, vocabulary: Vocabulary, limit: float = CHARS_PER_TOKEN) -> bool:
-    """Few characters a token, and neither a known digest nor an identifier."""
-    if not re.search("[0-9]", text) or not re.search("[A-Za-z]", text):
-        return False
-    if UUID.match(text) or (HEX.match(text) and len(text) in DIGESTS) or NAME.match(text):
-        return False
-    return len(text) < limit * vocabulary.count(text)
+            self._bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+            self._bytes[list(ranks.values())] = [len(r) for r in ranks]
+        return self._bytes[[i for at in range(0, len(text), SLICE) for i in self._encoding.encode_ordinary(text[at : at + SLICE])]]
+
+
+def random_stretches(text: str, vocabulary: Vocabulary, limit: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Stretches of a run that have few characters a token, without known digests and UUIDs; merged and in order."""
+    out, begin = [], 0
+    for stop, after in [*((m.start(), m.end()) for m in KNOWN.finditer(text)), (len(text), len(text))]:
+        if stop - begin >= SHORTEST_TOKEN:
+            out += [(begin + a, begin + b) for a, b in _stretches(text[begin:stop], vocabulary, limit)]
+        begin = after
+    return out
+
+
+def _stretches(text: str, vocabulary: Vocabulary, limit: float) -> list[tuple[int, int]]:
+    size = vocabulary.lengths(text)
+    end = np.cumsum(size)
+    start = end - size
+    short, word, part = np.zeros(len(size), bool), np.zeros(len(size), bool), np.full(len(size), -1)
+    for k, m in enumerate(PART.finditer(text)):
+        i, j = np.searchsorted(start, [m.start(), m.end()])
+        short[i:j] = bool(SHORT.match(m[0]))
+        word[i:j] = bool(WORD.match(m[0])) and len(m[0]) >= limit * (j - i)
+        part[i:j] = k
+    inside = part >= 0
+    odd = np.flatnonzero(inside & ~short & ~word)
+    if not len(odd):
+        return []
+    # Pairs of first and last token: windows, parts (without separators) and the whole run (with them).
+    last = np.searchsorted(end[odd], start[odd] + SHORTEST_TOKEN)
+    some = np.flatnonzero(last < len(odd))
+    edge = np.flatnonzero(np.r_[True, part[odd][1:] != part[odd][:-1]])
+    first = np.r_[odd[some], odd[edge]]
+    final = np.r_[odd[last[some]], odd[np.append(edge[1:], len(odd)) - 1]]
+    chars, tokens = np.cumsum(np.r_[0, size * inside]), np.cumsum(np.r_[0, inside])
+    keep = (chars[final + 1] - chars[first] < limit * (tokens[final + 1] - tokens[first])) & (end[final] - start[first] >= SHORTEST_TOKEN)
+    found = list(zip(start[first[keep]].tolist(), end[final[keep]].tolist(), strict=True))
+    if len(text) < limit * len(size):
+        rest = np.flatnonzero(inside & ~word)
+        found.append((int(start[rest[0]]), int(end[rest[-1]])))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return [(a, b) for a, b in out if b - a >= SHORTEST_TOKEN and re.search("[A-Za-z]", text[a:b])]
+
+
+def _without(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What ``covers`` leave of a stretch."""
+    out = []
+    for c, d in sorted(covers):
+        if c > a:
+            out.append((a, min(c, b)))
+        a = max(a, d)
+        if a >= b:
+            break
+    return [(x, y) for x, y in [*out, (a, b)] if y > x]
+
+
+def token_spans(text: str, base: list[tuple[int, int]], vocabulary: Vocabulary, limit: float = CHARS_PER_TOKEN) -> list[tuple[int, int]]:
+    """Random stretches of a run outside its base spans; what is left between them is searched again."""
+    out, todo = [], [(0, len(text))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < SHORTEST_TOKEN:
+            continue
+        hits = [(a + x, a + y) for x, y in random_stretches(text[a:b], vocabulary, limit)]
+        held = [(c, d) for c, d in base if c < b and a < d]
+        out += [p for h in hits for p in _without(*h, held) if PART.search(text, *p)]
+        if hits or held:
+            todo += _without(a, b, hits + held)
+    return sorted(out)
 
 
 def _runs(data: np.ndarray, at: np.ndarray, allowed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,11 +181,9 @@ def scan(column: pa.Array, vocabulary: Vocabulary, limit: float = CHARS_PER_TOKE
     for i in np.unique(doc_of(np.concatenate(hints))):
         out[i] = base_spans(column[int(i)].as_py())
     for i, a, b in zip(doc_of(tokens), tokens, token_ends, strict=True):
-        if looks_random(data[a:b].tobytes().decode(), vocabulary, limit):
-            start = int((data[at[i] : a] & 0xC0 != 0x80).sum())
-            end = start + int(b - a)
-            if not any(s < end and start < e for s, e, _ in out[i]):
-                out[i].append((start, end, "token"))
+        start = int((data[at[i] : a] & 0xC0 != 0x80).sum())
+        base = [(s - start, e - start) for s, e, kind in out[i] if kind != "token" and s < start + b - a and start < e]
+        out[i] += [(start + s, start + e, "token") for s, e in token_spans(data[a:b].tobytes().decode(), base, vocabulary, limit)]
     return [order(s) for s in out]
 
 
