@@ -35,6 +35,8 @@ RADIUS = 4
 #: Most nodes of a tree, and the mean number of nodes of a shard that the tables aim at.
 SHARD = 8192
 MEAN_SHARD = 64
+#: The same for sampled tables, of which there are more the smaller their shards are.
+SAMPLED_SHARD = 256
 #: Pairs of query and tree node that are compared at a time.
 FRONTIER = 1 << 20
 
@@ -82,6 +84,24 @@ def fingerprint(text: str, shingles: tuple[int, ...], wide: bool) -> bytes:
     return b"".join(x.to_bytes(8, "big") for x in out)
 
 
+def copy_print(text: str) -> tuple[bytes, bytes, int]:
+    """256 bits over the distinct five-word shingles of a text, a digest of their set, and their number."""
+    h = np.unique(shingle_hashes(text.encode().lower().split(), 5))
+    bits = b"".join(majority(remixed(h, m)).to_bytes(8, "big") for m in MULTIPLIERS)
+    return bits, xxhash.xxh3_128_digest(h.tobytes()), len(h)
+
+
+def copy_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, same (binary; equal for equal sets of shingles) and size of every document."""
+    small_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits, same, size = zip(*map(copy_print, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bits, pa.binary()), pa.array(same, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "fingerprint", "same", "size"])
+
+    return over_batches(texts(docs), run, "doc_id long, fingerprint binary, same binary, size long")
+
+
 def simhashes(docs: DataFrame, shingles: tuple[int, ...] = (4,), wide: bool = False) -> DataFrame:
     """doc_id and fingerprint (binary) of every document."""
     small_batches(docs.sparkSession)
@@ -103,8 +123,11 @@ def exact_tables(nodes: int, bits: int = 64, radius: int = RADIUS) -> list[list[
 
 
 def sampled_tables(nodes: int, bits: int, share: float, missed: float = 0.002) -> list[list[int]]:
-    """Random bit positions; a pair whose bits differ with probability ``share`` is missed with probability ``missed``."""
-    width = max(16, math.ceil(math.log2(max(nodes, 1) / MEAN_SHARD)))
+    """Random bit positions; a pair whose bits differ with probability ``share`` is missed with probability ``missed``.
+
+    Whatever the number of nodes: it sets the width, and the width sets the number of tables.
+    """
+    width = max(8, math.ceil(math.log2(max(nodes, 1) / SAMPLED_SHARD)))
     n = math.ceil(math.log(missed) / math.log(1 - (1 - share) ** width))
     rng = np.random.default_rng(SEED)
     return [sorted(rng.permutation(bits)[:width].tolist()) for _ in range(n)]
@@ -247,13 +270,13 @@ def links(nodes: DataFrame, tables: list[list[int]], radius: int, tree_words: in
 
 
 def components(prints: DataFrame, tables_for, radius: int, tree_words: int = 1, check_radius: int = 0) -> DataFrame:
-    """doc_id, fingerprint and component_id for every row of ``prints`` (doc_id, fingerprint)."""
+    """The columns of ``prints`` (doc_id, fingerprint and others) and component_id for each of its rows."""
     prints = checkpointed(prints)
     nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
     named = nodes.where("node is not null")
     found = connected_components(links(named, tables_for(named.count()), radius, tree_words, check_radius))
     of_node = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_node, "fingerprint", "left").select("doc_id", "fingerprint", "component_id")
+    return prints.join(of_node, "fingerprint", "left").select("doc_id", "fingerprint", *[c for c in prints.columns if c not in ("doc_id", "fingerprint")], "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -261,16 +284,19 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return components(simhashes(docs), exact_tables, RADIUS)
 
 
-#: Five-word shingles of similarity 0.8, as bits of 256: pairs at or above it differ in at most so many bits of
-#: two-word fingerprints (the tree's, whose noise is smaller) and of five-word ones. PAIR_SHARE is the share of
-#: differing two-word bits that the tables are laid out for.
-PAIR_RADIUS, FIVE_RADIUS, PAIR_SHARE = 42, 45, 0.1
+#: A pair of similarity 0.8 differs in 38.8 of 256 bits on the mean (256 acos(2 s / (1 + s)) / pi for sets of one size),
+#: with a standard deviation of 5.7. The radius is four of them above the mean; NEAR_SHARE, which the tables are laid
+#: out for, one. On the mean over such pairs, tables miss under 1 % at up to a billion nodes, and less above 0.8.
+NEAR_RADIUS, NEAR_SHARE = 62, 44.5 / 256
+
+
+def near_copy_tables(nodes: int) -> list[list[int]]:
+    return sampled_tables(nodes, 256, NEAR_SHARE)
 
 
 def near_copy_components(docs: DataFrame) -> DataFrame:
-    """Groups of documents whose five-word shingles have a similarity of about 0.8 or more."""
-    prints = simhashes(docs, (2, 5), wide=True)
-    return components(prints, lambda n: sampled_tables(n, 256, PAIR_SHARE), PAIR_RADIUS, len(MULTIPLIERS), FIVE_RADIUS)
+    """Groups of documents whose distinct five-word shingles have a similarity of about 0.8 or more."""
+    return components(copy_prints(docs), near_copy_tables, NEAR_RADIUS, len(MULTIPLIERS)).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -304,6 +305,28 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id in (50, 51) for r in kept) == 1
 
 
+def test_near_copy_tables_at_every_size():
+    """Of pairs of similarity 0.8 under 1 % meet in no table or are outside the radius, whatever the number of nodes."""
+    share = np.arccos(2 * 0.8 / 1.8) / np.pi
+    chance = np.array([math.comb(256, d) * share**d * (1 - share) ** (256 - d) for d in range(257)])
+    assert chance[simhash.NEAR_RADIUS + 1 :].sum() < 0.001
+    for nodes in (10, 10**5, 10**7, 10**9):
+        tables = simhash.near_copy_tables(nodes)
+        met = (1 - np.arange(257) / 256) ** len(tables[0])
+        assert (chance * (1 - met) ** len(tables)).sum() < 0.01, nodes
+
+
+def test_block_edits_of_similarity_over_four_fifths_go(spark):
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    rows = []
+    for i in range(60):
+        base = words(400)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-40] + words(40)))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.doc_id % 2 == 0 for r in kept) == 60 and sum(r.doc_id % 2 for r in kept) <= 1
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (200, 201)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
