@@ -37,6 +37,8 @@ SHARD = 8192
 MEAN_SHARD = 64
 #: The same for sampled tables, of which there are more the smaller their shards are.
 SAMPLED_SHARD = 256
+#: Most documents and shingles (about) of a chunk whose texts are compared exactly.
+CHUNK_DOCS, CHUNK_SHINGLES = 1024, 1 << 18
 #: Pairs of query and tree node that are compared at a time.
 FRONTIER = 1 << 20
 
@@ -284,7 +286,9 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return components(simhashes(docs), exact_tables, RADIUS)
 
 
-#: A pair of similarity 0.8 differs in 38.8 of 256 bits on the mean (256 acos(2 s / (1 + s)) / pi for sets of one size),
+#: Least share of common five-word shingles (distinct ones) among all of two near copies.
+SIMILARITY = 0.8
+#: A pair of that similarity differs in 38.8 of 256 bits on the mean (256 acos(2 s / (1 + s)) / pi for sets of one size),
 #: with a standard deviation of 5.7. The radius is four of them above the mean; NEAR_SHARE, which the tables are laid
 #: out for, one. On the mean over such pairs, tables miss under 1 % at up to a billion nodes, and less above 0.8.
 NEAR_RADIUS, NEAR_SHARE = 62, 44.5 / 256
@@ -294,9 +298,84 @@ def near_copy_tables(nodes: int) -> list[list[int]]:
     return sampled_tables(nodes, 256, NEAR_SHARE)
 
 
+def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (row, least row) of the pairs of sets with ``SIMILARITY``; of roles 1 and 2, only across."""
+    size = np.array([len(x) for x in sets], np.int64)
+    at = np.append(0, np.cumsum(size))
+    _, items = np.unique(np.concatenate(sets), return_inverse=True)
+    groups, flags = Groups(len(sets)), np.zeros(len(items) + 1, np.int8)
+    for i in range(len(sets)):
+        fit = (groups.label != groups.label[i]) & ((role == 0) | (role != role[i]))
+        fit &= np.minimum(size, size[i]) >= SIMILARITY * np.maximum(size, size[i])
+        fit[: i + 1] = False
+        if not fit.any():
+            continue
+        flags[items[at[i] : at[i + 1]]] = 1
+        other = np.flatnonzero(fit)
+        taken = items if len(other) == len(sets) else items[np.repeat(at[other] - np.append(0, np.cumsum(size[other])[:-1]), size[other]) + np.arange(size[other].sum())]
+        common = np.add.reduceat(flags[taken], np.append(0, np.cumsum(size[other])[:-1]), dtype=np.int64) if len(taken) else np.zeros(len(other), np.int64)
+        flags[items[at[i] : at[i + 1]]] = 0
+        other = other[common >= SIMILARITY * (size[i] + size[other] - common)]
+        groups.link(np.full(len(other), i), other)
+    tied = np.flatnonzero(groups.label != np.arange(len(sets)))
+    return tied, groups.label[tied]
+
+
+def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (a, b) that keep every component of the pairs with ``SIMILARITY`` within the groups of ``members``.
+
+    ``members`` are component_id, node (a doc_id), same and chunks. Groups of many documents or shingles are cut in
+    chunks, and every pair of chunks meets.
+    """
+    small_batches(docs.sparkSession)
+    chosen = members.select(F.col("node").alias("doc_id"), "component_id", "same", "chunks")
+    found = texts(docs).join(chosen, "doc_id").select("doc_id", "component_id", "same", "chunks", "text")
+
+    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t.encode().lower().split(), 5)).tobytes() for t in batch["text"].to_pylist()]
+        own = np.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["same"].to_pylist(), strict=True)], bool)
+        columns = [batch["doc_id"], batch["component_id"], batch["chunks"], pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["node", "component_id", "chunks", "set"]).filter(pa.array(own))
+
+    sets = over_batches(found, shingle, "node long, component_id long, chunks int, set binary")
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, mine).alias("one"), F.greatest(x, mine).alias("two"), F.when(x == mine, 0).when(x > mine, 1).otherwise(2).alias("role")))
+    spread = sets.select("node", "component_id", "set", F.explode(pairs).alias("p")).select("component_id", "p.*", "node", "set")
+    keys = ["component_id", "one", "two"]
+
+    def compare(rows: list[tuple]) -> pa.RecordBatch:
+        node = np.array([r[3] for r in rows], np.int64)
+        a, b = alike([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[5] for r in rows]))
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in (*keys, "node", "set", "role")), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield compare(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield compare(held)
+
+    return spread.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+
+
 def near_copy_components(docs: DataFrame) -> DataFrame:
-    """Groups of documents whose distinct five-word shingles have a similarity of about 0.8 or more."""
-    return components(copy_prints(docs), near_copy_tables, NEAR_RADIUS, len(MULTIPLIERS)).select("doc_id", "component_id")
+    """doc_id and component_id: groups of documents that links of ``SIMILARITY`` or more hold together.
+
+    Groups of near fingerprints are candidates only. Within each, every pair of texts is held to the exact similarity
+    of its distinct five-word shingles; texts with equal sets of shingles are one.
+    """
+    found = checkpointed(components(copy_prints(docs), near_copy_tables, NEAR_RADIUS, len(MULTIPLIERS)))
+    kinds = checkpointed(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("component_id"), F.first("size").alias("size")))
+    parts = F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES), F.lit(1)).cast("int").alias("chunks")
+    several = kinds.where("node is not null").groupBy("component_id").agg(F.count("*").alias("n"), parts).where("n > 1").drop("n")
+    members = kinds.where("node is not null").join(several, "component_id").select("component_id", "node", "same", "chunks")
+    linked = connected_components(exact_links(docs, members))
+    of_kind = kinds.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return found.select("doc_id", "same").join(of_kind, "same").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

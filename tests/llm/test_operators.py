@@ -327,6 +327,23 @@ def test_block_edits_of_similarity_over_four_fifths_go(spark):
     assert sum(r.doc_id % 2 == 0 for r in kept) == 60 and sum(r.doc_id % 2 for r in kept) <= 1
 
 
+def test_repeated_lines_and_chains_are_checked_exactly(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    line, base = words(10) * 20, words(400)
+    rows = [(i, " ".join(line + words(60))) for i in range(20)]
+    rows += [(30 + k, " ".join(base[: 400 - 100 * k] + words(100 * k))) for k in range(2)]
+    rows += [(40 + k, " ".join(base[: 390 - k] + words(k))) for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    near = [(a, b) for a, b in itertools.combinations(shingles, 2) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    for docs in (simhash.CHUNK_DOCS, 2):
+        monkeypatch.setattr(simhash, "CHUNK_DOCS", docs)
+        got = {r.doc_id: r.component_id for r in simhash.near_copy_components(frame).collect()}
+        assert got == plain_components(shingles, near)
+    assert len(set(got.values())) == 22
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (200, 201)], "a long, b long")
     got = {r.node: r.component for r in components.connected_components(edges).collect()}
