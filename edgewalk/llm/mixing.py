@@ -1,15 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The rows of a source, in the order of a hash of their id, are cut in blocks of ``BLOCK_ROWS``. A source with q of the
-P slots of a period releases its i-th block of the period at floor((i-1) P / q) and must place it by ceil(i P / q);
-in every slot the released block with the earliest deadline goes next. All windows are met, so at every slot a source
-has been given within one block of its share. When a source has no blocks left, the others share its weight, and a new
-phase begins; all blocks are placed once and none is repeated.
+The rows of a source, in the order of a hash of their id, are cut in blocks of ``BLOCK_ROWS``. A source with the share
+w of all weights releases its i-th block of a phase at slot floor((i-1) / w) and must place it by ceil(i / w); in every
+slot the released block with the earliest deadline goes next. All windows are met, so at every slot of a phase a source
+has been given within one block of its share. Shares are exact to 2^-32. When a source has no blocks left, the others
+share its weight, and a new phase begins; all blocks are placed once and none is repeated.
 
-A period's table is the same for every period of a phase, so a block's slot is arithmetic on its number: the driver
-computes one table for each phase (at most sources x ``PERIOD`` numbers, whatever the number of rows) and broadcasts
-it. Numbers of rows within their source come from hash buckets of bounded size, each numbered in its own task behind
-the sum of the buckets before it, so a source with most rows is spread over many tasks.
+The driver places the blocks one after the other: 24 bytes for each block of 64 rows. They are joined to the rows in
+pieces of ``PERIOD`` blocks, by broadcast up to ``BROADCAST_BLOCKS``. Numbers of rows within their source come from
+hash buckets of bounded size, each numbered in its own task behind the sum of the buckets before it, so a source with
+most rows is spread over many tasks.
 
 A null source counts as the source ''. Without weights, a source's weight is the power ``TEMPERATURE`` of its rows. A
 source whose weight is missing or not positive gets the least share. Ties of the hash are ordered by id and text hash;
@@ -20,12 +20,18 @@ sources raise ValueError.
 from __future__ import annotations
 
 import heapq
+import itertools
+from array import array
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 64
 PERIOD = 1024
+#: Shares are multiples of one part in so many.
+SHARES = 1 << 32
+BROADCAST_BLOCKS = 1 << 20
 TEMPERATURE = 0.5
 MOST_SOURCES = 256
 #: Rows of a bucket that one task numbers.
@@ -46,39 +52,43 @@ def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def period_table(quota: dict[str, int], period: int) -> dict[str, list[tuple[int, int, int]]]:
-    """(slot, release, deadline) of each source's blocks within a period, by earliest deadline first."""
+def turns(quota: dict[str, int], period: int) -> Iterator[tuple[int, str, int, int]]:
+    """(slot, source, release, deadline) of one block after the other, by earliest deadline first, without end."""
     window = lambda s, i: (i * period // quota[s], -(-(i + 1) * period // quota[s]))
     waiting = sorted((*window(s, 0), s, 0) for s in quota)
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in quota}
-    for slot in range(period):
+    for slot in itertools.count():
         while waiting and waiting[0][0] <= slot:
             release, deadline, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (deadline, s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
         if slot >= deadline:
             raise ValueError("a deadline was missed")
+        yield slot, s, release, deadline
+        heapq.heappush(waiting, (*window(s, i + 1), s, i + 1))
+
+
+def period_table(quota: dict[str, int], period: int) -> dict[str, list[tuple[int, int, int]]]:
+    """(slot, release, deadline) of each source's blocks within a period."""
+    out: dict[str, list[tuple[int, int, int]]] = {s: [] for s in quota}
+    for slot, s, release, deadline in itertools.islice(turns(quota, period), period):
         out[s].append((slot, release, deadline))
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, (*window(s, i + 1), s, i + 1))
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """For each phase and source: blocks [first, end), the phase's first slot, and the source's period table."""
-    left, done, base, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        table = period_table(quotas({s: weights.get(s, 0.0) for s in left}, period), period)
-        ends = {s: (n - 1) // len(table[s]) * period + table[s][(n - 1) % len(table[s])][0] + 1 for s, n in left.items()}
-        length = min(ends.values())
-        for s in left:
-            used = length // period * len(table[s]) + sum(slot < length % period for slot, _, _ in table[s])
-            out.append({"source": s, "first": done[s], "end": done[s] + used, "base": base, "table": table[s]})
-            done[s] += used
-            left[s] -= used
-        base += length
+def placements(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, array]:
+    """Slot, release and deadline, one after the other, of every block of each source."""
+    left, base = {s: n for s, n in blocks.items() if n > 0}, 0
+    out = {s: array("q") for s in left}
+    while left:
+        for slot, s, release, deadline in turns(quotas({s: weights.get(s, 0.0) for s in left}, SHARES), SHARES):
+            out[s].extend((base + slot, base + release, base + deadline))
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                base += slot + 1
+                break
     return out
 
 
@@ -90,9 +100,11 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_ro
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     weights = weights or {s: n**TEMPERATURE for s, n in counts.items()}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, weights)
-    rows = [(p["source"], p["first"], p["end"], p["base"], *map(list, zip(*p["table"], strict=True))) for p in plan]
-    table = spark.createDataFrame(rows, "source string, first long, end long, base long, slots array<int>, releases array<int>, deadlines array<int>")
+    plan = placements({s: -(-n // block_rows) for s, n in counts.items()}, weights)
+    rows = [(s, k // (3 * PERIOD), *(p[k + c : k + 3 * PERIOD : 3].tolist() for c in range(3))) for s, p in plan.items() for k in range(0, len(p), 3 * PERIOD)]
+    table = spark.createDataFrame(rows, "source string, piece long, slots array<long>, releases array<long>, deadlines array<long>")
+    if sum(map(len, plan.values())) <= 3 * BROADCAST_BLOCKS:
+        table = F.broadcast(table)
     sizes = spark.createDataFrame([(s, max(1, -(-n // BUCKET_ROWS))) for s, n in counts.items()], "source string, buckets long")
     dealt = named.join(F.broadcast(sizes), "source").withColumn("bucket", F.pmod("hash", F.col("buckets"))).drop("buckets")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,12 +112,9 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block_ro
     inside = Window.partitionBy("source", "bucket").orderBy("hash", "row.doc_id", F.xxhash64("row"))
     numbered = dealt.join(offsets, ["source", "bucket"]).withColumn("n", F.col("offset") + F.row_number().over(inside) - 1)
     blocks = numbered.select("row", "source", F.floor(F.col("n") / block_rows).alias("block"), (F.col("n") % block_rows).alias("place"))
-    of_phase = blocks.join(F.broadcast(table), (blocks.source == table.source) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end"))).drop(table.source)
-    k = F.col("block") - F.col("first")
-    q = F.size("slots")
-    start = F.col("base") + F.floor(k / q) * PERIOD
-    at = lambda name: (start + F.get(name, (k % q).cast("int"))).alias(name[:-1])
-    return of_phase.select("row", "source", "block", at("slots"), at("releases"), at("deadlines"), "place")
+    placed = blocks.withColumn("piece", F.floor(F.col("block") / PERIOD)).join(table, ["source", "piece"])
+    at = lambda name: F.get(name, (F.col("block") % PERIOD).cast("int")).alias(name[:-1])
+    return placed.select("row", "source", "block", at("slots"), at("releases"), at("deadlines"), "place")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

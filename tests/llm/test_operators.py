@@ -132,6 +132,19 @@ def test_schedule_deviates_by_less_than_a_block():
         assert np.abs(np.cumsum(given) - quota[s] / mixing.PERIOD * np.arange(1, mixing.PERIOD + 1)).max() < 1
 
 
+@pytest.mark.parametrize("weights", [{f"s{i:02}": 0.5 if i == 0 else 0.5 / 19 for i in range(20)}, {"a": 0.9999, "b": 0.0001}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}])
+def test_schedule_deviates_from_the_weights_by_less_than_a_block(weights):
+    n = 60 * mixing.PERIOD
+    blocks = mixing.placements({s: n for s in weights}, weights)
+    end = min(b[3 * n - 3] for b in blocks.values())
+    for s, b in blocks.items():
+        slots = np.array(b[::3])
+        given = np.zeros(end + 1)
+        given[slots[slots <= end]] = 1
+        assert np.abs(np.cumsum(given) - weights[s] * np.arange(1, end + 2)).max() < 1.001
+    assert sorted(x for b in blocks.values() for x in b[::3]) == list(range(n * len(weights)))
+
+
 def test_too_many_sources(spark):
     with pytest.raises(ValueError):
         mixing.scheduled(spark.range(mixing.MOST_SOURCES + 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("source")))
