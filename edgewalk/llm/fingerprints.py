@@ -4,7 +4,7 @@ A feature is a window of ``WINDOW`` bytes of UTF-8. Its entropy is the collision
 number of equal pairs in it. A first pass over all documents counts how frequent each entropy is; the rarer, the lower
 a window's rank. Windows under ``LEAST_BITS`` of entropy come last. Among every ``NEIGHBOURS`` windows in a row the
 leftmost of least rank gains a point; windows with ``POPULAR`` points, and all windows of texts under ``DENSE`` bytes,
-are selected. Their hashes set 5 of 2048 bits of
+are selected; if a text has none, all windows with a point. Their hashes set 5 of 2048 bits of
 a Bloom filter; a filter takes 160 features, then the next one begins. The likeness of two digests is, for each filter
 of the one with fewer filters, its best overlap of bits beyond chance with a filter of the other, on the mean.
 
@@ -113,7 +113,10 @@ def features(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     whole = _starts(at, WINDOW + NEIGHBOURS - 1)[: len(least)]
     points = np.bincount(least[whole] & ((1 << 40) - 1), minlength=n)
     dense = np.repeat(np.diff(at) < DENSE, np.diff(at))[:n]
-    chosen = np.flatnonzero((points >= POPULAR) | (dense & ok))
+    taken = (points >= POPULAR) | (dense & ok)
+    some = np.add.reduceat(taken, at[:-1], dtype=np.int64) > 0
+    taken |= (points > 0) & ~np.repeat(some, np.diff(at))[:n]
+    chosen = np.flatnonzero(taken)
     words = x[chosen[:, None] + np.arange(WINDOW)].view("<u8").astype(np.uint64)
     h = np.zeros(len(chosen), np.uint64)
     for c in range(words.shape[1]):
@@ -141,6 +144,8 @@ def digests(parts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 (no more common bits than by chance) to 1 (equal bits)."""
+    if np.array_equal(a, b):
+        return 1.0
     if len(a) > len(b):
         a, b = b, a
     x, y = a.view(np.uint64), b.view(np.uint64)

@@ -253,6 +253,17 @@ def test_next_document_and_edit(docs):
     assert np.median(near) > np.median(apart) + 0.1
 
 
+def test_periodic_texts_have_features():
+    rank = fingerprints.rarity(np.arange(fingerprints.PAIRS))
+    texts = [b"x" * 300, b"=-" * 200, bytes(range(97, 123)) * 20, b"y" * 5000]
+    prints = fingerprints.digests(texts, rank)
+    assert all(p.any() for p in prints) and len({p.tobytes() for p in prints}) == len(texts)
+    for text, own in zip(texts, prints, strict=True):
+        alone = fingerprints.digests([text], rank)[0]
+        assert (alone == own).all() and fingerprints.likeness(own, alone) == 1
+    assert max(fingerprints.likeness(a, b) for a, b in itertools.combinations(prints, 2)) < 0.2
+
+
 def plain_simhash(text):
     low = text.translate({c: c + 32 for c in range(65, 91)})
     words = re.findall(r"[^\x20\x09-\x0D]+", low)
