@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches, tokenizer_path
+from .common import checkpointed, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -87,7 +87,6 @@ class Coder:
 def keyed_turns(conversations: DataFrame, coder: Coder) -> DataFrame:
     """One row for each turn: conv (conv_id as text), conv_id, depth, key, tokens and mask, and its first token's position."""
     spark = conversations.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(coder)
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv")
     rows = conversations.select(conv, "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -161,7 +160,6 @@ def read_back(segments: DataFrame, coder: Coder) -> DataFrame:
     Columns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
     """
     spark = segments.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(coder)
     segments = checkpointed(segments)
     own = F.array(F.struct("position", "start", "length", F.col("rank").alias("owner")))

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; long texts make batches of a few MB at this count.
-BATCH_ROWS = 512
+#: Most rows and bytes (above one row) that a batch function gets at a time.
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,31 +23,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests on one machine) a temporary folder stands in.
+    Where it names none, a temporary folder stands in if all runs on one machine; a cluster must name one.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """Apply a batch function with a bounded number of rows in each batch."""
+    """Apply a batch function to ``BATCH_ROWS`` rows or ``BATCH_BYTES`` at a time (one row at least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                yield fn(batch.slice(at, BATCH_ROWS))
+            at = 0
+            while at < batch.num_rows:
+                n = min(BATCH_ROWS, batch.num_rows - at)
+                while n > 1 and batch.slice(at, n).nbytes > BATCH_BYTES:
+                    n //= 2
+                yield fn(batch.slice(at, n))
+                at += n
 
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ``BATCH_ROWS`` rows, so that long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def held_out(doc_id: str = "doc_id"):
     """True for rows that no model may learn from: crc32 of the id as text, mod 5, is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))

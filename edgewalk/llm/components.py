@@ -11,21 +11,26 @@ from .common import checkpointed
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` (a, b) reaches.
 
-    Every round takes the least label of all neighbours and then the label's own label, so the number of rounds grows
-    with the logarithm of the longest path. Sums of a node with many neighbours are aggregated before the shuffle.
-    Loops count; edges with a null end don't. Labels are written to the checkpoint folder each round; nothing is
-    collected but whether labels still change.
+    Every node has a parent, at first its least neighbour or itself. A round takes the least grandparent among a node's
+    neighbours; the node, and its parent too (so that whole trees are hooked, not leaves), take it if it is less, and
+    every node takes its own grandparent if that is less. Trees halve their depth each round while they merge, so in
+    practice rounds grow with the logarithm of the longest path (see the tests for paths, also those with a minimum at
+    both ends). When no parent changes, every parent is the least node of its component.
+
+    Least values of a node with many neighbours are aggregated before the shuffle; joins on a hub are left to the
+    engine's splitting of skewed joins. Loops count; edges with a null end don't. Parents are written to the checkpoint
+    folder each round; nothing is collected but whether one has changed.
     """
     sound = edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     both = checkpointed(sound.unionByName(sound.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component"))
+    parents = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
     while True:
-        labels = checkpointed(labels)
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels.node == near.a).select("node", "component", F.least("component", "near").alias("low"))
-        parent = labels.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        jumped = lower.join(parent, "low").select("node", F.least("low", "up").alias("component"), (F.least("low", "up") < F.col("component")).alias("moved"))
-        jumped = checkpointed(jumped)
-        labels = jumped.select("node", "component")
-        if not jumped.where("moved").take(1):
-            return labels
+        above = parents.select(F.col("node").alias("up"), F.col("up").alias("grand"))
+        known = parents.select("node", "up").join(above, "up")
+        near = both.join(known.select(F.col("node").alias("b"), "grand"), "b").groupBy("a").agg(F.min("grand").alias("near"))
+        met = known.join(near, known["node"] == near["a"]).select("node", "up", "grand", "near")
+        hooks = met.groupBy(F.col("up").alias("root")).agg(F.min("near").alias("hook"))
+        low = F.least("up", "grand", "near", "hook")
+        parents = checkpointed(met.join(hooks, met["node"] == hooks["root"], "left").select("node", low.alias("up"), (low < F.col("up")).alias("moved")))
+        if not parents.where("moved").take(1):
+            return parents.select("node", F.col("up").alias("component"))

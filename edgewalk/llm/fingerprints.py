@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, over_batches, small_batches, texts
+from .common import BATCH_ROWS, over_batches, texts
 
 WINDOW = 16
 NEIGHBOURS = 32
@@ -160,7 +160,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def entropy_ranks(docs: DataFrame) -> np.ndarray:
     """Ranks from the entropies of all windows of all documents; the driver gets one row for each entropy."""
-    small_batches(docs.sparkSession)
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = entropy_counts([t.encode() for t in batch["text"].to_pylist()])
@@ -175,7 +174,6 @@ def entropy_ranks(docs: DataFrame) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """doc_id and the chained filters (binary, 256 bytes each) of every document."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -210,7 +208,6 @@ def in_order(docs: DataFrame) -> DataFrame:
 
 def compare_with_next(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     """Fingerprints of every text and of its edit, whose second half is the next document's beginning, and likenesses."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(rank)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 

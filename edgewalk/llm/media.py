@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, small_batches, texts
+from .common import over_batches, texts
 
 WIDTH = 64
 LEVEL = 6
@@ -126,7 +126,6 @@ def cosine_hash(rows: np.ndarray) -> bytes:
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the PNG in ``media``."""
-    small_batches(docs.sparkSession)
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.encode() for t in batch["text"].to_pylist()]
@@ -137,7 +136,6 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 def read_media(media: DataFrame) -> DataFrame:
     """The columns of ``media`` but n_bytes, with status, n_bytes, payload (binary) and cosine_hash (binary) as read."""
-    small_batches(media.sparkSession)
 
     def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, small_batches, texts, tokenizer_path
+from .common import over_batches, texts, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -277,7 +277,6 @@ class PieceTransducer:
 
 def encode_pieces(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(PieceTransducer(model or PieceModel.load()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -292,7 +291,6 @@ def encode_pieces(docs: DataFrame, model: PieceModel | None = None) -> DataFrame
 
 def decode_pieces(encoded: DataFrame, model: PieceModel | None = None) -> DataFrame:
     """The columns of ``encoded`` (doc_id, ids) with the decoded text and its number of ids; null ids count as none."""
-    small_batches(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(PieceTransducer(model or PieceModel.load()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

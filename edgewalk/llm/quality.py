@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import labelled_sample, over_batches, small_batches, texts, utf8
+from .common import labelled_sample, over_batches, texts, utf8
 
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 4096
@@ -127,7 +127,6 @@ class NeighbourModel:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> NeighbourModel:
     """Fit on at most ``bound`` labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
 
     def rates(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = term_rates(batch["text"])
@@ -150,7 +149,6 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
 
 def score_quality(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted (1 if score >= threshold) for every document."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:

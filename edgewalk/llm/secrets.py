@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_batches, small_batches, texts, tokenizer_path, utf8
+from .common import over_batches, texts, tokenizer_path, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHARS_PER_TOKEN = 2.1
@@ -194,7 +194,6 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
 
 def scan_secrets(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_PER_TOKEN) -> DataFrame:
     """doc_id and spans (array of start, end, kind), by start, then kind."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -217,7 +216,6 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def redact_secrets(docs: DataFrame, vocabulary: str | None = None, limit: float = CHARS_PER_TOKEN) -> DataFrame:
     """The rows and columns of ``docs``, with secrets in ``text`` replaced; null texts stay null."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
     where = docs.columns.index("text")
 

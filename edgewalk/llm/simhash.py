@@ -1,19 +1,26 @@
-"""SimHash near-dedup: fingerprints, shards keyed by shared bits, and a BK-tree in every shard.
+"""SimHash near-dedup: fingerprints, shards of nodes that share a key, and a BK-tree in every shard.
 
-Equal fingerprints are one node. Each node goes to several shards; a table of shards is given by bit positions, its
-shards by the values of those bits. For a radius r and B blocks, one table for each choice of B - r blocks finds every
-pair within r (the pigeonhole principle), so the result is exact; B grows with the number of nodes so that shards stay
-small. In a shard the nodes form a BK-tree whose children are keyed by their Hamming distance to the parent; a query
-follows only edges whose key differs from its distance by the radius at most. A shard of more than ``SHARD`` nodes is
-cut in chunks: the tree of every chunk (of bounded size) is sent to the queries of every later chunk. A shard emits a
-spanning forest of its links, not its pairs; connected components over those edges give the groups.
+Rows with equal fingerprints (near copies: equal sets of shingles) are one node. Each node goes to several shards. In a
+shard the nodes form a BK-tree whose children are keyed by their Hamming distance to the parent; a query follows only
+edges whose key differs from its distance by the radius at most. A shard emits a spanning forest of its links, not its
+pairs; connected components over those edges give the groups.
 
-Trees are shipped with the shuffle to the shards that query them: a tree of all fingerprints would grow with the data,
-so it is never broadcast.
+``simhash_components`` is exact: for a radius r and B blocks of bits, one table of shards for each choice of B - r blocks
+finds every pair within r (the pigeonhole principle), and B grows with the number of nodes so that shards stay small.
+``near_copy_components`` finds texts by the similarity of their sets of shingles; there a shard holds the nodes whose
+least shingle, by one of ``TABLES`` hash orders, is the same. A pair of similarity s shares a shard with probability
+1 - (1 - s)^8 (0.999997 at 0.8), whatever the number of documents.
+
+A group of more nodes than its bound is cut in chunks. The first chunk's tree meets all chunks; what it links is one
+component already, so only the rest, chunk by chunk, meets all chunks again. No pair that could join two components is
+left out, and a large group of near copies costs time in proportion to its size. Trees and chunks travel with the
+shuffle: trees of all fingerprints would grow with the data, so they are not broadcast. A task reads its shards one
+after the other and holds one bounded stretch of them.
 
 Texts are never cut. Null texts count as empty; texts without words have fingerprint 0 and link like any other. Ties
-don't matter: a group is named by its smallest doc_id. Rows with a null doc_id are returned, but name no group. An
-empty table gives an empty result. Other columns are not read.
+don't matter: a group is named by its smallest doc_id. Rows with a null doc_id are returned, but name no group. Rows
+that share a doc_id but not their text are nodes of their own. An empty table gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -23,27 +30,30 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, over_batches, small_batches, texts
+from .common import checkpointed, over_batches, texts
 from .components import connected_components
 
 SEED = 42
 RADIUS = 4
-#: Most nodes of a tree, and the mean number of nodes of a shard that the tables aim at.
+#: Most nodes of a chunk of a shard, and the mean number of nodes of a shard that the exact tables aim at.
 SHARD = 8192
 MEAN_SHARD = 64
-#: The same for sampled tables, of which there are more the smaller their shards are.
-SAMPLED_SHARD = 256
 #: Most documents and shingles (about) of a chunk whose texts are compared exactly.
 CHUNK_DOCS, CHUNK_SHINGLES = 1024, 1 << 18
-#: Pairs of query and tree node that are compared at a time.
+#: Pairs of query and tree node that are compared at a time; rows and bytes of shards that are held at a time.
 FRONTIER = 1 << 20
+HELD_ROWS, HELD_BYTES = 1 << 15, 1 << 25
 
 # Odd multipliers that make further 64-bit hashes from one.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
+#: The same for the orders in which shingles are least; each order is a table of shards.
+ORDERS = tuple(m ^ 0x5851F42D4C957F2C for m in MULTIPLIERS) + tuple(m ^ 0x14057B7EF767814E for m in MULTIPLIERS)
+TABLES = len(ORDERS)
 
 
 def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
@@ -86,27 +96,32 @@ def fingerprint(text: str, shingles: tuple[int, ...], wide: bool) -> bytes:
     return b"".join(x.to_bytes(8, "big") for x in out)
 
 
-def copy_print(text: str) -> tuple[bytes, bytes, int]:
-    """256 bits over the distinct five-word shingles of a text, a digest of their set, and their number."""
+def copy_print(text: str) -> tuple[bytes, bytes, int, np.ndarray]:
+    """256 bits over the distinct five-word shingles of a text, a digest of their set, their number, and the least ones.
+
+    A text without words has one shingle of its own, so that it shares shards with its like.
+    """
     h = np.unique(shingle_hashes(text.encode().lower().split(), 5))
     bits = b"".join(majority(remixed(h, m)).to_bytes(8, "big") for m in MULTIPLIERS)
-    return bits, xxhash.xxh3_128_digest(h.tobytes()), len(h)
+    some = h if len(h) else np.zeros(1, np.uint64)
+    least = np.array([remixed(some, m).min() for m in ORDERS])
+    return bits, xxhash.xxh3_128_digest(h.tobytes()), len(h), least.view(np.int64)
 
 
 def copy_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, same (binary; equal for equal sets of shingles) and size of every document."""
-    small_batches(docs.sparkSession)
+    """doc_id, own (a hash of the text), node (equal for equal sets of shingles), fingerprint, size and least of every row."""
+    names = ["doc_id", "own", "node", "fingerprint", "size", "least"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, same, size = zip(*map(copy_print, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(bits, pa.binary()), pa.array(same, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "fingerprint", "same", "size"])
+        bits, same, size, least = zip(*map(copy_print, batch["text"].to_pylist()), strict=True) if batch.num_rows else ((), (), (), ())
+        columns = [pa.array(same, pa.binary()), pa.array(bits, pa.binary()), pa.array(size, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["own"], *columns], names)
 
-    return over_batches(texts(docs), run, "doc_id long, fingerprint binary, same binary, size long")
+    return over_batches(texts(docs).withColumn("own", F.xxhash64("text")), run, "doc_id long, own long, node binary, fingerprint binary, size long, least array<long>")
 
 
 def simhashes(docs: DataFrame, shingles: tuple[int, ...] = (4,), wide: bool = False) -> DataFrame:
     """doc_id and fingerprint (binary) of every document."""
-    small_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([fingerprint(t, shingles, wide) for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "fingerprint"])
@@ -124,17 +139,6 @@ def exact_tables(nodes: int, bits: int = 64, radius: int = RADIUS) -> list[list[
     return tables
 
 
-def sampled_tables(nodes: int, bits: int, share: float, missed: float = 0.002) -> list[list[int]]:
-    """Random bit positions; a pair whose bits differ with probability ``share`` is missed with probability ``missed``.
-
-    Whatever the number of nodes: it sets the width, and the width sets the number of tables.
-    """
-    width = max(8, math.ceil(math.log2(max(nodes, 1) / SAMPLED_SHARD)))
-    n = math.ceil(math.log(missed) / math.log(1 - (1 - share) ** width))
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.permutation(bits)[:width].tolist()) for _ in range(n)]
-
-
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
@@ -213,39 +217,106 @@ class Groups:
                 self.label = self.label[self.label]
 
 
-def _shard_links(rows: pa.Table, tree_words: int, radius: int, check_radius: int) -> pa.RecordBatch:
-    """Spanning edges of the links within shards; a row's role is 0 (tree and query), 1 (tree) or 2 (query)."""
-    order = [("tab", "ascending"), ("key", "ascending"), ("one", "ascending"), ("two", "ascending")]
-    rows = rows.sort_by([*order, ("node", "ascending")]).combine_chunks()
-    cols = [rows[c].to_numpy() for c, _ in order]
-    shard = np.cumsum(np.r_[False, np.logical_or.reduce([c[1:] != c[:-1] for c in cols])]) if len(rows) else np.zeros(0, int)
-    raw = rows["fingerprint"].combine_chunks()
-    codes = np.frombuffer(b"".join(raw.to_pylist()), ">u8").astype(np.uint64).reshape(len(rows), -1)
-    role, node = rows["role"].to_numpy(), rows["node"].to_numpy()
-    groups = Groups(len(rows))
-    in_tree, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
-    forest = BKForest(codes[in_tree, :tree_words], shard[in_tree])
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for q, t in forest.within(codes[asks, :tree_words], shard[asks], radius):
-        a, b = asks[q], in_tree[t]
-        keep = (a < b) | (role[a] == 2)
-        if tree_words < codes.shape[1]:
-            keep[keep] = distance(codes[a[keep], tree_words:], codes[b[keep], tree_words:]) <= check_radius
-        held.append((a[keep], b[keep]))
-        if sum(len(x) for x, _ in held) > FRONTIER:
-            groups.link(*map(np.concatenate, zip(*held, strict=True)))
-            held = []
-    if held:
-        groups.link(*map(np.concatenate, zip(*held, strict=True)))
-    tied = np.flatnonzero(groups.label != np.arange(len(rows)))
-    return pa.RecordBatch.from_arrays([pa.array(node[tied]), pa.array(node[groups.label[tied]])], ["a", "b"])
+def _groups(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each row's group; rows are sorted by ``keys``."""
+    new = np.zeros(max(len(rows) - 1, 0), bool)
+    for c in keys:
+        values = rows[c].combine_chunks()
+        new |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(np.r_[False, new])[: len(rows)]
 
 
-def links(nodes: DataFrame, tables: list[list[int]], radius: int, tree_words: int = 1, check_radius: int = 0) -> DataFrame:
-    """Edges (a, b) between nodes (node, fingerprint) that keep every component of the links within the radius.
+def by_group(rows: DataFrame, keys: list[str], find) -> DataFrame:
+    """Edges (a, b) that ``find`` makes of whole groups; a task holds one group, or a stretch of small ones, at a time."""
 
-    The first ``tree_words`` words of 64 bits are held to ``radius``, the others, if any, to ``check_radius``.
+    def run(batches):
+        held, n, size = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            n, size = n + batch.num_rows, size + batch.nbytes
+            if n > HELD_ROWS or size > HELD_BYTES:
+                got = pa.Table.from_batches(held).combine_chunks()
+                border = int(np.searchsorted(group := _groups(got, keys), group[-1]))
+                if border:
+                    yield find(got.slice(0, border), group[:border])
+                rest = got.slice(border).combine_chunks()
+                held, n, size = rest.to_batches(), rest.num_rows, rest.nbytes
+        if n:
+            got = pa.Table.from_batches(held).combine_chunks()
+            yield find(got, _groups(got, keys))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a binary, b binary")
+
+
+def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFrame:
+    """Edges (a, b) that keep every component of the links that ``find`` sees within groups of ``rows``.
+
+    ``large`` has the ``keys`` of groups above the bound and the number of their ``chunks``. ``find`` gets groups with
+    roles: 0 (tree and query), 1 (tree only) or 2 (query only).
     """
+    meeting = [*keys, "one", "two"]
+    any_large = bool(large.take(1))
+    placed = (rows.join(large, keys, "left") if any_large else rows.withColumn("chunks", F.lit(1))).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    at = lambda one, two, role: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), role.alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
+    zero, columns = F.lit(0), rows.columns
+    leaders = F.transform(upto(F.col("chunks")), lambda x: at(zero, x, F.when(x == 0, 0).otherwise(1)))
+    dealt = placed.withColumn("meet", F.explode(F.when(F.col("mine") == 0, leaders).otherwise(F.array(at(zero, F.col("mine"), zero)))))
+    first = by_group(dealt.select(*columns, "meet.*"), meeting, find)
+    if not any_large:
+        return first
+    first = checkpointed(first)
+    labelled = placed.where("chunks > 1").join(connected_components(first), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    sizes = labelled.groupBy(*keys, "chunks", "label").agg(F.count("*").alias("n")).groupBy(*keys, "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rests = checkpointed(sizes.where("all > most").select(*keys, "main", F.ceil((F.col("all") - F.col("most")) * F.col("chunks") / F.col("all")).cast("int").alias("rests")))
+    if not rests.take(1):
+        return first
+    again = labelled.join(rests, keys)
+    asks = again.withColumn("meet", F.explode(F.transform(upto(F.col("rests")), lambda x: at(x, F.col("mine"), F.lit(2)))))
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests"))
+    trees = again.where("label <> main").withColumn("meet", F.explode(F.transform(upto(F.col("chunks")), lambda x: at(own, x, F.lit(1)))))
+    return first.unionByName(by_group(asks.unionByName(trees).select(*columns, "meet.*"), meeting, find))
+
+
+def near_in_shards(radius: int):
+    """For ``spanning``: links of fingerprints within the radius, by the BK-trees of all shards of a stretch."""
+
+    def find(rows: pa.Table, shard: np.ndarray) -> pa.RecordBatch:
+        several = np.bincount(shard, minlength=1)[shard] > 1
+        rows, shard = rows.filter(pa.array(several)).combine_chunks(), shard[several]
+        if not len(rows):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.binary())] * 2, ["a", "b"])
+        codes = np.frombuffer(b"".join(rows["fingerprint"].to_pylist()), ">u8").astype(np.uint64).reshape(len(rows), -1)
+        role, groups = rows["role"].to_numpy(), Groups(len(rows))
+        in_tree, asks = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(in_tree):
+            for q, t in BKForest(codes[in_tree], shard[in_tree]).within(codes[asks], shard[asks], radius):
+                a, b = asks[q], in_tree[t]
+                keep = (a < b) | (role[a] == 2) | (role[b] == 1)
+                held.append((a[keep], b[keep]))
+                if sum(len(x) for x, _ in held) > FRONTIER:
+                    groups.link(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+        if held:
+            groups.link(*map(np.concatenate, zip(*held, strict=True)))
+        tied = np.flatnonzero(groups.label != np.arange(len(rows)))
+        node = rows["node"].combine_chunks()
+        return pa.RecordBatch.from_arrays([node.take(pa.array(tied)), node.take(pa.array(groups.label[tied]))], ["a", "b"])
+
+    return find
+
+
+def shard_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) that keep every component of the links within shards (tab, key) of nodes (node, fingerprint)."""
+    sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
+    large = checkpointed(sizes.select("tab", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("chunks")))
+    return spanning(rows.select("tab", "key", "node", "fingerprint"), ["tab", "key"], large, near_in_shards(radius))
+
+
+def dealt(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
+    """(tab, key, node, fingerprint): each node in one shard of every table of bit positions."""
     places = [np.array(t) for t in tables]
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,48 +325,61 @@ def links(nodes: DataFrame, tables: list[list[int]], radius: int, tree_words: in
         keys = np.concatenate([bits[:, p].astype(np.int64) @ (1 << np.arange(len(p), dtype=np.int64)) for p in places])
         index = pa.array(np.tile(np.arange(batch.num_rows), len(places)))
         tab = pa.array(np.repeat(np.arange(len(places), dtype=np.int32), batch.num_rows))
-        return pa.RecordBatch.from_arrays([batch["node"].take(index), batch["fingerprint"].take(index), tab, pa.array(keys)], ["node", "fingerprint", "tab", "key"])
+        return pa.RecordBatch.from_arrays([tab, pa.array(keys), batch["node"].take(index), batch["fingerprint"].take(index)], ["tab", "key", "node", "fingerprint"])
 
-    dealt = over_batches(nodes.select("node", "fingerprint"), deal, "node long, fingerprint binary, tab int, key long")
-    large = dealt.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("chunks"))
-    rows = dealt.join(large, ["tab", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, mine).alias("one"), F.greatest(x, mine).alias("two"), F.when(x == mine, 0).when(x > mine, 1).otherwise(2).alias("role")))
-    spread = rows.select("node", "fingerprint", "tab", "key", F.explode(pairs).alias("p")).select("node", "fingerprint", "tab", "key", "p.*")
+    return over_batches(nodes.select("node", "fingerprint"), deal, "tab int, key long, node binary, fingerprint binary")
 
-    def run(batches):
-        got = list(batches)
-        if got:
-            yield _shard_links(pa.Table.from_batches(got), tree_words, radius, check_radius)
 
-    return spread.repartition("tab", "key", "one", "two").mapInArrow(run, "a long, b long")
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id, the least ``doc_id`` of all nodes (node, doc_id) that ``edges`` tie to it."""
+    rooted = nodes.select("node", "doc_id").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("node", "component_id")
 
 
-def components(prints: DataFrame, tables_for, radius: int, tree_words: int = 1, check_radius: int = 0) -> DataFrame:
-    """The columns of ``prints`` (doc_id, fingerprint and others) and component_id for each of its rows."""
-    prints = checkpointed(prints)
-    nodes = checkpointed(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")))
-    named = nodes.where("node is not null")
-    found = connected_components(links(named, tables_for(named.count()), radius, tree_words, check_radius))
-    of_node = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of_node, "fingerprint", "left").select("doc_id", "fingerprint", *[c for c in prints.columns if c not in ("doc_id", "fingerprint")], "component_id")
+def components(prints: DataFrame, tables_for=exact_tables, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint and component_id of rows (doc_id, fingerprint), exactly; equal fingerprints are one node."""
+    prints = checkpointed(prints.select("doc_id", "fingerprint"))
+    nodes = checkpointed(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("doc_id")))
+    ids = named(nodes, shard_links(dealt(nodes.withColumn("fingerprint", F.col("node")), tables_for(nodes.count())), radius))
+    return prints.join(ids.withColumnRenamed("node", "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """Exact groups of 64-bit fingerprints of 4-word shingles that differ in 4 bits at most."""
-    return components(simhashes(docs), exact_tables, RADIUS)
+    return components(simhashes(docs))
 
 
 #: Least share of common five-word shingles (distinct ones) among all of two near copies.
 SIMILARITY = 0.8
 #: A pair of that similarity differs in 38.8 of 256 bits on the mean (256 acos(2 s / (1 + s)) / pi for sets of one size),
-#: with a standard deviation of 5.7. The radius is four of them above the mean; NEAR_SHARE, which the tables are laid
-#: out for, one. On the mean over such pairs, tables miss under 1 % at up to a billion nodes, and less above 0.8.
-NEAR_RADIUS, NEAR_SHARE = 62, 44.5 / 256
+#: with a standard deviation of 5.7. The radius is four of them above the mean.
+NEAR_RADIUS = 62
+#: A shard above the bound is dealt anew by so many orders at once, at most. A pair of similarity 0.8 agrees in three of
+#: the orders with probability 0.9988.
+LEVELS = 3
 
 
-def near_copy_tables(nodes: int) -> list[list[int]]:
-    return sampled_tables(nodes, 256, NEAR_SHARE)
+def near_shards(nodes: DataFrame) -> DataFrame:
+    """(tab, key, node, fingerprint): shards of nodes with the same least shingle.
+
+    Where many documents share a passage, its shingles fill a shard; its nodes are dealt anew by pairs of orders, then
+    by three. ``tab`` has a bit for each order.
+    """
+    at = lambda tab: F.xxhash64(tab, F.filter("least", lambda x, i: F.getbit(tab, i) == 1))
+    orders = F.sequence(F.lit(0), F.lit(TABLES - 1))
+    rows = nodes.select("node", "fingerprint", "least", F.explode(orders).alias("i")).withColumn("tab", F.expr("shiftleft(1, i)")).withColumn("key", at(F.col("tab")))
+    done = None
+    for _ in range(LEVELS - 1):
+        large = checkpointed(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
+        if not large.take(1):
+            break
+        small = rows.join(large, ["tab", "key"], "left_anti").select("tab", "key", "node", "fingerprint")
+        done = small if done is None else done.unionByName(small)
+        wider = rows.join(large, ["tab", "key"], "left_semi").select("node", "fingerprint", "least", "tab", F.explode(F.filter(orders, lambda i: F.getbit(F.col("tab"), i) == 0)).alias("i"))
+        rows = wider.withColumn("tab", F.expr("tab | shiftleft(1, i)")).dropDuplicates(["node", "tab"]).withColumn("key", at(F.col("tab")))
+    rows = rows.select("tab", "key", "node", "fingerprint")
+    return rows if done is None else done.unionByName(rows)
 
 
 def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,8 +396,9 @@ def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndar
             continue
         flags[items[at[i] : at[i + 1]]] = 1
         other = np.flatnonzero(fit)
-        taken = items if len(other) == len(sets) else items[np.repeat(at[other] - np.append(0, np.cumsum(size[other])[:-1]), size[other]) + np.arange(size[other].sum())]
-        common = np.add.reduceat(flags[taken], np.append(0, np.cumsum(size[other])[:-1]), dtype=np.int64) if len(taken) else np.zeros(len(other), np.int64)
+        begins = np.append(0, np.cumsum(size[other])[:-1])
+        taken = items[np.repeat(at[other] - begins, size[other]) + np.arange(size[other].sum())]
+        common = np.add.reduceat(flags[taken], begins, dtype=np.int64) if len(taken) else np.zeros(len(other), np.int64)
         flags[items[at[i] : at[i + 1]]] = 0
         other = other[common >= SIMILARITY * (size[i] + size[other] - common)]
         groups.link(np.full(len(other), i), other)
@@ -321,72 +406,65 @@ def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tied, groups.label[tied]
 
 
+def alike_in_groups(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+    """For ``spanning``: links of sets of shingles with ``SIMILARITY``; a repeated node counts once."""
+    node, sets, role = rows["node"].to_pylist(), rows["set"].to_pylist(), rows["role"].to_numpy()
+    first = np.array([i == 0 or group[i] != group[i - 1] or node[i] != node[i - 1] or role[i] != role[i - 1] for i in range(len(node))], bool)
+    a, b = [], []
+    for one in np.split(np.flatnonzero(first), np.flatnonzero(np.diff(group[first])) + 1):
+        if len(one) > 1:
+            x, y = alike([np.frombuffer(sets[i], np.uint64) for i in one], role[one])
+            a += one[x].tolist()
+            b += one[y].tolist()
+    return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a], pa.binary()), pa.array([node[i] for i in b], pa.binary())], ["a", "b"])
+
+
 def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (a, b) that keep every component of the pairs with ``SIMILARITY`` within the groups of ``members``.
+    """Edges (a, b) that keep every component of the pairs with ``SIMILARITY`` within groups of ``members``.
 
-    ``members`` are component_id, node (a doc_id), same and chunks. Groups of many documents or shingles are cut in
-    chunks, and every pair of chunks meets.
+    ``members`` are component_id, node, doc_id (of a row with that set of shingles) and size. Texts are read again; of a
+    doc_id with several texts only those of the node count.
     """
-    small_batches(docs.sparkSession)
-    chosen = members.select(F.col("node").alias("doc_id"), "component_id", "same", "chunks")
-    found = texts(docs).join(chosen, "doc_id").select("doc_id", "component_id", "same", "chunks", "text")
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t.encode().lower().split(), 5)).tobytes() for t in batch["text"].to_pylist()]
-        own = np.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["same"].to_pylist(), strict=True)], bool)
-        columns = [batch["doc_id"], batch["component_id"], batch["chunks"], pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["node", "component_id", "chunks", "set"]).filter(pa.array(own))
-
-    sets = over_batches(found, shingle, "node long, component_id long, chunks int, set binary")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, mine).alias("one"), F.greatest(x, mine).alias("two"), F.when(x == mine, 0).when(x > mine, 1).otherwise(2).alias("role")))
-    spread = sets.select("node", "component_id", "set", F.explode(pairs).alias("p")).select("component_id", "p.*", "node", "set")
-    keys = ["component_id", "one", "two"]
-
-    def compare(rows: list[tuple]) -> pa.RecordBatch:
-        node = np.array([r[3] for r in rows], np.int64)
-        a, b = alike([np.frombuffer(r[4], np.uint64) for r in rows], np.array([r[5] for r in rows]))
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
-
-    def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in (*keys, "node", "set", "role")), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield compare(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield compare(held)
+        own = np.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["node"].to_pylist(), strict=True)], bool)
+        return pa.RecordBatch.from_arrays([batch["component_id"], batch["node"], pa.array(sets, pa.binary())], ["component_id", "node", "set"]).filter(pa.array(own))
 
-    return spread.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+    found = texts(docs).join(members.select("doc_id", "component_id", "node"), "doc_id").select("component_id", "node", "text")
+    sets = over_batches(found, shingle, "component_id long, node binary, set binary")
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    large = checkpointed(members.groupBy("component_id").agg(chunks).where("chunks > 1"))
+    return spanning(sets, ["component_id"], large, alike_in_groups)
 
 
 def near_copy_components(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id: groups of documents that links of ``SIMILARITY`` or more hold together.
+    """doc_id, own (xxhash64 of the text) and component_id: groups that links of ``SIMILARITY`` or more hold together.
 
-    Groups of near fingerprints are candidates only. Within each, every pair of texts is held to the exact similarity
-    of its distinct five-word shingles; texts with equal sets of shingles are one.
+    Groups of near fingerprints are candidates only. Within each, texts are held to the exact similarity of their
+    distinct five-word shingles; texts with equal sets of shingles are one node. A node whose rows all have null ids
+    links nothing.
     """
-    found = checkpointed(components(copy_prints(docs), near_copy_tables, NEAR_RADIUS, len(MULTIPLIERS)))
-    kinds = checkpointed(found.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("component_id").alias("component_id"), F.first("size").alias("size")))
-    parts = F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES), F.lit(1)).cast("int").alias("chunks")
-    several = kinds.where("node is not null").groupBy("component_id").agg(F.count("*").alias("n"), parts).where("n > 1").drop("n")
-    members = kinds.where("node is not null").join(several, "component_id").select("component_id", "node", "same", "chunks")
-    linked = connected_components(exact_links(docs, members))
-    of_kind = kinds.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", "same").join(of_kind, "same").select("doc_id", "component_id")
+    prints = checkpointed(copy_prints(docs))
+    kinds = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("least").alias("least"))
+    nodes = checkpointed(kinds.where("doc_id is not null"))
+    candidates = checkpointed(named(nodes, shard_links(near_shards(nodes), NEAR_RADIUS)).join(nodes.select("node", "doc_id", "size"), "node"))
+    several = candidates.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    ids = named(nodes, exact_links(docs, checkpointed(candidates.join(several, "component_id"))))
+    return prints.join(ids, "node", "left").select("doc_id", "own", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the document with the smallest doc_id stays.
+    """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
-    Rows with a null doc_id stay. Of rows that repeat an id and its text, one stays; an id with two texts goes if one
-    of them is a copy of a document with a smaller id.
+    Of a group's rows with that id, the one whose text has the least hash stays, and of rows that repeat it, one. Rows
+    with a null doc_id stay. Rows are told apart by id and text, so a row never goes because another with its id does.
     """
-    groups = near_copy_components(docs)
-    copies = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("text")
-    rest = docs.join(copies, "doc_id", "left_anti")
-    numbered = rest.select(*[F.col(c) for c in docs.columns], F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(once)).alias("__copy"))
-    return numbered.where(F.col("__copy") == 1).select(*docs.columns)
+    rows = checkpointed(near_copy_components(docs).where("doc_id is not null").groupBy("doc_id", "own").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
+    heads = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("own").alias("head"))
+    judged = rows.join(heads, "component_id").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("own") == F.col("head")))
+    marks = judged.where("not stays or n > 1").select(F.col("doc_id").alias("i"), F.col("own").alias("h"), "stays")
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
+    met = whole.join(marks, (F.col("row.doc_id") == F.col("i")) & (F.col("own") == F.col("h")), "left")
+    once = met.where("stays").groupBy("i", "h").agg(F.first("row").alias("row")).select("row")
+    return met.where("stays is null").select("row").unionByName(once).select("row.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, labelled_sample, over_batches, small_batches, texts
+from .common import checkpointed, labelled_sample, over_batches, texts
 
 #: Most labelled rows that the fit reads, most stems that it keeps.
 SAMPLE = 8192
@@ -243,7 +243,6 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40)
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> ToxicModel:
     """Induce stems and weigh clause classes on at most ``bound`` labelled rows that are not held out."""
-    small_batches(docs.sparkSession)
     sample = checkpointed(labelled_sample(docs, labels, label, bound))
     model = ToxicModel(induce_stems(sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -261,7 +260,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= threshold) and the number of matched clauses."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -276,7 +274,6 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     """The rows and columns of ``docs`` whose text scores under the threshold or has no matched clause."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:

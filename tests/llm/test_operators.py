@@ -329,15 +329,57 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id in (50, 51) for r in kept) == 1
 
 
-def test_near_copy_tables_at_every_size():
-    """Of pairs of similarity 0.8 under 1 % meet in no table or are outside the radius, whatever the number of nodes."""
-    share = np.arccos(2 * 0.8 / 1.8) / np.pi
-    chance = np.array([math.comb(256, d) * share**d * (1 - share) ** (256 - d) for d in range(257)])
-    assert chance[simhash.NEAR_RADIUS + 1 :].sum() < 0.001
-    for nodes in (10, 10**5, 10**7, 10**9):
-        tables = simhash.near_copy_tables(nodes)
-        met = (1 - np.arange(257) / 256) ** len(tables[0])
-        assert (chance * (1 - met) ** len(tables)).sum() < 0.01, nodes
+def test_near_copies_share_a_shard():
+    """Pairs of similarity 0.8 agree in one of the orders, and in three of them where shards are dealt anew."""
+    rng = np.random.default_rng(12)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    agree = []
+    for _ in range(300):
+        base = words(304)
+        other = base[:270] + words(34)
+        sets = [set(simhash.shingle_hashes(" ".join(x).encode().split(), 5).tolist()) for x in (base, other)]
+        assert 0.77 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.82
+        prints = [simhash.copy_print(" ".join(x)) for x in (base, other)]
+        assert simhash.distance(*(np.frombuffer(p[0], ">u8").astype(np.uint64)[None] for p in prints))[0] <= simhash.NEAR_RADIUS
+        agree.append(int((prints[0][3] == prints[1][3]).sum()))
+    assert min(agree) >= 1 and np.mean(np.array(agree) >= simhash.LEVELS) > 0.99
+    assert abs(np.mean(agree) / simhash.TABLES - 0.8) < 0.03
+
+
+def test_a_row_does_not_go_for_another_with_its_id(spark):
+    text, other = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(1, text, 0), (5, text, 1), (5, other, 2), (7, other, 3), (7, other, 3), (9, "alone", 4), (9, "alone", 4), (None, text, 5), (None, text, 5)]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, __copy int")).collect()
+    assert sorted(tuple(r) for r in kept if r.doc_id) == sorted([(1, text, 0), (5, other, 2), (9, "alone", 4)])
+    assert sum(r.doc_id is None for r in kept) == 2
+
+
+@pytest.mark.parametrize("shard", [6, 40])
+def test_large_shards_are_dealt_anew_and_cut(spark, monkeypatch, shard):
+    """A passage that all documents share, one large group of copies, and small bounds give the same as all pairs."""
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    monkeypatch.setattr(simhash, "CHUNK_DOCS", 5)
+    rng = np.random.default_rng(14)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 7)) for _ in range(n)]
+    passage, base = words(60), words(200)
+    rows = [(i, passage + words(60)) for i in range(60)]
+    rows += [(100 + i, passage + base[: 190 - i % 7] + words(i % 7)) for i in range(60)]
+    rows += [(200 + i, rows[i][1] + words(2)) for i in range(0, 60, 3)]
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    near = [(a, b) for a, b in itertools.combinations(shingles, 2) if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_components(frame).collect()} == plain_components(shingles, near)
+
+
+def test_one_task_holds_many_shards_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HELD_ROWS", 50)
+    rng = np.random.default_rng(15)
+    prints = {i: int(rng.integers(0, 1 << 40)) << 12 | int(rng.integers(0, 16)) for i in range(300)} | {1000 + i: i << 30 | 5 for i in range(300)}
+    rows = spark.createDataFrame([(i, bytearray(x.to_bytes(8, "big"))) for i, x in prints.items()], "doc_id long, fingerprint binary")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    got = {r.doc_id: r.component_id for r in simhash.components(rows).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == plain_components(prints, [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
 
 
 def test_block_edits_of_similarity_over_four_fifths_go(spark):
@@ -368,12 +410,34 @@ def test_repeated_lines_and_chains_are_checked_exactly(spark, monkeypatch):
     assert len(set(got.values())) == 22
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (200, 201)], "a long, b long")
-    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+def rounds_of(spark, monkeypatch, edges, kind="long"):
+    calls = []
+    real = components.checkpointed
+    monkeypatch.setattr(components, "checkpointed", lambda df: calls.append(1) or real(df))
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, f"a {kind}, b {kind}")).collect()}
+    return got, len(calls) - 2
+
+
+def test_components_of_a_long_path(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 100), (None, 3), (200, 201)]
+    got, _ = rounds_of(spark, monkeypatch, edges)
     assert got == {i: 0 for i in range(61)} | {100: 100, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("shape", ["two minima", "shuffled"])
+def test_components_take_few_rounds(spark, monkeypatch, shape):
+    order = [0, *range(2, 512), 1] if shape == "two minima" else np.random.default_rng(1).permutation(512).tolist()
+    got, rounds = rounds_of(spark, monkeypatch, list(zip(order, order[1:], strict=False)))
+    assert got == dict.fromkeys(order, 0) and rounds <= 12
+
+
+def test_components_of_random_graphs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    edges = [(f"n{a:03}", f"n{b:03}") for a, b in rng.integers(0, 300, (260, 2)).tolist()]
+    got, _ = rounds_of(spark, monkeypatch, edges, "string")
+    assert got == plain_components(sorted({n for e in edges for n in e}), edges)
+
+
 def test_url_rules_and_aliases(spark):
     link = lambda u: f'<html><head><link rel="canonical" href="{u}"></head></html>'
     rows = [
