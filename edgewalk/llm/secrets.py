@@ -2,10 +2,10 @@
 
 Base kinds: ``assign`` (a value behind password, token and the like), ``access`` (AKIA keys) and ``hex`` (24 or more
 lower-case hex digits). The method adds ``token`` spans: stretches of 20 or more characters within runs of the base64
-and URL alphabets that hold a letter and average under ``CHARS_PER_TOKEN`` characters a token. Whole runs, their parts
+and URL alphabets that hold some letters and average under ``CHARS_PER_TOKEN`` characters a token. Whole runs, their parts
 (between / = _ - +) and all windows of 20 characters are tried. Known digests (hex of the usual lengths) and UUIDs are
 excluded, and a stretch of a run neither begins nor ends with a name: a short number, or a word that the vocabulary itself
-compresses well. What a base span covers is left out of a stretch, and the rest of it is reported.
+compresses well. Times, numbers and codes with few letters, and alphabets in order, are no secrets. What a base span covers is left out of a stretch, and the rest of it is reported.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. No text is cut. The vocabulary file is
 read on the driver and broadcast (under 1 MB); its path is a parameter.
@@ -27,6 +27,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CHARS_PER_TOKEN = 2.1
 SHORTEST_TOKEN = 20
 SHORTEST_HEX = 24
+#: Least letters of a token span, and their least share among letters and digits. Of 16 random upper-case hex digits,
+#: which have the smallest share of the usual alphabets, 6 are letters on the mean.
+LETTERS, LETTER_SHARE = 5, 0.27
 KINDS = ("assign", "access", "hex", "token")
 
 # The patterns of the contract, digest lengths in hex digits, and the splitting pattern of the vocabulary.
@@ -112,7 +115,14 @@ def _stretches(text: str, vocabulary: Vocabulary, limit: float) -> list[tuple[in
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
             out.append((a, b))
-    return [(a, b) for a, b in out if b - a >= SHORTEST_TOKEN and re.search("[A-Za-z]", text[a:b])]
+    return [(a, b) for a, b in out if b - a >= SHORTEST_TOKEN and lettered(text[a:b])]
+
+
+def lettered(text: str) -> bool:
+    """Enough letters for a random string, and no alphabet in order; times, numbers and codes of digits have fewer."""
+    chars = np.frombuffer("".join(PART.findall(text)).encode(), np.uint8)
+    letters = int((chars > ord("9")).sum())
+    return letters >= LETTERS and letters >= LETTER_SHARE * len(chars) and 2 * int((np.diff(chars) == 1).sum()) < len(chars)
 
 
 def _without(a: int, b: int, covers: list[tuple[int, int]]) -> list[tuple[int, int]]:

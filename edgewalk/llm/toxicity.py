@@ -1,21 +1,25 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, induced stem, target, negation, reported speech, other). Three small transducers
-are composed once: one marks a hit that a negation precedes by at most ``REACH`` words, one marks hits behind a verb of
-reported speech in the same clause, one guesses that a hit has a target (a second person) in its clause and fails at
-the clause's end if none came. The tropical shortest path of a clause gives each hit its class; isolated words score
-nothing by themselves. Class counts of all clauses of a text are weighed by a ridge logistic regression.
-
-Stems that the fixed list lacks are induced from labelled rows: a stem counts by distinct contexts (word before and
-after), so copies of one document count once, and must be far more frequent in toxic rows (log-likelihood ratio of at
-least ``EVIDENCE``). The fit reads at most ``SAMPLE`` labelled rows. Empty and null texts have no clause and get the
-score of the intercept. Equal texts get equal scores; an empty table gives an empty result; without labels the fixed
-prior weights hold. Other columns are not read.
+Words of a clause become symbols. Small transducers are composed: phrases (words and set phrases to insults, verbs of
+violence, announcements, targets, negations, reported speech), threats (a verb of violence counts only with a target
+within ``NEAR`` words behind it), negation (a hit within ``REACH`` words behind a negation), reported speech (hits
+behind a verb of saying in the same clause), aim (a hit whose clause has a second person), and weights (a cost for each
+class of hit and each other word). The tropical shortest path through the composition reads a clause; its cost is the
+clause's score, and the costs of all clauses, of the words outside of matched clauses and of the start add up to the
+text's: the score is the logistic function of minus that sum. So one insult that is not aimed, negated and reported hits,
+and verbs of violence without a target stay below one half by themselves, one aimed insult or threat does not, and several
+insults per hundred words add up.
+
+Costs are learned from labelled rows: a logistic regression with a ridge to prior costs, within bounds that keep the order
+of classes above. Slurs that the fixed list lacks are induced as stems: a stem counts by distinct contexts (word before
+and after), so copies of one document count once, and must be far more frequent in toxic rows (log-likelihood ratio of at
+least ``EVIDENCE``). The fit reads at most ``SAMPLE`` labelled rows. Empty and null texts get the start's score. Equal
+texts get equal scores; an empty table gives an empty result; without labels the prior costs hold. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -34,14 +38,17 @@ STEMS = 256
 #: Least log-likelihood ratio of an induced stem, and its lengths in letters.
 EVIDENCE = 30.0
 SHORTEST, LONGEST = 4, 9
-#: Words that a negation reaches.
+#: Words that a negation reaches, and within which a verb of violence needs its target.
 REACH = 3
+NEAR = 3
 
-# Words of the grammar (English, German, French, Spanish).
+# Words and phrases of the grammar (English, German, French, Spanish).
 INSULTS = "idiot idiots idiota idiotas moron morons stupid stupide loser losers scum trash clown clowns pathetic worthless disgusting dumb fool fools imbecile imbécile crétin cretin dummkopf trottel arschloch abschaum connard salaud débile estúpido estúpida imbécil basura payaso asqueroso bastard bastards freak jerk vermin"
-THREATS = "kill hurt destroy murder strangle stab shoot töten umbringen vernichten tuer frapper matar destruir"
-TARGETS = "you your yours you're ur du dich dir dein deine ihr euch tu toi ton ta vous votre tú te ti usted ustedes vosotros"
-NEGATIONS = "not no never isn't aren't don't nicht kein keine nie pas jamais nunca ningún"
+INSULT_PHRASES = "piece of trash|piece of garbage|waste of space|poor excuse for|shut up|get lost|go to hell|drop dead|good for nothing|halt die klappe|stück dreck|geh zur hölle|ferme ta gueule|fils de chien|va au diable|hijo de perra|vete al infierno|cierra la boca"
+VIOLENCE = "kill hurt destroy murder strangle stab shoot beat töten umbringen vernichten verprügeln tuer frapper détruire matar destruir golpear"
+THREAT_PHRASES = "watch your back|you will regret|you are dead|i know where you live|du bist tot|tu es mort|estás muerto"
+TARGETS = "you your yours yourself you're ur du dich dir dein deine ihr euch tu toi ton ta vous votre tú te ti usted ustedes vosotros"
+NEGATIONS = "not no never isn't aren't don't won't nicht kein keine nie pas jamais nunca ningún"
 REPORTED = "said says wrote writes claimed called quoted according sagte schrieb behauptete dit écrit affirmé dijo escribió"
 
 _CLAUSE = re.compile(r"[^.!?;\n]+")
@@ -49,7 +56,11 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 HITS = ("insult", "threat", "stem")
 MODES = ("plain", "negated", "reported")
 CLASSES = tuple((hit, mode, aimed) for hit in HITS for mode in MODES for aimed in (False, True))
-N_FEATURES = len(CLASSES) + 1
+OTHER = "other"
+#: Costs before any label is seen: the start, an unaimed hit, an aimed one, and each word that is no hit.
+START, UNAIMED, AIMED, WORD_COST = 3.0, -2.2, -4.5, 0.004
+#: How much more an aimed, or less an unaimed hit must count than the start, and the weight of the ridge.
+MARGIN, RIDGE = 0.5, 0.2
 
 
 @dataclass
@@ -80,8 +91,8 @@ class Transducer:
                             todo.append((a2, b2))
         return out
 
-    def shortest(self, symbols: list) -> list:
-        """Outputs on the tropical shortest path, or [] if no path accepts."""
+    def shortest(self, symbols: list) -> tuple[float, list]:
+        """Cost and outputs of the tropical shortest path; infinite and [] if no path accepts."""
         best = {self.start: (0.0, None, None)}
         steps = []
         for symbol in symbols:
@@ -94,13 +105,52 @@ class Transducer:
             best = after
         ends = [(best[s][0] + c, repr(s), s) for s, c in self.final.items() if s in best]
         if not ends:
-            return []
-        state, outs = min(ends)[2], []
+            return float("inf"), []
+        cost, _, state = min(ends)
+        outs = []
         for step in reversed(steps):
             _, back, out = step[state]
             outs.append(out)
             state = back
-        return outs[::-1]
+        return cost, outs[::-1]
+
+
+_WORDS = [("insult", INSULTS), ("violence", VIOLENCE), ("target", TARGETS), ("negation", NEGATIONS), ("reported", REPORTED)]
+_SINGLE = {w: symbol for symbol, words in _WORDS for w in words.split()}
+_PHRASES = [(p.split(), symbol) for symbol, ps in (("insult", INSULT_PHRASES), ("threat", THREAT_PHRASES)) for p in ps.split("|")]
+_LONE = {w for p, _ in _PHRASES for w in p}
+#: Input symbols: the words of the lists, ``stem`` and ``other``.
+ALPHABET = sorted({*_SINGLE, *_LONE, "stem", OTHER})
+MIDDLE = ("insult", "threat", "stem", "violence", "target", "negation", "reported", OTHER)
+
+
+def phrases() -> Transducer:
+    """Words to symbols. A set phrase writes its symbol at its last word and is a little cheaper than its words."""
+    t = Transducer((), final={(): 0.0})
+    for w in ALPHABET:
+        t.arc((), w, "stem" if w == "stem" else _SINGLE.get(w, OTHER), 0.0, ())
+    for words, symbol in _PHRASES:
+        for k, w in enumerate(words):
+            last = k + 1 == len(words)
+            arc = (symbol, -1e-3, ()) if last else (_SINGLE[w] if _SINGLE.get(w) == "target" else OTHER, 0.0, tuple(words[: k + 1]))
+            if arc not in t.arcs[tuple(words[:k])][w]:
+                t.arc(tuple(words[:k]), w, *arc)
+    return t
+
+
+def threats() -> Transducer:
+    """A verb of violence is a threat if a target follows within ``NEAR`` words (states owe it), and else a word."""
+    t = Transducer(0, final={0: 0.0})
+    for owed in range(NEAR + 1):
+        for symbol in MIDDLE:
+            if symbol == "violence":
+                t.arc(owed, symbol, OTHER, 0.0, max(owed - 1, 0)) if owed != 1 else None
+                t.arc(owed, symbol, "threat", -1e-3, NEAR) if not owed else None
+            elif symbol == "target":
+                t.arc(owed, symbol, symbol, 0.0, 0)
+            elif owed != 1:
+                t.arc(owed, symbol, symbol, 0.0, max(owed - 1, 0))
+    return t
 
 
 def negation() -> Transducer:
@@ -109,9 +159,9 @@ def negation() -> Transducer:
         to = max(left - 1, 0)
         for hit in HITS:
             t.arc(left, hit, (hit, "negated" if left else "plain"), 0.0, to)
-        for symbol in ("target", "reported", "other"):
+        for symbol in ("target", "reported", OTHER):
             t.arc(left, symbol, symbol, 0.0, to)
-        t.arc(left, "negation", "other", 0.0, REACH)
+        t.arc(left, "negation", OTHER, 0.0, REACH)
     return t
 
 
@@ -121,54 +171,85 @@ def reported_speech() -> Transducer:
         for hit in HITS:
             for mode in ("plain", "negated"):
                 t.arc(inside, (hit, mode), (hit, "reported" if inside and mode == "plain" else mode), 0.0, inside)
-        t.arc(inside, "reported", "other", 0.0, True)
-        for symbol in ("target", "other"):
+        t.arc(inside, "reported", OTHER, 0.0, True)
+        for symbol in ("target", OTHER):
             t.arc(inside, symbol, symbol, 0.0, inside)
     return t
 
 
-def target() -> Transducer:
-    """An aimed hit costs less; it needs a target before it (state seen) or promises one behind it (state owed)."""
+def aim() -> Transducer:
+    """An aimed hit needs a target before it (state seen) or promises one behind it (state owed)."""
     t = Transducer("none", final={"none": 0.0, "seen": 0.0})
     for state in ("none", "seen", "owed"):
-        met = "seen"
-        t.arc(state, "target", None, 0.0, met)
-        t.arc(state, "other", None, 0.0, state)
+        t.arc(state, "target", OTHER, 0.0, "seen")
+        t.arc(state, OTHER, OTHER, 0.0, state)
         for hit in HITS:
             for mode in MODES:
-                t.arc(state, (hit, mode), (hit, mode, False), 1.0, state)
+                t.arc(state, (hit, mode), (hit, mode, False), 1e-6, state)
                 t.arc(state, (hit, mode), (hit, mode, True), 0.0, "seen" if state == "seen" else "owed")
     return t
 
 
-GRAMMAR = negation().compose(reported_speech()).compose(target())
-_FIXED = {w: symbol for symbol, words in (("insult", INSULTS), ("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("reported", REPORTED)) for w in words.split()}
+UNWEIGHTED = phrases().compose(threats()).compose(negation()).compose(reported_speech()).compose(aim())
+
+
+def weights(costs: np.ndarray) -> Transducer:
+    """Keeps symbols and adds the cost of each class of hit, or of a word."""
+    t = Transducer(0, final={0: 0.0})
+    for c, cost in zip((*CLASSES, OTHER), costs[1:], strict=True):
+        t.arc(0, c, c, float(cost), 0)
+    return t
+
+
+def prior_costs() -> np.ndarray:
+    """Of the start, of each class, and of a word."""
+    return np.array([START, *((AIMED if aimed else UNAIMED) if mode == "plain" else WORD_COST for _, mode, aimed in CLASSES), WORD_COST])
+
+
+def bounded(costs: np.ndarray) -> np.ndarray:
+    """The nearest costs in the order that the grammar stands for.
+
+    The start is 2 at least; negated and reported hits cost what words do; an unaimed hit outweighs the start by
+    ``-MARGIN`` at most and counts half a unit at least, an aimed one by ``MARGIN`` at least.
+    """
+    c = costs.copy()
+    c[0], c[-1] = np.clip(c[0], 2.0, 8.0), np.clip(c[-1], 0.0, 0.02)
+    for i, (_, mode, aimed) in enumerate(CLASSES, 1):
+        if mode != "plain":
+            c[i] = c[-1]
+        elif aimed:
+            c[i] = min(c[i], -c[0] - MARGIN)
+        else:
+            c[i] = min(max(c[i], -c[0] + MARGIN), -0.5)
+    return c
 
 
 @dataclass
 class ToxicModel:
     stems: tuple[str, ...] = ()
-    weights: np.ndarray = field(default_factory=lambda: np.array([-3.0] + [{"plain": 3.0, "negated": 1.0, "reported": 1.0}[mode] + aimed for _, mode, aimed in CLASSES] + [0.5]))
+    costs: np.ndarray = field(default_factory=prior_costs)
 
     def __post_init__(self):
-        words = sorted({w for w, s in _FIXED.items() if s in HITS}, key=len, reverse=True)
-        parts = [rf"(?:{'|'.join(map(re.escape, words))})(?![^\W_])"]
+        lone = sorted((w for w, s in _SINGLE.items() if s in ("insult", "violence")), key=len, reverse=True)
+        fixed = [*lone, *(r"[^\w\n.!?;]+".join(map(re.escape, p)) for p, _ in _PHRASES)]
+        parts = [rf"(?:{'|'.join(fixed)})(?![^\W_])"]
         if self.stems:
             parts.append(f"(?:{'|'.join(map(re.escape, sorted(self.stems)))})")
         self.trigger = re.compile(rf"(?<![^\W_])(?:{'|'.join(parts)})")
         self.stem = re.compile("|".join(map(re.escape, sorted(self.stems)))) if self.stems else re.compile(r"(?!)")
+        self.grammar = UNWEIGHTED.compose(weights(self.costs))
 
     def __getstate__(self):
-        return {"stems": self.stems, "weights": self.weights}
+        return {"stems": self.stems, "costs": self.costs}
 
     def __setstate__(self, state):
         self.__init__(**state)
 
     def symbol(self, word: str) -> str:
-        return _FIXED.get(word) or ("stem" if self.stem.match(word) else "other")
+        return word if word in _SINGLE or word in _LONE else "stem" if self.stem.match(word) else OTHER
 
-    def clauses(self, text: str) -> list[tuple[int, int, list]]:
-        """(start, end, classes of hits) of the clauses that hold a hit; positions in the lower-cased text."""
+    def clauses(self, text: str) -> list[tuple[int, int, float, list, int]]:
+        """(start, end, cost, classes of hits, words) of the clauses with a hit; positions in the lower-cased text."""
         found = [m.start() for m in self.trigger.finditer(text)]
         if not found:
             return []
@@ -177,22 +258,27 @@ class ToxicModel:
         out = []
         for k in sorted({bisect_right(starts, at) - 1 for at in found}):
             a, b = spans[k]
-            hits = [x for x in GRAMMAR.shortest([self.symbol(w) for w in _WORD.findall(text, a, b)]) if x]
+            symbols = [self.symbol(w) for w in _WORD.findall(text, a, b)]
+            cost, outs = self.grammar.shortest(symbols)
+            hits = [x for x in outs if x != OTHER]
             if hits:
-                out.append((a, b, hits))
+                out.append((a, b, cost, hits, len(symbols)))
         return out
 
-    def features(self, text: str | None) -> np.ndarray:
-        x = np.zeros(N_FEATURES)
+    def costs_of(self, text: str | None) -> tuple[float, np.ndarray, int]:
+        """A text's cost, its counts (1, hits of each class, words that are no hits) and the number of its hits."""
         low = (text or "").lower()
-        counts = Counter(c for _, _, hits in self.clauses(low) for c in hits)
-        for i, c in enumerate(CLASSES):
-            x[i] = math.log1p(counts[c])
-        x[-1] = math.log1p(5000.0 * sum(counts.values()) / max(len(low), 40))
-        return x
+        matched = self.clauses(low)
+        counts = Counter(h for _, _, _, hits, _ in matched for h in hits)
+        rest = max(len(low.split()) - sum(n for *_, n in matched), 0)
+        n = sum(counts.values())
+        x = np.array([1.0, *(counts[c] for c in CLASSES), rest + sum(k for *_, k in matched) - n])
+        return float(self.costs[0] + sum(c for _, _, c, _, _ in matched) + rest * self.costs[-1]), x, n
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.weights[0] + x @ self.weights[1:])))
+    def score(self, text: str | None) -> tuple[float, int]:
+        """Between 0 and 1, and the number of hits."""
+        cost, _, n = self.costs_of(text)
+        return float(1 / (1 + np.exp(np.clip(cost, -500, 500)))), n
 
 
 def induce_stems(sample: DataFrame) -> tuple[str, ...]:
@@ -204,7 +290,7 @@ def induce_stems(sample: DataFrame) -> tuple[str, ...]:
             F.concat(F.array(F.lit("")), F.slice("w", F.lit(1), F.size("w") - 1)).alias("before"),
             F.concat(F.slice("w", F.lit(2), F.size("w") - 1), F.array(F.lit(""))).alias("after"),
         )).alias("c"))
-    once = near.select("y", F.col("c.word").alias("word"), F.xxhash64("c.before", "c.word", "c.after").alias("context")).where((F.length("word") >= SHORTEST) & ~F.col("word").isin(*_FIXED)).distinct()
+    once = near.select("y", F.col("c.word").alias("word"), F.xxhash64("c.before", "c.word", "c.after").alias("context")).where((F.length("word") >= SHORTEST) & ~F.col("word").isin(*_SINGLE)).distinct()
     by_word = once.groupBy("word").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
     total = by_word.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0")).collect()[0]
     t1, t0 = float(total.t1 or 0), float(total.t0 or 0)
@@ -223,62 +309,64 @@ def induce_stems(sample: DataFrame) -> tuple[str, ...]:
     return tuple(kept)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 40) -> np.ndarray:
-    """Newton steps with step halving; the intercept is not shrunk."""
-    x = np.hstack((np.ones((len(x), 1)), x))
-    w, shrink = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    shrink[0] = 1e-3
-    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (x @ w)).sum() + (shrink * w * w).sum() / 2
+def learned_costs(x: np.ndarray, y: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Bounded costs of the least logistic loss with a ridge to the prior ones, by projected gradient steps."""
+    prior = bounded(prior_costs())
+    scale = np.append(np.ones(x.shape[1] - 1), 1e-3)  # words are many, their cost is small
+    loss = lambda c: np.logaddexp(0, (2 * y - 1) * np.clip(x @ c, -50, 50)).sum() + RIDGE * (((c - prior) / scale) ** 2).sum()
+    c, rate, now = prior, 0.1, loss(prior)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(x @ w)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
-        rate = 1.0
-        while loss(w - rate * step) > loss(w) and rate > 1e-4:
-            rate /= 2
-        w = w - rate * step
-        if abs(rate * step).max() < 1e-6:
-            break
-    return w
+        z = x @ c
+        pull = np.where(np.abs(z) < 50, y - 1 / (1 + np.exp(np.clip(z, -50, 50))), 0.0)
+        step = scale**2 * (x.T @ pull) + 2 * RIDGE * (c - prior)
+        after = bounded(c - rate * step)
+        value = loss(after)
+        if value < now:
+            if now - value < 1e-7 * now:
+                break
+            c, now, rate = after, value, rate * 1.5
+        else:
+            rate /= 4
+            if rate < 1e-12:
+                break
+    return c
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE) -> ToxicModel:
-    """Induce stems and weigh clause classes on at most ``bound`` labelled rows that are not held out."""
+    """Induce stems and learn costs on at most ``bound`` labelled rows that are not held out."""
     sample = checkpointed(labelled_sample(docs, labels, label, bound))
     model = ToxicModel(induce_stems(sample))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = [shared.value.features(t).tobytes() for t in batch["text"].to_pylist()]
+        x = [shared.value.costs_of(t)[1].tobytes() for t in batch["text"].to_pylist()]
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(x, pa.binary())], ["doc_id", "y", "x"])
 
     rows = over_batches(sample, features, "doc_id long, y int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(bound).collect()
     y = np.array([r.y for r in rows], float)
     if len(set(y)) == 2:
-        model.weights = logistic(np.frombuffer(b"".join(bytes(r.x) for r in rows)).reshape(-1, N_FEATURES), y)
+        x = np.frombuffer(b"".join(bytes(r.x) for r in rows)).reshape(len(rows), -1)
+        model = ToxicModel(model.stems, learned_costs(x, y))
     return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 if score >= threshold) and the number of matched clauses."""
+    """doc_id, score (0 to 1), predicted (1 if score >= threshold) and the number of hits in matched clauses."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        x = np.array([m.features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
-        s = m.score(x)
-        hits = np.rint(np.expm1(x[:, :-1]).sum(1)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(hits)], ["doc_id", "score", "predicted", "hits"])
+        found = [shared.value.score(t) for t in batch["text"].to_pylist()]
+        s, hits = np.array([f[0] for f in found], float), pa.array([f[1] for f in found], pa.int64())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array((s >= threshold).astype(np.int32)), hits], ["doc_id", "score", "predicted", "hits"])
 
     return over_batches(texts(docs), score, "doc_id long, score double, predicted int, hits long")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
-    """The rows and columns of ``docs`` whose text scores under the threshold or has no matched clause."""
+    """The rows and columns of ``docs`` whose text scores under the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        x = np.array([m.features(t) for t in batch["text"].to_pylist()]).reshape(-1, N_FEATURES)
-        return batch.filter(pa.array((m.score(x) < threshold) | ~x.any(axis=1)))
+        return batch.filter(pa.array([shared.value.score(t)[0] < threshold for t in batch["text"].to_pylist()], pa.bool_()))
 
     return over_batches(docs, keep, docs.schema)

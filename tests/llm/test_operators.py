@@ -102,12 +102,47 @@ def test_neighbours_against_brute_force():
 
 def test_clauses_not_words():
     m = toxicity.ToxicModel()
-    hits = lambda t: [h for _, _, hs in m.clauses(t.lower()) for h in hs]
+    hits = lambda t: [h for c in m.clauses(t.lower()) for h in c[3]]
     assert hits("You are an idiot.") == [("insult", "plain", True)]
     assert hits("An idiot. You there.") == [("insult", "plain", False)]
     assert hits("you are not an idiot") == [("insult", "negated", True)]
     assert hits("she said you are an idiot") == [("insult", "reported", True)]
-    assert hits("idiotic but fine") == [] and hits("") == []
+    assert hits("you are a piece of trash") == [("insult", "plain", True)]
+    assert hits("I will kill you") == hits("Du bist tot!") == [("threat", "plain", True)]
+    assert hits("idiotic but fine") == hits("") == hits("kill the process, will you") == []
+
+
+def test_single_words_negation_and_reports_stay_below_one_half(spark, tiny):
+    sf = tiny.replace("sf0.001", "sf0.01")
+    learned = toxicity.fit_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for m in (toxicity.ToxicModel(), learned):
+        score = lambda t: m.score(t)[0]
+        calm = ["An idiot.", "The clown fell over.", "kill the process", "you are not an idiot", "she said you are an idiot", "I will never hurt you", "", "You there. Trash day is Monday."]
+        assert max(map(score, calm)) < 0.5 < min(map(score, ["you are an idiot", "I will kill you", "You are a waste of space!", "moron, loser and scum"]))
+        assert score("you are an idiot") > score("he is an idiot") > score("he is not an idiot")
+
+
+def test_shortest_paths_against_all_paths():
+    """Costs and outputs of the composition equal those of the best of all paths through the parts, one after the other."""
+    rng = np.random.default_rng(9)
+
+    def through(t, symbols):
+        paths = [(0.0, t.start, ())]
+        for symbol in symbols:
+            paths = [(cost + more, to, (*outs, out)) for cost, state, outs in paths for out, more, to in t.arcs[state].get(symbol, ())]
+        return {(round(cost + t.final[state], 9), outs) for cost, state, outs in paths if state in t.final}
+
+    m = toxicity.ToxicModel(("xstem",))
+    parts = [toxicity.phrases(), toxicity.threats(), toxicity.negation(), toxicity.reported_speech(), toxicity.aim(), toxicity.weights(m.costs)]
+    some = ["idiot", "kill", "you", "not", "said", "stem", "other", "piece", "of", "trash", "shut", "up"]
+    for _ in range(60):
+        clause = rng.choice(some, int(rng.integers(0, 8))).tolist()
+        found = {(0.0, tuple(clause))}
+        for t in parts:
+            found = {(round(a + b, 9), outs) for a, mid in found for b, outs in through(t, mid)}
+        cost, outs = m.grammar.shortest(clause)
+        assert cost == pytest.approx(min(found)[0], abs=1e-7)
+        assert any(o == tuple(outs) and c == pytest.approx(cost, abs=1e-7) for c, o in found)
 
 
 @pytest.mark.parametrize("counts", [{"a": 5, "b": 300, "c": 64}, {"a": 1}, {"a": 700, "": 10}])
@@ -231,6 +266,25 @@ def test_random_parts_of_runs():
     assert spans(secrets.redact(text, secrets.scan(pa.array([text]), v)[0])) == []
 
 
+def test_token_spans_of_planted_secrets_and_plain_strings():
+    """Recall on random strings of five alphabets in text, and precision on times, paths, ids, words and numbers."""
+    v, rng = secrets.load_vocabulary(), np.random.default_rng(21)
+    spans = lambda t: [t[a:b] for a, b, k in secrets.scan(pa.array([t]), v)[0] if k == "token"]
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for chars, n in ((low + up + digits, 24), (low + up + digits + "+/", 40), (low, 24), (up + "234567", 32), (low + digits, 20), ("0123456789ABCDEF", 33)):
+        planted = ["".join(rng.choice(list(chars), n)) for _ in range(150)]
+        assert np.mean([sum(map(len, spans(f"the key is {k} and more"))) >= 0.8 * n for k in planted]) >= 0.95, chars
+    day = lambda: f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
+    clock = lambda: f"{rng.integers(0, 24):02}-{rng.integers(0, 60):02}-{rng.integers(0, 60):02}"
+    number = lambda n: "".join(rng.choice(list(digits), n))
+    plain = [f(i) for i in range(60) for f in (
+        lambda i: f"{day()}T{clock()}Z-run-{i:04}", lambda i: f"run-{day()}T{clock()}+00-00", lambda i: f"/data/{day().replace('-', '/')}/part-{i:05}-c000", lambda i: f"ISBN-978-3-{number(2)}-{number(6)}-{number(1)}",
+        lambda i: f"DE{number(20)}", lambda i: "-".join(number(4) for _ in range(6)), lambda i: f"{number(13)}-{number(13)}", lambda i: f"backup_{day().replace('-', '')}_{clock().replace('-', '')}_final_{i}",
+    )]
+    plain += [low, up + digits, "donaudampfschifffahrtsgesellschaft", "THEREFORE-WE-HAVE-FOUND-THIS", "=" * 40, "/usr/share/doc/python3-distutils/examples"]
+    assert [t for t in plain if spans(f"see {t} here")] == []
+
+
 def test_redaction(spark):
     out = secrets.redact_secrets(spark.createDataFrame([(1, "password=hunter22 stays"), (2, None)], "doc_id long, text string"))
     assert {r.doc_id: r.text for r in out.collect()} == {1: "<assign> stays", 2: None}
