@@ -27,9 +27,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CHARS_PER_TOKEN = 2.1
 SHORTEST_TOKEN = 20
 SHORTEST_HEX = 24
-#: Least letters of a token span, and their least share among letters and digits. Of 16 random upper-case hex digits,
-#: which have the smallest share of the usual alphabets, 6 are letters on the mean.
-LETTERS, LETTER_SHARE = 5, 0.27
+#: Least letters of a token span, and their least share among letters and digits; in random hex digits, which have the
+#: smallest share of the usual alphabets, it is 0.375 on the mean.
+LETTERS, LETTER_SHARE = 6, 0.2
 KINDS = ("assign", "access", "hex", "token")
 
 # The patterns of the contract, digest lengths in hex digits, and the splitting pattern of the vocabulary.

@@ -48,6 +48,8 @@ CHUNK_DOCS, CHUNK_SHINGLES = 1024, 1 << 18
 #: Pairs of query and tree node that are compared at a time; rows and bytes of shards that are held at a time.
 FRONTIER = 1 << 20
 HELD_ROWS, HELD_BYTES = 1 << 15, 1 << 25
+#: Most groups above their bound whose keys are broadcast (some MB); more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
 
 # Odd multipliers that make further 64-bit hashes from one.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -255,8 +257,9 @@ def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFr
     roles: 0 (tree and query), 1 (tree only) or 2 (query only).
     """
     meeting = [*keys, "one", "two"]
-    any_large = bool(large.take(1))
-    placed = (rows.join(large, keys, "left") if any_large else rows.withColumn("chunks", F.lit(1))).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    n_large = large.count()
+    met = rows.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, keys, "left") if n_large else rows.withColumn("chunks", F.lit(1))
+    placed = met.withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     at = lambda one, two, role: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), role.alias("role"))
     upto = lambda n: F.sequence(F.lit(0), (n - 1).cast("int"))
@@ -264,7 +267,7 @@ def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFr
     leaders = F.transform(upto(F.col("chunks")), lambda x: at(zero, x, F.when(x == 0, 0).otherwise(1)))
     dealt = placed.withColumn("meet", F.explode(F.when(F.col("mine") == 0, leaders).otherwise(F.array(at(zero, F.col("mine"), zero)))))
     first = by_group(dealt.select(*columns, "meet.*"), meeting, find)
-    if not any_large:
+    if not n_large:
         return first
     first = checkpointed(first)
     labelled = placed.where("chunks > 1").join(connected_components(first), "node", "left").withColumn("label", F.coalesce("component", "node"))
@@ -331,10 +334,10 @@ def dealt(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
 
 
 def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component_id, the least ``doc_id`` of all nodes (node, doc_id) that ``edges`` tie to it."""
-    rooted = nodes.select("node", "doc_id").join(connected_components(edges), "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("node", "component_id")
+    """node, component_id (the least ``doc_id`` of the nodes (node, doc_id) that ``edges`` tie to it) and whether there are any."""
+    rooted = nodes.select("node", "doc_id").join(connected_components(edges), "node", "left")
+    least = rooted.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rooted.join(least, "component", "left").select("node", F.coalesce("least", F.when(F.col("component").isNull(), F.col("doc_id"))).alias("component_id"), F.col("component").isNotNull().alias("tied"))
 
 
 def components(prints: DataFrame, tables_for=exact_tables, radius: int = RADIUS) -> DataFrame:
@@ -449,8 +452,7 @@ def near_copy_components(docs: DataFrame) -> DataFrame:
     kinds = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("least").alias("least"))
     nodes = checkpointed(kinds.where("doc_id is not null"))
     candidates = checkpointed(named(nodes, shard_links(near_shards(nodes), NEAR_RADIUS)).join(nodes.select("node", "doc_id", "size"), "node"))
-    several = candidates.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    ids = named(nodes, exact_links(docs, checkpointed(candidates.join(several, "component_id"))))
+    ids = named(nodes, exact_links(docs, candidates.where("tied")))
     return prints.join(ids, "node", "left").select("doc_id", "own", "component_id")
 
 

@@ -23,9 +23,12 @@ MOST_RULES = 10_000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?\s*canonical\b)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'>\s]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b)[^>]*\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?\s*([^\"'>\s]+)"
+# Every pattern's time grows with the page's length only: a comment or script that never ends takes the rest with it, as
+# in browsers, a tag ends at the next angle bracket, and attributes are consumed one after the other.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*+>|\z)"
+_TAG = r"(?i)<(?:link|meta)\b[^<>]*+>"
+_ATTRIBUTE = r"([A-Za-z-]++)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++)"
+_REFRESH = r"(?i)\burl\s*+=\s*+['\"]?\s*+([^'\"\s]++)"
 
 
 def host_of(url: Column) -> Column:
@@ -68,13 +71,23 @@ def resolved(link: Column, base: Column) -> Column:
     )
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of that name, without quotes and outer spaces; null if it has none."""
+    every = F.arrays_zip(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)).alias("name"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)).alias("value"))
+    value = F.get(F.filter(every, lambda a: F.lower(a["name"]) == name), F.lit(0))["value"]
+    return F.btrim(value, F.lit("\"' \t\r\n\f"))
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
     """(source, target) urls of canonical links and refreshes; scripts, styles and comments don't count."""
     hinted = pages.where(F.col("url").contains("://") & F.lower("html").rlike("canonical|refresh"))
-    shown = hinted.select("url", F.regexp_replace("html", _HIDDEN, " ").alias("html"))
-    links = F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), F.lit(1)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(1)))
-    each = shown.select("url", F.explode(links).alias("link"))
-    return each.select(F.col("url").alias("source"), resolved(F.regexp_replace("link", "&amp;", "&"), F.col("url")).alias("target"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, " "), F.lit(_TAG), F.lit(0))
+    each = hinted.select("url", F.explode(tags).alias("tag")).where(F.lower("tag").rlike("canonical|refresh"))
+    tag = F.col("tag")
+    link = F.when(tag.rlike(r"(?i)\A<link") & attribute(tag, "rel").rlike(r"(?i)(?:\A|\s)canonical(?:\s|\z)"), attribute(tag, "href"))
+    link = link.when(tag.rlike(r"(?i)\A<meta") & (F.lower(attribute(tag, "http-equiv")) == "refresh"), F.regexp_extract(attribute(tag, "content"), _REFRESH, 1))
+    found = each.select("url", link.alias("link")).where("link <> ''")
+    return found.select(F.col("url").alias("source"), resolved(F.regexp_replace("link", "&amp;", "&"), F.col("url")).alias("target"))
 
 
 def judge_pages(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -273,7 +274,8 @@ def test_token_spans_of_planted_secrets_and_plain_strings():
     low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     for chars, n in ((low + up + digits, 24), (low + up + digits + "+/", 40), (low, 24), (up + "234567", 32), (low + digits, 20), ("0123456789ABCDEF", 33)):
         planted = ["".join(rng.choice(list(chars), n)) for _ in range(150)]
-        assert np.mean([sum(map(len, spans(f"the key is {k} and more"))) >= 0.8 * n for k in planted]) >= 0.95, chars
+        found = [sum(map(len, spans(f"the key is {k} and more"))) for k in planted]
+        assert np.mean(np.array(found) > 0) >= 0.97 and sum(found) >= 0.93 * n * len(planted), chars
     day = lambda: f"{rng.integers(1990, 2040)}-{rng.integers(1, 13):02}-{rng.integers(1, 29):02}"
     clock = lambda: f"{rng.integers(0, 24):02}-{rng.integers(0, 60):02}-{rng.integers(0, 60):02}"
     number = lambda n: "".join(rng.choice(list(digits), n))
@@ -507,6 +509,45 @@ def test_url_rules_and_aliases(spark):
     ])
 
 
+def test_url_filter_against_brute_force(spark):
+    """A random graph of pages, redirects and rules: verdicts as of a plain walk over the declared links."""
+    rng = np.random.default_rng(31)
+    hosts = ["a.net", "b.org", "c.example.net", "d.example.com", "e.io", "f.io", "g.de"]
+    url = lambda i: f"http://{hosts[i % 7]}/{('en', 'de', 'fr', 'x')[i // 7 % 4]}/{i}"
+    link = lambda u: rng.choice([f'<link href="{u}" rel=canonical>', f"<LINK rel='canonical' href='{u}'/>", f'<meta content="0;url={u}" http-equiv="refresh">'])
+    hide = lambda x: rng.choice([f"<!-- {x} -->", f"<script>{x}</script>", f"<style a=b>{x}</style>"])
+    rows, links = [], []
+    for i in range(200):
+        to, no = (int(x) for x in rng.integers(0, 200, 2))
+        shows = rng.random() < 0.3
+        rows.append((i, url(i), f"<html><p>canonical {hide(link(url(no)))}{link(url(to)) if shows else ''}<link rel=stylesheet href=x>", 1, "q"))
+        links += [(i, to)] if shows else []
+    moved = [(int(a), int(b)) for a, b in rng.integers(0, 200, (25, 2))]
+    comp = plain_components(range(200), links + moved)
+
+    def rule(i):
+        host, path = hosts[i % 7], "/" + url(i).split("/", 3)[3]
+        fit = [(len(h + p), v, h + p) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[1:] if fit else (None, None)
+
+    bad = {comp[i] for i in range(200) if rule(i)[0] == "block"}
+    want = {i: (rule(i)[1], rule(i)[0] or ("block" if comp[i] in bad else "allow")) for i in range(200)}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node int, component string")
+    redirects = spark.createDataFrame([(url(a), url(b)) for a, b in moved], "source string, target string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge_pages(pages, redirects=redirects).collect()} == want
+    assert sum(r is None and v == "block" for r, v in want.values()) > 10
+    assert urls.judge_pages(pages.where("false")).count() == 0
+
+
+def test_hostile_pages_take_linear_time(spark):
+    hostile = ["<!--" * 250_000, "<link " * 170_000, "<link rel=canonical href=" * 40_000, "<link rel=" + "x" * 1_000_000, "<script " * 120_000, "<meta content=" + "url " * 250_000 + ">", "<" * 1_000_000, "<link " + "a='" * 300_000 + ">", '<meta content="' + "content=" * 120_000]
+    rows = [(i, f"http://x.org/{i}", "canonical refresh " + h) for i, h in enumerate(hostile)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    begin = time.time()
+    assert urls.judge_pages(pages).count() == len(rows)
+    assert time.time() - begin < 40
+
+
 def test_chats_read_back(spark, tiny):
     said = "<|im_end|><|im_start|>assistant ok"
     plain = collections.defaultdict(list)
