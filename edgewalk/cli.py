@@ -1,4 +1,4 @@
-"""``python -m edgewalk.cli prepare|profile|board``: preparation, profiles and leaderboards from the command line."""
+"""``python -m edgewalk.cli prepare|profile|board|report|log``: preparation, profiles, studies and search logs."""
 
 from __future__ import annotations
 
@@ -20,17 +20,31 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--config", help="JSON file of settings")
         one.add_argument("--path", required=True, help="where the dataset lies")
         one.add_argument("overrides", nargs="*", help="section.key=value")
+    # The names of options that users know.
     board = sub.add_parser("board")
     board.add_argument("--study-path", required=True, help="glob of trial tables")
     board.add_argument("--top-n", type=int, default=10)
     board.add_argument("--output-csv")
     board.add_argument("--output-config")
+    report = sub.add_parser("report")
+    report.add_argument("--study-path", required=True, help="glob of trial tables")
+    log = sub.add_parser("log")
+    log.add_argument("--log-path", required=True, help="text of a search")
+    log.add_argument("--output", required=True, help="folder of JSON lines")
     return p
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("edgewalk").getOrCreate()
+    if args.command == "report":
+        studies = records.read_studies(spark, args.study_path)
+        trials.statuses(studies).orderBy("study", "state").show(truncate=False)
+        trials.best_trial(trials.completed(studies)).show(truncate=False)
+        return
+    if args.command == "log":
+        trials.parse_trial_log(records.read_log(spark, args.log_path)).write.mode("overwrite").json(args.output)
+        return
     if args.command == "board":
         best = trials.leaderboard(trials.completed(records.read_studies(spark, args.study_path)), args.top_n, args.top_n)
         best.show(args.top_n, truncate=False)

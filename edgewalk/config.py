@@ -19,8 +19,10 @@ class Preprocess:
 class Dataset:
     name: str = "copurchase"
     path: str = ""
-    num_walks: int = 2000
-    max_walk_length: int = 8
+    #: 0: ``walks_per_node`` for each start node, so that walks grow with the graph.
+    num_walks: int = 0
+    walks_per_node: int = 1
+    max_walk_length: int = 83
     train_ratio: float = 0.48
     mask_ratio: float = 0.32
     val_ratio: float = 0.10
@@ -88,6 +90,6 @@ class Config:
             sections = json.load(f)
         return cls().override(*(f"{s}.{k}={json.dumps(v)}" for s, keys in sections.items() for k, v in keys.items()), *dotted)
 
-    def digest(self) -> str:
-        """A hash of what the prepared data depends on."""
-        return hashlib.sha256(json.dumps(dataclasses.asdict(self.dataset), sort_keys=True).encode()).hexdigest()[:16]
+    def digest(self, state: object = None) -> str:
+        """A hash of what the prepared data depends on: the dataset's settings and the ``state`` of its files."""
+        return hashlib.sha256(json.dumps([dataclasses.asdict(self.dataset), state], sort_keys=True).encode()).hexdigest()[:16]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import encode, is_edge, parse_edge_label, parse_node
@@ -34,27 +34,31 @@ def padded(encoded: DataFrame, length: int | None = None) -> DataFrame:
     return encoded.unionByName(pads.select("walk_id", "pos", F.lit(PAD_ID).cast("bigint").alias("token_id"), F.lit(BAD).alias("split_id")))
 
 
-def stage_view(encoded: DataFrame, classes: DataFrame, stage: str) -> DataFrame:
-    """(walk_id, pos, x, label, attn) of one stage.
+def _seen(target: int) -> dict[str, Column]:
+    """x, label and attn of a token by its split_id and class_id.
 
     Split ids are ordered by visibility, so one comparison with the stage's target decides: targets are masked,
     labelled and attended; later splits are masked and hidden; all else is shown.
     """
-    target = STAGE_TARGETS[stage]
     s = F.col("split_id")
+    return {
+        "x": F.when(s >= target, MASK_ID).otherwise(F.col("token_id")).cast("bigint"),
+        "label": F.when(s == target, F.coalesce("class_id", F.lit(IGNORED))).otherwise(IGNORED).cast("bigint"),
+        "attn": ((F.col("token_id") != PAD_ID) & (s <= target)).cast("int"),
+    }
+
+
+def stage_view(encoded: DataFrame, classes: DataFrame, stage: str) -> DataFrame:
+    """(walk_id, pos, x, label, attn) of one stage."""
     labelled = encoded.join(F.broadcast(classes.select("token_id", "class_id")), "token_id", "left")
-    return labelled.select(
-        "walk_id", "pos",
-        F.when(s >= target, MASK_ID).otherwise(F.col("token_id")).cast("bigint").alias("x"),
-        F.when(s == target, F.coalesce("class_id", F.lit(IGNORED))).otherwise(IGNORED).cast("bigint").alias("label"),
-        ((F.col("token_id") != PAD_ID) & (s <= target)).cast("int").alias("attn"),
-    )
+    return labelled.select("walk_id", "pos", *(c.alias(n) for n, c in _seen(STAGE_TARGETS[stage]).items()))
 
 
 def stage_views(encoded: DataFrame, classes: DataFrame) -> DataFrame:
-    """All three stages in one table with a stage column; each is derived when it is read."""
-    views = [stage_view(encoded, classes, s).withColumn("stage", F.lit(s)) for s in STAGE_TARGETS]
-    return views[0].unionByName(views[1]).unionByName(views[2])
+    """All three stages in one table with a stage column; one pass over ``encoded`` makes three rows of each."""
+    labelled = encoded.join(F.broadcast(classes.select("token_id", "class_id")), "token_id", "left")
+    each = F.array(*(F.struct(*(c.alias(n) for n, c in _seen(target).items()), F.lit(s).alias("stage")) for s, target in STAGE_TARGETS.items()))
+    return labelled.select("walk_id", "pos", F.explode(each).alias("e")).select("walk_id", "pos", "e.*")
 
 
 def packed(view: DataFrame) -> DataFrame:

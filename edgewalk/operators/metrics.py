@@ -1,7 +1,8 @@
 """Exact multiclass metrics over scored rows.
 
 Scored rows have an id, target (class, or -1: ignored) and scores (an array, one for each class). Rows are reduced to
-counts by class or by distinct score before any window, so windows hold reduced rows only.
+counts by class or by distinct score first. Scores of large tables are nearly all distinct, so sums along a class's scores
+are taken by ranges of scores, many tasks to a class. Metrics may be grouped by further columns (``by``).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..ids import IGNORED
+from ..ranking import running_sums
 
 
 def softmax(scores: Column) -> Column:
@@ -80,37 +82,32 @@ def macro_scores(matrix: DataFrame) -> DataFrame:
     return class_scores(matrix).agg(F.avg("recall").alias("accuracy"), F.avg("f1").alias("f1"), F.count("*").alias("classes"))
 
 
-def one_vs_rest(predicted: DataFrame, column: str = "probabilities") -> DataFrame:
+def one_vs_rest(predicted: DataFrame, column: str = "probabilities", by: tuple[str, ...] = ()) -> DataFrame:
     """(class_id, score, pos, neg): counts of rows with that score of the class, by whether it is the target."""
     valid = predicted.where(F.col("target") != IGNORED)
-    each = valid.select("target", F.posexplode(column).alias("class_id", "score"))
+    each = valid.select(*by, "target", F.posexplode(column).alias("class_id", "score"))
     own = (F.col("target") == F.col("class_id")).cast("int")
-    return each.groupBy(F.col("class_id").cast("bigint").alias("class_id"), "score").agg(F.sum(own).alias("pos"), F.sum(1 - own).alias("neg"))
+    return each.groupBy(*by, F.col("class_id").cast("bigint").alias("class_id"), "score").agg(F.sum(own).alias("pos"), F.sum(1 - own).alias("neg"))
 
 
 def roc_points(counts: DataFrame) -> DataFrame:
-    """(class_id, score, tp, fp, tpr, fpr), a point for each distinct score, descending."""
-    down = Window.partitionBy("class_id").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("class_id")
-    tp, fp = F.sum("pos").over(down), F.sum("neg").over(down)
-    return counts.select("class_id", "score", tp.alias("tp"), fp.alias("fp"), F.try_divide(tp.cast("double"), F.sum("pos").over(whole)).alias("tpr"), F.try_divide(fp.cast("double"), F.sum("neg").over(whole)).alias("fpr"))
+    """(class_id, score, pos, neg, tp, fp, tpr, fpr), a point for each distinct score, descending."""
+    summed = running_sums(counts, ["class_id"], [F.desc("score")], {"pos": "tp", "neg": "fp"})
+    return summed.select("class_id", "score", "pos", "neg", "tp", "fp", F.try_divide(F.col("tp").cast("double"), "tp_all").alias("tpr"), F.try_divide(F.col("fp").cast("double"), "fp_all").alias("fpr"))
 
 
 def trapezoid(points: DataFrame) -> DataFrame:
-    """The area under each class's points, from (0, 0)."""
-    down = Window.partitionBy("class_id").orderBy(F.desc("score"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    steps = points.select("class_id", ((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a"))
-    return steps.groupBy("class_id").agg(F.sum("a").alias("area"))
+    """The area under each class's points, from (0, 0); a point's predecessor is its own counts less."""
+    totals = points.groupBy("class_id").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("neg") * (2.0 * F.col("tp") - F.col("pos")) / 2).alias("a"))
+    return totals.select("class_id", F.try_divide(F.col("a"), F.col("p").cast("double") * F.col("n")).alias("area"))
 
 
-def auroc(counts: DataFrame) -> DataFrame:
+def auroc(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Exact area for each class by ranks with ties at their mean; null without positives or without negatives."""
-    up = Window.partitionBy("class_id").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(up), F.lit(0))
-    wins = counts.select("class_id", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2.0)).alias("wins"))
-    sums = wins.groupBy("class_id").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("wins").alias("wins"))
-    return sums.select("class_id", "positives", "negatives", F.try_divide(F.col("wins"), F.col("positives").cast("double") * F.col("negatives")).alias("auroc"))
+    below = running_sums(counts, [*by, "class_id"], [F.col("score")], {"neg": "upto"})
+    wins = below.withColumn("wins", F.col("pos") * (F.col("upto") - F.col("neg") / 2.0))
+    sums = wins.groupBy(*by, "class_id").agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("wins").alias("wins"))
+    return sums.select(*by, "class_id", "positives", "negatives", F.try_divide(F.col("wins"), F.col("positives").cast("double") * F.col("negatives")).alias("auroc"))
 
 
 def macro_auroc(counts: DataFrame) -> DataFrame:
@@ -118,6 +115,29 @@ def macro_auroc(counts: DataFrame) -> DataFrame:
     return auroc(counts).agg(F.avg("auroc").alias("auroc"), F.count("auroc").alias("classes"))
 
 
+def stage_metrics(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
+    """n, loss, accuracy (mean recall), f1 (both over classes that occur) and auroc for each stage and epoch.
+
+    A group without labelled rows is left out, as a batch without labels has no loss. One pass counts hits by class.
+    """
+    valid = predicted.where(F.col("target") != IGNORED)
+    loss = valid.groupBy(*by).agg(F.count("*").alias("n"), F.avg(-F.ln(F.get("probabilities", F.col("target").cast("int")))).alias("loss"))
+    hit = (F.col("target") == F.col("prediction")).cast("int")
+    sides = F.array(F.struct(F.col("target").cast("bigint").alias("class_id"), hit.alias("tp"), (1 - hit).alias("fn"), F.lit(0).alias("fp")), F.struct(F.col("prediction").cast("bigint").alias("class_id"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), (1 - hit).alias("fp")))
+    counts = valid.select(*by, F.explode(sides).alias("s")).groupBy(*by, "s.class_id").agg(*(F.sum(f"s.{c}").alias(c) for c in ("tp", "fn", "fp"))).where("tp + fn + fp > 0")
+    recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
+    macro = counts.groupBy(*by).agg(F.avg(recall).alias("accuracy"), F.avg(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
+    areas = auroc(one_vs_rest(valid, by=by), by).groupBy(*by).agg(F.avg("auroc").alias("auroc"))
+    return loss.join(macro, [*by]).join(areas, [*by]).select(*by, "n", "loss", "accuracy", "f1", "auroc")
+
+
+def step_table(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch", "batch_id")) -> DataFrame:
+    """A row for each batch: rows, labelled, loss (null without labels) and whether it is skipped."""
+    labelled = F.col("target") != IGNORED
+    nll = F.when(labelled, -F.ln(F.get("probabilities", F.greatest(F.col("target"), F.lit(0)).cast("int"))))
+    return predicted.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(labelled).alias("labelled"), F.avg(nll).alias("loss")).withColumn("skipped", F.col("labelled") == 0)
+
+
 def positional_encoding(spark, length: int, dim: int) -> DataFrame:
     """(pos, i, value): sines in even, cosines in odd columns."""
     if dim % 2:

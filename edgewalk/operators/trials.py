@@ -62,6 +62,11 @@ def completed(trials: DataFrame) -> DataFrame:
     return trials.where(F.col("state") == "COMPLETE")
 
 
+def statuses(trials: DataFrame) -> DataFrame:
+    """(study, state, trials, with_value): a failed trial has a state of its own, and a value of 0 is a value."""
+    return trials.groupBy("study", "state").agg(F.count("*").alias("trials"), F.count("val_auc").alias("with_value"))
+
+
 def top_trials(trials: DataFrame, n: int = 10) -> DataFrame:
     """The best n by val_auc, then trial, with ranks from 1; trials without a value are left out."""
     best = trials.where("val_auc is not null").orderBy(F.desc("val_auc"), "trial").limit(n)
@@ -91,12 +96,12 @@ def described(trials: DataFrame) -> DataFrame:
 def pruned(reports: DataFrame, startup: int = 5, warmup: int = 5) -> DataFrame:
     """(trial, step, value, prune): below the median that earlier trials reported at the same step.
 
-    The first ``startup`` trials and the first ``warmup`` steps are never pruned; higher values are better.
+    A step's reports, one a trial, are one window. The first ``startup`` trials and the first ``warmup`` steps are never pruned; higher values are better.
     """
-    earlier = reports.select(F.col("trial").alias("t"), "step", F.col("value").alias("other"))
-    own = reports.where((F.col("trial") >= startup) & (F.col("step") >= warmup))
-    medians = own.join(earlier, "step").where(F.col("t") < F.col("trial")).groupBy("trial", "step").agg(F.expr("percentile(other, 0.5)").alias("median"))
-    return reports.join(medians, ["trial", "step"], "left").select("trial", "step", "value", F.coalesce(F.col("value") < F.col("median"), F.lit(False)).alias("prune"))
+    earlier = Window.partitionBy("step").orderBy("trial").rangeBetween(Window.unboundedPreceding, -1)
+    median = F.expr("percentile(value, 0.5)").over(earlier)
+    judged = (F.col("trial") >= startup) & (F.col("step") >= warmup) & (F.col("value") < median)
+    return reports.select("trial", "step", "value", F.coalesce(judged, F.lit(False)).alias("prune"))
 
 
 def newest(files: DataFrame, keep: int) -> DataFrame:
@@ -117,6 +122,7 @@ def parse_trial_log(lines: DataFrame) -> DataFrame:
     trial's value. The finish line holds the parameters as a dictionary, read as JSON; nothing is evaluated. A log is
     one file of text, so its lines are numbered in one window.
     """
+    # The phrases of the log.
     number = lambda pattern: F.regexp_extract("value", pattern, 1)
     header, auc = number(r"Trial (\d+) hyperparameters:"), number(r"Val AUC: ([\d.]+)")
     blocks = lines.withColumn("block", F.sum(F.when(header != "", 1).otherwise(0)).over(Window.orderBy("line_no"))).where("block > 0")

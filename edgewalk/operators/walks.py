@@ -6,16 +6,18 @@ Draws depend on (seed, walk, step) only, so results don't depend on partitions,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, node_token
-from ..ranking import checkpointed, draw, rank_by_draw
+from ..ranking import checkpointed, draw, rank_by_draw, running_sums
 
 #: Most edges whose adjacency is broadcast (about 20 bytes each); larger graphs are joined step by step.
 BROADCAST_EDGES = 1_000_000
 #: Steps between checkpoints.
 STEPS_PER_CUT = 8
+#: Numbers of out-edges that one key of a join covers, so that a walker meets so many edges of a hub at most.
+BLOCK = 64
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -26,12 +28,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def out_edges(edges: DataFrame) -> DataFrame:
     """u, v, label, and the numbers [low, high) that the copies of the edge have among the node's deg out-edges.
 
-    Copies are counted first, so a node's window holds distinct edges only.
+    Copies are counted first. Numbers come from ranges of (u, v, label), so a hub is numbered by many tasks.
     """
     counted = edges.groupBy("u", "v", "label").agg(F.count("*").alias("m"))
-    order = Window.partitionBy("u").orderBy("v", "label")
-    running = counted.withColumn("high", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return running.select("u", "v", "label", (F.col("high") - F.col("m")).alias("low"), "high", F.sum("m").over(Window.partitionBy("u")).alias("deg"))
+    running = running_sums(counted, ["u"], [F.col("v"), F.col("label")], {"m": "high"})
+    return running.select("u", "v", "label", (F.col("high") - F.col("m")).alias("low"), "high", F.col("high_all").alias("deg"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -40,19 +41,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return counted.groupBy("u").agg(F.sum("m").alias("deg"), F.count("*").alias("distinct_out"))
 
 
-def starts(edges: DataFrame, num_walks: int, seed: int) -> DataFrame:
-    """(walk_id, node): the drawn number modulo the count of start nodes, which are numbered in drawn order."""
+def starts(edges: DataFrame, num_walks: int, seed: int, walks_per_node: int = 1) -> DataFrame:
+    """(walk_id, node): the drawn number modulo the count of start nodes, which are numbered in drawn order.
+
+    Without a ``num_walks`` (0) there are ``walks_per_node`` for each start node, which are counted first.
+    """
     nodes = edges.select("u").distinct().withColumn("drawn", draw(seed, F.lit("start"), F.col("u")))
     numbered = rank_by_draw(nodes, "drawn", ["u"]).select(F.col("u").alias("node"), F.col("rank").alias("pick"))
     count = nodes.agg(F.count("*").alias("n_nodes"))
-    walks = edges.sparkSession.range(num_walks).select(F.col("id").alias("walk_id")).crossJoin(F.broadcast(count)).where("n_nodes > 0")
+    walks = edges.sparkSession.range(num_walks or walks_per_node * nodes.count()).select(F.col("id").alias("walk_id")).crossJoin(F.broadcast(count)).where("n_nodes > 0")
     return walks.select("walk_id", (draw(seed, F.col("walk_id"), 0) % F.col("n_nodes")).alias("pick")).join(numbered, "pick").select("walk_id", "node")
 
 
-def random_walks(edges: DataFrame, num_walks: int = 100, max_walk_length: int = 16, seed: int = 42, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def random_walks(edges: DataFrame, num_walks: int = 100, max_walk_length: int = 16, seed: int = 42, broadcast_edges: int = BROADCAST_EDGES, walks_per_node: int = 1) -> DataFrame:
     """(walk_id, start, path): path is an array of (v, label), one for each step."""
     edges = edges.select("u", "v", "label")
-    begun = starts(edges, num_walks, seed)
+    begun = starts(edges, num_walks, seed, walks_per_node)
     if edges.limit(broadcast_edges + 1).count() <= broadcast_edges:
         return _broadcast_walks(begun, edges, max_walk_length, seed)
     return _joined_walks(begun, edges, max_walk_length, seed)
@@ -73,13 +77,15 @@ def _broadcast_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int)
 
 
 def _joined_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    adj = checkpointed(out_edges(edges))
+    block = lambda k: F.floor(k / BLOCK)
+    numbered = out_edges(edges)
+    adj = checkpointed(numbered.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1)))))
     degree = checkpointed(adj.groupBy("u").agg(F.first("deg").alias("deg")))
     cur = checkpointed(begun)
     steps = []
     for step in range(1, length + 1):
         choice = cur.join(degree, cur.node == degree.u).select("walk_id", "node", (draw(seed, F.col("walk_id"), step) % F.col("deg")).alias("k"))
-        taken = choice.join(adj, (choice.node == adj.u) & (F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select("walk_id", "v", "label")
+        taken = choice.join(adj, (choice.node == adj.u) & (block(F.col("k")) == adj.block) & (F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select("walk_id", "v", "label")
         taken = checkpointed(taken)
         steps.append(taken.select("walk_id", F.lit(step).alias("step"), F.struct("v", "label").alias("edge")))
         cur = taken.select("walk_id", F.col("v").alias("node"))
@@ -113,8 +119,7 @@ def walk_lengths(tokens: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("walks"), F.min("n").alias("least"), F.max("n").alias("most"), F.avg("n").alias("mean"))
 
 
-def token_types(tokens: DataFrame, first_walks: int = 1000) -> DataFrame:
-    """Node and edge tokens of the first walks, and their ratio (null without edges)."""
-    some = tokens.where(F.col("walk_id") < first_walks)
-    n = some.agg(F.count_if(F.col("token").startswith("N_")).alias("nodes"), F.count_if(F.col("token").startswith("E_")).alias("edges"))
+def token_types(tokens: DataFrame) -> DataFrame:
+    """Node and edge tokens of all walks, and their ratio (null without edges)."""
+    n = tokens.agg(F.count_if(F.col("token").startswith("N_")).alias("nodes"), F.count_if(F.col("token").startswith("E_")).alias("edges"))
     return n.withColumn("ratio", F.try_divide(F.col("nodes").cast("double"), F.col("edges")))

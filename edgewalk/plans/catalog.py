@@ -14,8 +14,8 @@ from ..sources import edges as src
 from .prepare import Prepared, from_edges
 
 #: Settings of the queries; the oracle's SQL has the same numbers.
-WALKS, STEPS, SEED, BATCH = 2000, 8, 42, 8
-CONFIG = Config().override(f"dataset.num_walks={WALKS}", f"dataset.max_walk_length={STEPS}", f"dataset.seed={SEED}")
+PER_NODE, STEPS, SEED, BATCH = 1, 16, 42, 8
+CONFIG = Config().override(f"dataset.walks_per_node={PER_NODE}", f"dataset.max_walk_length={STEPS}", f"dataset.seed={SEED}")
 CLASSES = 3
 
 
@@ -34,7 +34,7 @@ def _copurchase(spark: SparkSession, sf_dir: str) -> Prepared:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as scored rows: the first ten numbers are the scores, the label is the target."""
+    """A stand-in for a model's scores: the first ten numbers of an embedding; its label is the target."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return rows.select(F.col("vec_id").alias("id"), F.col("label").alias("target"), F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("scores"))
 
@@ -109,7 +109,7 @@ def adjacency_degree(spark, d):
 
 
 def _walk_rows(edges, broadcast_edges=walks.BROADCAST_EDGES):
-    paths = walks.random_walks(edges, WALKS, STEPS, SEED, broadcast_edges)
+    paths = walks.random_walks(edges, 0, STEPS, SEED, broadcast_edges, PER_NODE)
     return walks.walk_tokens(paths).select(_i("walk_id"), _i("pos"), "token")
 
 
@@ -300,6 +300,22 @@ def macro_auroc(spark, d):
     return metrics.macro_auroc(metrics.one_vs_rest(_scored(spark, d), "scores")).select(_r("auroc"), _i("classes"))
 
 
+def _staged(spark, d):
+    """The scored rows dealt to stages and epochs by id; stand-ins for a run's, with some ignored targets."""
+    rows = metrics.predictions(_scored(spark, d))
+    ignored = F.when(F.col("id") % 11 == 0, -1).otherwise(F.col("target"))
+    return rows.select("id", ignored.alias("target"), "probabilities", "prediction", F.get(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("id") % 3).cast("int")).alias("stage"), (F.floor(F.col("id") / 3) % 2).alias("epoch"))
+
+
+def stage_metrics(spark, d):
+    return metrics.stage_metrics(_staged(spark, d)).select("stage", *map(_i, ("epoch", "n")), *map(_r, ("loss", "accuracy", "f1", "auroc")))
+
+
+def step_table(spark, d):
+    steps = metrics.step_table(_staged(spark, d).withColumn("batch_id", F.when(F.col("target") == -1, -1).otherwise(F.col("id") % 5)))
+    return steps.select("stage", *map(_i, ("epoch", "batch_id", "n", "labelled")), _r("loss"), _i(F.col("skipped").cast("int"), "skipped"))
+
+
 def positional_encoding(spark, d):
     return metrics.positional_encoding(spark, 2 * STEPS + 1, 16).select(_i("pos"), _i("i"), _r("value"))
 
@@ -369,7 +385,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             dedup_edges_ordered, sampled_edges, split_edges, split_sizes, split_label_dist, split_overlap, split_precedence, adjacency_degree,
             random_walks, random_walks_joined, walks_bipartite_sinks, walk_length_stats, walk_token_types, vocab_table, class_map, vocab_composition,
             encode_roundtrip, parsed_tokens, label_roundtrip, edge_context, encoded_walks, padded_walks, stage_train, stage_val, stage_test, stage_packed,
-            stage_summary, stage_sparsity, seq_length_stats, token_frequency, token_usage, class_counts_dense, class_imbalance, targets_attended,
+            stage_summary, stage_sparsity, seq_length_stats, token_frequency, token_usage, class_counts_dense, class_imbalance, targets_attended, stage_metrics, step_table,
             target_positions, batch_skipping, train_batches, label_density, class_weights, present_class_weights, softmax_argmax, weighted_ce,
             confusion_matrix, label_confusion, confusion_normalized, macro_accuracy_f1, roc_points, roc_area, auroc_ovr, macro_auroc, positional_encoding,
             combo_decode, search_space, trial_topk, trial_leaderboard, best_trial, scalar_last_values, scalar_summary, retention, transformer_scores, logreg_baseline,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import BATCH, CLASSES, CONFIG, SEED, STEPS, WALKS
+from .catalog import BATCH, CLASSES, CONFIG, PER_NODE, SEED, STEPS
 
 _D = CONFIG.dataset
 
@@ -35,7 +35,7 @@ lookup as (select u, v, label, min(split_id) as split_id from split group by u,
 WALK = f"""adj as (select u, v, label, row_number() over (partition by u order by v, label) - 1 as k, count(*) over (partition by u) as deg from edges),
 degs as (select distinct u, deg from adj),
 nodes as (select u, row_number() over (order by {draw(str(SEED), "'start'", 'u')}, u) - 1 as pick, count(*) over () as n_nodes from degs),
-begun as (select w.i as walk_id, nodes.u as node from range({WALKS}) w(i) join nodes on nodes.pick = {draw(str(SEED), 'w.i', '0')} % nodes.n_nodes),
+begun as (select w.i as walk_id, nodes.u as node from (select unnest(range({PER_NODE} * (select count(*) from nodes))) as i) w join nodes on nodes.pick = {draw(str(SEED), 'w.i', '0')} % nodes.n_nodes),
 walk as (
   select walk_id, 0 as step, node, null::bigint as frm, null::integer as label from begun
   union all
@@ -160,7 +160,7 @@ def oracle_sql() -> dict[str, str]:
         "random_walks_joined": _tokens(COPURCHASE),
         "walks_bipartite_sinks": _tokens(BIPARTITE),
         "walk_length_stats": f"with recursive {COPURCHASE}, {WALK} select count(*) as walks, min(n) as least, max(n) as most, round(avg(n), 6) as mean from (select walk_id, count(*) as n from tokens group by walk_id) t",
-        "walk_token_types": f"with recursive {COPURCHASE}, {WALK}, c as (select count(*) filter (starts_with(token, 'N_')) as nodes, count(*) filter (starts_with(token, 'E_')) as edges from tokens where walk_id < 1000) select nodes, edges, round(nodes / edges::double, 6) as ratio from c",
+        "walk_token_types": f"with recursive {COPURCHASE}, {WALK}, c as (select count(*) filter (starts_with(token, 'N_')) as nodes, count(*) filter (starts_with(token, 'E_')) as edges from tokens) select nodes, edges, round(nodes / edges::double, 6) as ratio from c",
         "vocab_table": f"{BASE}, {VOCAB} select token, {_i('token_id')} from vocab",
         "class_map": f"{BASE}, {VOCAB} select token, {_i('token_id', 'class_id')} from classes",
         "vocab_composition": f"{BASE}, {VOCAB} select count(*) as vocab_size, count(*) filter (starts_with(token, 'N_')) as nodes, count(*) filter (starts_with(token, 'E_')) as edges, count(*) filter (starts_with(token, '<')) as special from vocab",
@@ -184,7 +184,7 @@ def oracle_sql() -> dict[str, str]:
         "targets_attended": _per_stage("select stage, walk_id, count(*) as n, bool_and(attn = 1) as seen, bool_and(x = 1) as masked from views where label <> -1 group by stage, walk_id", "select stage, count(*) as walks, cast(sum(n) as bigint) as targets, count(*) filter (seen) as all_attended, count(*) filter (masked) as all_masked from per group by stage"),
         "target_positions": f"{ALL} select stage, {_i('walk_id')}, coalesce(string_agg(pos, ',' order by pos) filter (label <> -1), '') as targets, coalesce(string_agg(pos, ',' order by pos) filter (x = 1), '') as masked, coalesce(string_agg(pos, ',' order by pos) filter (x = 0), '') as padded from views group by stage, walk_id",
         "batch_skipping": _per_stage(f"select stage, walk_id // {BATCH} as b, count(*) filter (label <> -1) as valid, count(*) as positions from views group by stage, b", "select stage, count(*) as batches, count(*) filter (valid = 0) as skipped, min(valid) filter (valid > 0) as least, max(valid) filter (valid > 0) as most, round(100.0::double * count(*) filter (valid = 0) / count(*), 6) as skipped_percent, round(100.0::double * sum(valid) / sum(positions), 6) as label_percent, round(avg(valid) filter (valid > 0), 6) as mean from per group by stage"),
-        "train_batches": f"select cast(b as bigint) as batch_id, count(*) as walks, min(i) as least, max(i) as most from (select i, (row_number() over (order by {draw(str(SEED), repr('batch'), 'i')}, i) - 1) // {BATCH} as b from range({WALKS}) t(i)) x group by b",
+        "train_batches": f"with {COPURCHASE} select cast(b as bigint) as batch_id, count(*) as walks, min(i) as least, max(i) as most from (select i, (row_number() over (order by {draw(str(SEED), repr('batch'), 'i')}, i) - 1) // {BATCH} as b from (select unnest(range({PER_NODE} * (select count(distinct u) from edges))) as i) t) x group by b",
         "label_density": _per_stage("select stage, walk_id, count(*) filter (label <> -1) as n from views group by stage, walk_id", "select stage, count(*) as walks, min(n) as least, max(n) as most, round(avg(n), 6) as mean from per where n > 0 group by stage"),
         "class_weights": f"{ALL}, {_DENSE(CLASSES + 1)} select {_i('class_id')}, n, round(case when n > 0 then sum(n) over () / (count(*) over () * n)::double else 1.0 end, 6) as weight from dense",
         "present_class_weights": f"{ALL}, c as (select label as class_id, count(*) as n from views where stage = 'train' and label <> -1 group by label) select {_i('class_id')}, n, round(sum(n) over () / (count(*) over () * n)::double, 6) as weight from c",
@@ -198,6 +198,18 @@ def oracle_sql() -> dict[str, str]:
         "roc_area": f"with {SCORED}, {OVR}, {CURVE}, s as (select class_id, (fpr - coalesce(lag(fpr) over w, 0)) * (tpr + coalesce(lag(tpr) over w, 0)) / 2 as a from rates window w as (partition by class_id order by score desc)) select {_i('class_id')}, round(sum(a), 6) as area from s group by class_id",
         "auroc_ovr": f"with {SCORED}, r as (select class_id, target, rank() over (partition by class_id order by z) + (count(*) over (partition by class_id, z) - 1) / 2.0::double as rk from cells), g as (select class_id, count(*) filter (target = class_id) as p, count(*) filter (target <> class_id) as q, sum(rk) filter (target = class_id) as s from r group by class_id) select {_i('class_id')}, p as positives, q as negatives, round(case when p > 0 and q > 0 then (s - p * (p + 1) / 2.0::double) / (p * q::double) end, 6) as auroc from g",
         "macro_auroc": f"with {SCORED}, g as (select a.class_id, avg(case when a.z > b.z then 1.0::double when a.z = b.z then 0.5 else 0 end) as x from cells a join cells b on a.class_id = b.class_id and a.target = a.class_id and b.target <> b.class_id group by a.class_id) select round(avg(x), 6) as auroc, count(x) as classes from g",
+        "stage_metrics": f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, prediction, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
+            pr as (select cl.*, class_id, p from cl join soft using (id)), ok as (select * from pr where target <> -1),
+            loss as (select stage, epoch, count(*) as n, avg(-ln(p)) as loss from ok where class_id = target group by all),
+            k as (select stage, epoch, class_id, count(*) filter (target = class_id and prediction = class_id) as tp, count(*) filter (target = class_id and prediction <> class_id) as fn, count(*) filter (target <> class_id and prediction = class_id) as fp from ok group by all),
+            macro as (select stage, epoch, avg(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end) as accuracy, avg(2.0::double * tp / (2 * tp + fp + fn)) as f1 from k where tp + fn + fp > 0 group by all),
+            r as (select stage, epoch, class_id, target, rank() over (partition by stage, epoch, class_id order by p) + (count(*) over (partition by stage, epoch, class_id, p) - 1) / 2.0::double as rk from ok),
+            g as (select stage, epoch, class_id, count(*) filter (target = class_id) as a, count(*) filter (target <> class_id) as b, sum(rk) filter (target = class_id) as s from r group by all),
+            area as (select stage, epoch, avg(case when a > 0 and b > 0 then (s - a * (a + 1) / 2.0::double) / (a * b::double) end) as auroc from g group by all)
+            select stage, cast(epoch as bigint) as epoch, n, round(loss, 6) as loss, round(accuracy, 6) as accuracy, round(f1, 6) as f1, round(auroc, 6) as auroc from loss join macro using (stage, epoch) join area using (stage, epoch)""",
+        "step_table": f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
+            x as (select cl.*, case when target = -1 then -1 else id % 5 end as batch_id, (select -ln(p) from soft where soft.id = cl.id and class_id = cl.target) as nll from cl)
+            select stage, cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id, count(*) as n, count(*) filter (target <> -1) as labelled, round(avg(nll), 6) as loss, cast(count(*) filter (target <> -1) = 0 as bigint) as skipped from x group by stage, epoch, batch_id""",
         "positional_encoding": f"select p.i as pos, d.i as i, round(case when d.i % 2 = 0 then sin(p.i * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) else cos(p.i * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) end, 6) as value from range({2 * STEPS + 1}) p(i), range(16) d(i)",
         "combo_decode": f"with {COMBOS} select t.i as combo, {_i('nhead', 'emb')} from range(-1, 29) t(i) left join combos on combos.combo = t.i",
         "search_space": f"with {COMBOS} select trial, {_i('nhead', 'emb')}, {ints('max_walk_length', 10, 100)}, {choice('batch_size', 32, 64, 128, 256, 512)}, {choice('hidden_dim', 4, 8, 16, 32, 64, 128, 256)}, {ints('nlayers', 1, 6)}, {ints('early_stopping_patience', 5, 20)}, {ints('epochs', *_EPOCHS)}, {floats('dropout', 0.0, 0.7)}, {floats('gradient_clip_val', 0.1, 2.0)}, {logs('lr', 1e-5, 1e-1)}, {logs('weight_decay', 1e-8, 1e-1)} from (select i as trial, cast(floor({_u('combo').replace('trial', 'i')} * 27) as bigint) as combo from range(100) t(i)) t join combos using (combo)",

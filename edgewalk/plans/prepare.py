@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,16 @@ class Prepared:
     classes: DataFrame
     encoded: DataFrame
 
+    @cached_property
+    def written(self) -> DataFrame:
+        """``encoded``, written once for the views, which read it several times."""
+        return checkpointed(self.encoded)
+
     def view(self, stage: str, pad: bool = True) -> DataFrame:
-        return encode.stage_view(encode.padded(self.encoded) if pad else self.encoded, self.classes, stage)
+        return encode.stage_view(encode.padded(self.written) if pad else self.written, self.classes, stage)
 
     def views(self, pad: bool = True) -> DataFrame:
-        return encode.stage_views(encode.padded(self.encoded) if pad else self.encoded, self.classes)
+        return encode.stage_views(encode.padded(self.written) if pad else self.written, self.classes)
 
     def meta(self) -> dict[str, int]:
         return {"vocab_size": self.vocab.count(), "num_classes": self.classes.count(), "pad_id": PAD_ID, "ignore_index": IGNORED}
@@ -43,30 +49,38 @@ class Prepared:
 def prepare(spark: SparkSession, path: str, cfg: Config | None = None) -> Prepared:
     """Build all tables from the dataset's loader; nothing runs but what the chosen table needs."""
     d = (cfg or Config()).dataset
-    edges = get_loader(d.name)(spark, d.path or path)
-    if "edge_key" not in edges.columns:
-        from ..sources.edges import keyed
-
-        edges = keyed(edges)
-    return from_edges(edges, cfg)
+    return from_edges(get_loader(d.name)(spark, d.path or path), cfg)
 
 
 def from_edges(edges: DataFrame, cfg: Config | None = None) -> Prepared:
     """All tables of an edge list; walks are written once, as vocabulary and encoding both read them."""
     d = (cfg or Config()).dataset
     split = splits.split_edges(edges, d)
-    paths = checkpointed(walks.random_walks(edges, d.num_walks, d.max_walk_length, d.seed))
+    paths = checkpointed(walks.random_walks(edges, d.num_walks, d.max_walk_length, d.seed, walks_per_node=d.walks_per_node))
     tokens = walks.walk_tokens(paths)
     words = vocab.vocabulary(tokens, edges)
     return Prepared(edges, split, paths, tokens, words, vocab.class_map(words), encode.encode_walks(tokens, words, splits.split_lookup(split)))
 
 
-TABLES = ("split", "walks", "vocab", "classes", "encoded")
+TABLES = ("edges", "split", "walks", "vocab", "classes", "encoded")
+
+
+def input_state(spark: SparkSession, path: str) -> list:
+    """Path, size and modification time of every file below ``path`` (a file, folder or glob), by any file system."""
+    jvm, out = spark._jvm, []
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(top) or []:
+        files = fs.listFiles(found.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
 
 
-def save(prepared: Prepared, folder: str, cfg: Config) -> None:
-    """Write the tables as Parquet below ``folder``/<hash of the dataset settings>, and meta.json's content as text."""
-    spark, base = prepared.edges.sparkSession, f"{folder}/{cfg.digest()}"
+def save(prepared: Prepared, base: str) -> None:
+    """Write the tables as Parquet below ``base``, and meta.json's content as text at last."""
+    spark = prepared.edges.sparkSession
     for name in TABLES:
         frame = getattr(prepared, name)
         writer = frame.write.mode("overwrite")
@@ -75,25 +89,32 @@ def save(prepared: Prepared, folder: str, cfg: Config) -> None:
     spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
 
 
-def load(spark: SparkSession, folder: str, cfg: Config, edges: DataFrame) -> Prepared | None:
-    """The saved tables of just these settings, or None; a saved vocabulary of other settings is never reused."""
+def load(spark: SparkSession, base: str) -> Prepared | None:
+    """The tables saved below ``base``, or None if there are none."""
     from pyspark.errors import AnalysisException
 
-    base = f"{folder}/{cfg.digest()}"
     try:
         spark.read.text(f"{base}/meta")
     except AnalysisException:
         return None
     tables = {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
-    return Prepared(edges=edges, tokens=walks.walk_tokens(tables["walks"]), **tables)
+    return Prepared(tokens=walks.walk_tokens(tables["walks"]), **tables)
 
 
 def prepare_cached(spark: SparkSession, path: str, cfg: Config) -> Prepared:
+    """Saved tables of these settings and these input files, or fresh ones, which are saved if the settings say so.
+
+    The folder's name is a hash of the settings and of path, size and modification time of the input, so tables of
+    another dataset, or of one that has changed, are never reused. A saved dataset is loaded without building anything.
+    """
     p = cfg.preprocess
-    fresh = prepare(spark, path, cfg)
-    if p.use_cache and p.folder and (found := load(spark, p.folder, cfg, fresh.edges)):
+    if not p.folder:
+        return prepare(spark, path, cfg)
+    base = f"{p.folder}/{cfg.digest(input_state(spark, cfg.dataset.path or path))}"
+    if p.use_cache and (found := load(spark, base)):
         return found
-    if p.save and p.folder:
-        save(fresh, p.folder, cfg)
-        return load(spark, p.folder, cfg, fresh.edges) or fresh
-    return fresh
+    fresh = prepare(spark, path, cfg)
+    if not p.save:
+        return fresh
+    save(fresh, base)
+    return load(spark, base) or fresh

@@ -17,11 +17,11 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def rank_by_draw(df: DataFrame, drawn: str, ties: list[str], name: str = "rank", bucket_bits: int = 8) -> DataFrame:
+def rank_by_draw(df: DataFrame, drawn: str, ties: list[str], name: str = "rank", bucket_bits: int = 14) -> DataFrame:
     """``df`` with the 0-based row number by (drawn, ties).
 
     The leading bits of the draw are buckets of about equal size; each is numbered in its own task and shifted by the
-    sum of the buckets before it, of which there are 2 ** ``bucket_bits``.
+    sum of the buckets before it. There are 2 ** ``bucket_bits``: of 10 ** 11 rows each has 6 million.
     """
     bucketed = df.withColumn("_bucket", F.shiftright(drawn, DRAW_BITS - bucket_bits))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,10 +33,13 @@ def rank_by_draw(df: DataFrame, drawn: str, ties: list[str], name: str = "rank",
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a temporary folder stands in where none is named."""
+    """Cut the lineage in the folder of ``spark.checkpoint.dir``; on one machine a temporary folder may stand in."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -51,3 +54,21 @@ def rank_by_range(df: DataFrame, order: list[str], name: str = "rank") -> DataFr
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
     return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + inside).drop("_id", "_part", "_offset")
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """``df`` with inclusive running sums within ``by`` in that order, and the group's totals.
+
+    ``sums`` names each summed column's running sum; its total gets the suffix ``_all``. Rows are dealt by ranges of
+    (by, order), so one group may lie in many tasks; each is summed in its ranges behind the sum of the ranges before.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *map(F.col, by), *order)
+    held = checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    per = held.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_{n}") for c, n in sums.items()))
+    ahead = per.select(*by, "_part", *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums.values()), *(F.sum(f"_{n}").over(whole).alias(f"{n}_all") for n in sums.values()))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = held.select("*", *(F.sum(c).over(inside).alias(n) for c, n in sums.items())).join(ahead, [*by, "_part"])
+    return summed.select(*df.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums.values()), *(f"{n}_all" for n in sums.values()))

@@ -5,31 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..ranking import checkpointed
+
 RATING_SCHEMA = "source long, target long, rating int, timestamp double"
 
 
-def parse_edges(lines: DataFrame, separator: str = r"\s+", comment: str | None = "%", column: str = "value") -> DataFrame:
-    """(u, v, label) of lines with three fields or more; more fields are ignored, other numbers raise as in ``int``."""
+def parse_edges(lines: DataFrame, separator: str = r"\s+", comment: str | None = "%", column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(u, v, label) and the columns to ``keep`` of lines with three fields or more; more fields are ignored, other numbers raise as in ``int``."""
     text = F.trim(F.regexp_replace(column, r"^\s+|\s+$", "")) if separator == r"\s+" else F.col(column)
     parts = F.split(text, separator)
     kept = lines if comment is None else lines.where(~F.col(column).startswith(comment))
     cell = lambda i, kind, name: F.trim(parts[i]).cast(kind).alias(name)
-    return kept.where(F.size(parts) >= 3).select(cell(0, "bigint", "u"), cell(1, "bigint", "v"), cell(2, "int", "label"))
+    return kept.where(F.size(parts) >= 3).select(*keep, cell(0, "bigint", "u"), cell(1, "bigint", "v"), cell(2, "int", "label"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block): lines with their file's name and the byte at which their split of the file begins."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def keyed(edges: DataFrame) -> DataFrame:
-    """``edges`` of a file with edge_key, major and minor: file order, as Spark reads its partitions."""
-    at = F.monotonically_increasing_id()
-    held = edges.withColumn("major", F.shiftright(at, 33).cast("bigint")).withColumn("minor", F.pmod(at, F.lit(1 << 33)).cast("bigint"))
-    return held.select(F.concat_ws("-", "major", "minor").alias("edge_key"), "major", "minor", "u", "v", "label")
+    """``edges`` of files (file, block, u, v, label) with edge_key, major (the file's place by name) and minor (its edge).
+
+    An edge's key is its file's name and its place among the file's edges, however the file is split into tasks: edges
+    are numbered within splits, behind the sum of the splits before. The table is written once, so that all readers
+    see the same splits.
+    """
+    held = checkpointed(edges.withColumn("_at", F.monotonically_increasing_id()))
+    blocks = held.groupBy("file", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    places = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), (F.dense_rank().over(Window.orderBy("file")) - 1).cast("bigint").alias("major"))
+    minor = F.col("_offset") + F.col("_at") - F.col("_first")
+    return held.join(F.broadcast(places), ["file", "block"]).select(F.concat_ws("-", F.col("file"), minor).alias("edge_key"), "major", minor.alias("minor"), "u", "v", "label")
 
 
 def load_spaced(spark: SparkSession, path: str) -> DataFrame:
-    return parse_edges(spark.read.text(path))
+    return keyed(parse_edges(read_lines(spark, path), keep=("file", "block")))
 
 
 def load_commas(spark: SparkSession, path: str) -> DataFrame:
-    return parse_edges(spark.read.text(path), ",", None)
+    return keyed(parse_edges(read_lines(spark, path), ",", None, keep=("file", "block")))
 
 
 def read_ratings(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,6 @@ def read_studies(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, value) of one text file."""
-    lines = spark.read.option("wholetext", "true").text(path)
+    lines = spark.read.text(path, wholetext=True)
     each = lines.select(F.posexplode(F.split("value", "\n")).alias("i", "value"))
     return each.select((F.col("i") + 1).cast("bigint").alias("line_no"), "value")

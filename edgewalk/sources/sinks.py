@@ -1,4 +1,4 @@
-"""Writers: edge lists, ratings, leaderboards, metrics, trials, checkpoints and retention."""
+"""Writers: edge lists, ratings, leaderboards, metrics, trials and retention."""
 
 from __future__ import annotations
 
