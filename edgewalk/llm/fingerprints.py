@@ -15,10 +15,11 @@ digest of their own. Equal texts have equal digests. No text is cut.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, over_batches, texts
@@ -183,6 +184,17 @@ def fingerprints(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     return over_batches(texts(docs), run, "doc_id long, fingerprint binary")
 
 
+def cuts_above(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` exceed the key, by about twice the square root of their number of comparisons."""
+    if not cuts:
+        return F.lit(0)
+    down, wide = cuts[::-1], math.isqrt(len(cuts) - 1) + 1
+    above = lambda found: F.size(F.filter(found, lambda c: c > key))
+    whole = above(F.array(*map(F.lit, down[::wide])))
+    rest = above(F.slice(F.array(*map(F.lit, down)), (whole - 1) * wide + 1, F.lit(wide)))
+    return F.when(whole == 0, 0).otherwise((whole - 1) * wide + rest)
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(range, extra, doc_id, text): every text in a range of ids, and the text behind the range once more as extra.
 
@@ -195,8 +207,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null")
     cuts = ids.approxQuantile("d", [i / (RANGES * parts) for i in range(1, RANGES * parts)], 0.2 / (RANGES * parts))
     cuts = sorted({int(c) for c in cuts})
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > key)) if cuts else F.lit(0)
-    ranged = texts(docs).withColumn("range", bucket).withColumn("key", key)
+    ranged = texts(docs).withColumn("key", key).withColumn("range", cuts_above(F.col("key"), cuts))
     firsts = sorted(ranged.groupBy("range").agg(F.max("key").alias("key")).collect())
     behind = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     heads = spark.createDataFrame(behind, "key long, more int")

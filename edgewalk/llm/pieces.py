@@ -1,9 +1,11 @@
 r"""SentencePiece encoding and decoding as weighted finite-state transducers.
 
-Three transducers are compiled from a model file: the normaliser (identity; a dummy space in front; spaces become
-U+2581), the pieces with byte fallback (an arc for each piece, and a chain of byte arcs for a character that no piece
-has), and, for a BPE model, a constraint on neighbouring pieces. They are composed with each input as it is read:
-states are positions (and the piece before), arc weights add up, and the tropical shortest path is the encoding.
+Three transducers are compiled from a model file: the normaliser (a dummy space in front; spaces become U+2581), the
+pieces with byte fallback (an arc for each piece, and a chain of byte arcs for a character that no piece has), and, for
+a BPE model, a constraint on neighbouring pieces. ``Automaton`` holds them as states and weighted arcs, composes them with
+an input, and takes the tropical shortest path; ``lattice`` and ``encode_by_composition`` are the definition that tests
+hold. ``PieceTransducer`` is its compiled form for whole tables: the same composition, made as the input is read; states
+are positions (and the piece before), arc weights add up, and the shortest path is the encoding.
 
 For a unigram model an arc's weight is minus its score. For a BPE model the weight of a pair of pieces is 0 if merging
 their joint text gives just this pair, and infinite otherwise. A text is the merge result exactly if all its
@@ -110,6 +112,90 @@ class PieceModel:
             return cls.parse(f.read())
 
 
+class Automaton:
+    """A weighted transducer: ``arcs[state]`` lists (symbol read, ids written, weight, next state); ``final`` states."""
+
+    def __init__(self, start, final):
+        self.start, self.final, self.arcs = start, set(final), {}
+
+    def arc(self, state, read, write: tuple, weight: float, to) -> None:
+        self.arcs.setdefault(state, []).append((read, write, weight, to))
+
+    def compose(self, then: Automaton) -> Automaton:
+        """Reads what ``self`` reads and writes what ``then`` writes; ``self`` writes one symbol an arc at most."""
+        out, todo = Automaton((self.start, then.start), ()), [(self.start, then.start)]
+        seen = set(todo)
+        while todo:
+            a, b = state = todo.pop()
+            if a in self.final and b in then.final:
+                out.final.add(state)
+            for read, write, w, a2 in self.arcs.get(a, ()):
+                after = [((), 0.0, b)] if not write else [(o, v, b2) for r, o, v, b2 in then.arcs.get(b, ()) if r == write[0]]
+                for o, v, b2 in after:
+                    out.arc(state, read, o, w + v, (a2, b2))
+                    if (a2, b2) not in seen:
+                        seen.add((a2, b2))
+                        todo.append((a2, b2))
+        return out
+
+    def shortest(self) -> list:
+        """What the path of least weight from start to a final state writes; by relaxation, as weights may be negative."""
+        best = {self.start: (0.0, ())}
+        todo = [self.start]
+        while todo:
+            state = todo.pop(0)
+            cost, written = best[state]
+            for _, write, w, to in self.arcs.get(state, ()):
+                if cost + w < best.get(to, (float("inf"),))[0]:
+                    best[to] = (cost + w, written + write)
+                    todo.append(to)
+        ends = [best[s] for s in self.final if s in best]
+        return list(min(ends)[1]) if ends else []
+
+
+def normaliser(model: PieceModel, text: str) -> Automaton:
+    """The input as a chain of characters, written as the model's pieces spell them."""
+    line = Automaton(0, [len(text) + 1])
+    line.arc(0, "", (SPACE,) if model.dummy_prefix and text else (), 0.0, 1)
+    for i, c in enumerate(text, 1):
+        line.arc(i, c, (SPACE if c == " " else c,), 0.0, i + 1)
+    return line
+
+
+def lattice(t: PieceTransducer, text: str) -> Automaton:
+    """Characters of a normalised text to piece ids: pieces at their weights, and bytes where a character has no piece."""
+    m, out = t.model, Automaton(0, [len(text)])
+    floor = -min(m.scores, default=0.0) + 10.0
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + t.longest) + 1):
+            piece = t.arcs.get(text[i:j])
+            if piece is not None:
+                out.arc(i, text[i:j], (piece,), 0.0 if m.kind == BPE else -m.scores[piece], j)
+        if text[i] not in t.arcs:
+            out.arc(i, text[i], (-1 - ord(text[i]),), 0.0 if m.kind == BPE else floor, i + 1)
+    return out
+
+
+def neighbours(t: PieceTransducer, ids: set[int]) -> Automaton:
+    """For a BPE model: passes pairs of pieces whose joint text merges to just them; states are the piece before."""
+    out = Automaton(None, [None, *ids])
+    for left in (None, *ids):
+        for right in ids:
+            if left is None or left < 0 or right < 0 or t.merged(t.model.pieces[left] + t.model.pieces[right]) == [t.model.pieces[left], t.model.pieces[right]]:
+                out.arc(left, right, (right,), 0.0, right)
+    return out
+
+
+def encode_by_composition(t: PieceTransducer, text: str) -> list[int]:
+    """Ids of a short text by composing normaliser, pieces, byte fallback and, for BPE, the constraint on neighbours."""
+    line = normaliser(t.model, text)
+    normal = "".join(write[0] for state in sorted(line.arcs) for _, write, _, _ in line.arcs[state] if write)
+    paths = lattice(t, normal)
+    if t.model.kind == BPE:
+        paths = paths.compose(neighbours(t, {w[0] for arcs in paths.arcs.values() for _, w, _, _ in arcs}))
+    return [i for x in paths.shortest() for i in ([x] if x >= 0 else t.fallback(chr(-1 - x)))]
+
+
 class PieceTransducer:
     """The composed transducer; compiled lazily in each worker."""
 

@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are pairs of byte classes, word lengths, and words that repeat the word before; they see the form of a text, so
-all languages share them. Rates of terms, square-rooted and weighted by rarity, are projected on the leading singular
+Terms are words, hashed to ``WORDS`` columns, and the form of a text, which all languages share: pairs of byte classes,
+word lengths, and words that repeat the word before. Rates of terms, square-rooted and weighted by rarity, are projected on the leading singular
 vectors of a labelled sample. The labelled vectors (at most ``SAMPLE`` rows of ``RANK`` floats: 2 MB) are broadcast;
 every document is compared with all of them, block by block, and its ``K`` best neighbours vote with their similarity.
 
@@ -29,12 +29,20 @@ SHARPNESS = 8
 BLOCK = 1024
 #: Repeated words are counted within stretches of so many words, so that long texts don't count as repetitive.
 STRETCH = 2000
-#: Texts are processed in pieces of so many bytes.
+#: Texts are processed in pieces of about so many bytes, cut behind blanks; terms don't depend on the cuts.
 PIECE = 1 << 22
 
+#: Hashed words of the vocabulary, and what their shares count beside those of the form.
+WORDS = 512
+WORD_SHARE = 0.25
+
 _KINDS = 16
 _LENGTHS = 16
-TERMS = _KINDS * _KINDS + _LENGTHS + 4
+_FORM = _KINDS * _KINDS
+_LEXICAL = _FORM + _LENGTHS
+_REPEATS = _LEXICAL + WORDS
+TERMS = _REPEATS + 4
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_kinds() -> np.ndarray:
@@ -50,45 +58,64 @@ KINDS = _byte_kinds()
 _POSITION = np.random.default_rng(7).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64)
 
 
-def _count(data: np.ndarray, counts: np.ndarray) -> None:
-    """Add the terms of one piece of text to ``counts``."""
-    kinds = KINDS[data]
-    if len(data) > 1:
-        counts[: _KINDS * _KINDS] += np.bincount(kinds[:-1].astype(np.int16) * _KINDS + kinds[1:], minlength=_KINDS * _KINDS)
+def _word_hashes(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash and the length of every word of a piece."""
     blank = (kinds == 0) | (kinds == 4)
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return
-    length = end - start
-    at = _KINDS * _KINDS
-    counts[at : at + _LENGTHS] += np.bincount(np.minimum(length, _LENGTHS) - 1, minlength=_LENGTHS)
-    place = (np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))) if start[0] == 0 else None
-    if place is None:
-        place = np.arange(len(data)) - np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data))))))
-    word = np.add.reduceat(np.where(blank, np.uint64(0), data.astype(np.uint64) * _POSITION[place & 63]), start)
-    at += _LENGTHS
-    counts[at] += np.count_nonzero(word[1:] == word[:-1])
-    counts[at + 1] += np.count_nonzero(word[2:] == word[:-2])
-    for begin in range(0, len(word), STRETCH):
-        some = word[begin : begin + STRETCH]
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    place = np.arange(len(data)) - np.concatenate((np.zeros(start[0], np.int64), np.repeat(start, np.diff(np.append(start, len(data))))))
+    return np.add.reduceat(np.where(blank, np.uint64(0), data.astype(np.uint64) * _POSITION[place & 63]), start), end - start
+
+
+def _cut(data: np.ndarray, begin: int, end: int) -> int:
+    """Where a piece that begins at ``begin`` ends: behind its last blank, or else behind the next one."""
+    stop = begin + PIECE
+    while stop < end:
+        blank = np.flatnonzero(np.isin(KINDS[data[max(begin, stop - PIECE) : stop]], (0, 4)))
+        if len(blank):
+            return max(begin, stop - PIECE) + int(blank[-1]) + 1
+        stop += PIECE
+    return end
+
+
+def _terms(data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Counts of the terms of one text; the same however it is cut in pieces."""
+    counts, words, at = np.zeros(TERMS), [np.zeros(0, np.uint64)], begin
+    while at < end:
+        stop = _cut(data, at, end)
+        kinds = KINDS[data[max(at - 1, begin) : stop]]
+        if len(kinds) > 1:
+            counts[: _KINDS * _KINDS] += np.bincount(kinds[:-1].astype(np.int16) * _KINDS + kinds[1:], minlength=_KINDS * _KINDS)
+        word, length = _word_hashes(data[at:stop], KINDS[data[at:stop]])
+        if len(word):
+            counts[_FORM : _FORM + _LENGTHS] += np.bincount(np.minimum(length, _LENGTHS) - 1, minlength=_LENGTHS)
+            counts[_LEXICAL : _LEXICAL + WORDS] += np.bincount(((word * _SPREAD) >> np.uint64(40)).astype(np.int64) % WORDS, minlength=WORDS)
+        words.append(word)
+        at = stop
+    word = np.concatenate(words)
+    counts[_REPEATS] = np.count_nonzero(word[1:] == word[:-1])
+    counts[_REPEATS + 1] = np.count_nonzero(word[2:] == word[:-2])
+    for first in range(0, len(word), STRETCH):
+        some = word[first : first + STRETCH]
         distinct = len(np.unique(some))
-        counts[at + 2] += len(some) - distinct
-        counts[at + 3] += distinct
+        counts[_REPEATS + 2] += len(some) - distinct
+        counts[_REPEATS + 3] += distinct
+    return counts
 
 
 def term_rates(column: pa.Array) -> np.ndarray:
-    """A row of term rates for each text: square roots of the shares within pairs, lengths and repeats."""
+    """A row of term rates for each text: square roots of the shares within pairs, lengths, words and repeats."""
     data, at = utf8(column)
     out = np.zeros((len(column), TERMS), np.float32)
     for i in range(len(column)):
-        counts = np.zeros(TERMS)
-        for begin in range(at[i], at[i + 1], PIECE):
-            _count(data[begin : min(begin + PIECE, at[i + 1])], counts)
-        for a, b in ((0, _KINDS * _KINDS), (_KINDS * _KINDS, TERMS - 4)):
+        counts = _terms(data, int(at[i]), int(at[i + 1]))
+        for a, b in ((0, _FORM), (_FORM, _LEXICAL), (_LEXICAL, _REPEATS)):
             counts[a:b] /= max(counts[a:b].sum(), 1)
-        words = max(counts[TERMS - 2 :].sum(), 1)
-        counts[TERMS - 4 :] /= [words, words, words, 4 * words]
+        counts[_LEXICAL:_REPEATS] *= WORD_SHARE
+        words = max(counts[_REPEATS + 2 :].sum(), 1)
+        counts[_REPEATS:] /= [words, words, words, 4 * words]
         out[i] = np.sqrt(np.minimum(counts, 1))
     return out
 

@@ -198,6 +198,58 @@ def test_pieces_against_the_library(docs, odd):
             assert got[i].text == text.replace("▁", " ")
 
 
+def small_model(rng, kind, alphabet="abc"):
+    """A random model; for BPE, pieces are joined from pieces before them, as merges make them."""
+    m = pieces.PieceModel(kind=kind, strip_spaces=False)
+    for i in range(256):
+        m.pieces.append(f"<0x{i:02X}>")
+        m.scores.append(0.0)
+        m.kinds.append(pieces.BYTE)
+    own = list(alphabet) + ["▁"]
+    while len(own) < 40:
+        left, right = (own[int(i)] for i in rng.integers(0, len(own), 2))
+        if len(left + right) <= 6 and left + right not in own and "▁" not in (left + right)[1:]:
+            own.append(left + right)
+    for i, p in enumerate(own):
+        m.pieces.append(p)
+        m.scores.append(float(-i) if kind == pieces.BPE else float(-rng.random() * 5 * len(p) ** 0.7))
+        m.kinds.append(pieces.NORMAL)
+    return m
+
+
+@pytest.mark.parametrize("kind", [pieces.BPE, pieces.UNIGRAM])
+def test_compiled_pieces_equal_the_composition(kind):
+    """The compiled form, the composition of transducers and (for unigram models) the best of all segmentations agree."""
+    rng = np.random.default_rng(17)
+    for _ in range(12):
+        t = pieces.PieceTransducer(small_model(rng, kind))
+        for _ in range(25):
+            text = "".join(rng.choice(list("aabbcc é"), int(rng.integers(1, 14))))
+            got = np.frombuffer(t.encode(text), "<i4").tolist()
+            normal = "▁" + text.replace(" ", "▁")
+            if kind == pieces.BPE:
+                want = [i for p in t.merged(normal) for i in ([t.arcs[p]] if p in t.arcs else t.fallback(p))]
+                assert got == want == pieces.encode_by_composition(t, text), text
+            else:
+                floor = 10.0 - min(t.model.scores)
+                cost = lambda ids: sum(-t.model.scores[i] if i >= 256 else floor / 2 for i in ids)
+                best = [0.0] + [np.inf] * len(normal)
+                for j in range(1, len(normal) + 1):
+                    for i in range(j):
+                        w = -t.model.scores[t.arcs[normal[i:j]]] if normal[i:j] in t.arcs else floor if j - i == 1 else np.inf
+                        best[j] = min(best[j], best[i] + w)
+                assert cost(got) == pytest.approx(best[-1]) == cost(pieces.encode_by_composition(t, text)), text
+            assert t.decode(np.array(got)) == text
+
+
+def test_composition_of_the_real_model():
+    import sentencepiece
+
+    own, t = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(pieces.MODEL)), pieces.PieceTransducer(pieces.PieceModel.load())
+    for text in ("a", "Hello there", "naïve 漢", "of  two", "unbelievable"):
+        assert pieces.encode_by_composition(t, text) == own.encode(text)
+
+
 def test_media_round_trip(docs, odd):
     for frame in (docs, odd):
         want, got = texts_of(frame), media.media_digests(media.read_media(media.encode_media(frame))).collect()
@@ -309,6 +361,65 @@ def test_next_document_and_edit(docs):
     assert np.median(near) > np.median(apart) + 0.1
 
 
+def plain_digest(text, rank):
+    """Features by the plain rule, and the bits that they set."""
+    raw = text + bytes(max(0, fingerprints.SHORTEST - len(text)))
+    windows = [raw[i : i + 16] for i in range(len(raw) - 15)]
+    key = [(rank[sum(w[a] == w[b] for a, b in itertools.combinations(range(16), 2))], i) for i, w in enumerate(windows)]
+    points = collections.Counter(min(key[i : i + 32])[1] for i in range(len(key) - 31))
+    chosen = list(range(len(windows))) if len(raw) < 256 else sorted(i for i, n in points.items() if n >= 5) or sorted(points)
+    mask, seen, rows = (1 << 64) - 1, [], []
+    for i in chosen:
+        h = 0
+        for word in (windows[i][:8], windows[i][8:]):
+            h = (h ^ int.from_bytes(word, "little")) * 0x9E3779B97F4A7C15 & mask
+            h ^= h >> 29
+        h = h * 0xBF58476D1CE4E5B9 & mask
+        h ^= h >> 32
+        if h not in seen:
+            if len(seen) % 160 == 0:
+                rows.append(set())
+            seen.append(h)
+            rows[-1] |= {h >> 12 * k & 2047 for k in range(5)}
+    return rows
+
+
+def test_digests_and_likeness_against_the_plain_rule(docs):
+    some = [t.encode() for t in texts_of(docs).values()]
+    some = sorted(some, key=len)[:40] + sorted((t for t in some if 3000 < len(t) < 9000), key=len)[:6] + [b"", b"x" * 700]
+    rank = fingerprints.rarity(fingerprints.entropy_counts(some))
+    counts = np.zeros(fingerprints.PAIRS, int)
+    for t in some:
+        raw = t + bytes(max(0, fingerprints.SHORTEST - len(t)))
+        for i in range(len(raw) - 15):
+            counts[sum(raw[i + a] == raw[i + b] for a, b in itertools.combinations(range(16), 2))] += 1
+    assert (fingerprints.entropy_counts(some) == counts).all()
+    got, want = fingerprints.digests(some, rank), [plain_digest(t, rank) for t in some]
+    bits = [[set(np.flatnonzero(np.unpackbits(row)).tolist()) for row in d] for d in got]
+    assert bits == want
+    for i, j in [(44, 45), (3, 44), (40, 41), (10, 11)]:
+        a, b = sorted((want[i], want[j]), key=len)
+        best = [max((len(x & y) - len(x) * len(y) / 2048) / max(min(len(x), len(y)) - len(x) * len(y) / 2048, 1e-9) for y in b) for x in a]
+        plain = 1.0 if a == b else min(1.0, sum(max(0.0, v) for v in best) / len(best))
+        assert fingerprints.likeness(got[i], got[j]) == pytest.approx(plain)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 16, 100])
+def test_cuts_above(spark, n):
+    cuts = sorted(np.random.default_rng(n).choice(1000, n, replace=False).tolist())
+    rows = spark.range(-1, 1001).select("id", fingerprints.cuts_above(F.col("id"), cuts).alias("k")).collect()
+    assert all(r.k == sum(c > r.id for c in cuts) for r in rows)
+
+
+def test_quality_terms_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = " ".join("".join(rng.choice(list("abcde.,"), int(rng.integers(1, 9)))) for _ in range(3000)) + "\n" + "x" * 500 + "  end"
+    whole = quality.term_rates(pa.array([text, "", "a"]))
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(quality, "PIECE", size)
+        assert (quality.term_rates(pa.array([text, "", "a"])) == whole).all()
+
+
 def test_periodic_texts_have_features():
     rank = fingerprints.rarity(np.arange(fingerprints.PAIRS))
     texts = [b"x" * 300, b"=-" * 200, bytes(range(97, 123)) * 20, b"y" * 5000]
