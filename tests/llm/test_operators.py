@@ -675,17 +675,59 @@ def test_chats_read_back(spark, tiny):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def chat_digests(rows):
+    """What read_back must return for each conv_id, from plain sorting and joining."""
+    out = {}
+    for c in {r[0] for r in rows}:
+        own = sorted((t, r or "", x or "") for k, t, r, x in rows if k == c)
+        loss = "".join(x for _, r, x in own if r == "assistant")
+        said = "".join(f"{r}\n{x}\n" for _, r, x in own)
+        out[c] = (len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def read_digests(packed, coder):
+    return {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chats.read_back(packed, coder).collect()}
+
+
+CHAT = "conv_id long, turn long, role string, text string"
+
+
 def test_prefix_tree_shares_turns(spark):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t < 2 or c == 0 else f"turn {t} of {c} \\n<\\\\|x") for c in range(4) for t in range(4)] + [(9, 0, None, None), (8, 1, "a\\b\nc", "<|"), (8, 0, "user", "")]
     coder = chats.Coder()
-    packed = chats.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), coder).cache()
-    segments = packed.orderBy("start").collect()
+    packed = chats.pack(spark.createDataFrame(rows, CHAT), coder)
+    segments = packed.segments.orderBy("start", "rank").collect()
     assert [s.start for s in segments] == [sum(x.length for x in segments[:i]) for i in range(len(segments))]
-    assert sum(len(s.turns) for s in segments if s.conv_id < 4) == 2 + 4 * 2
+    turns = packed.turns.orderBy("start").collect()
+    assert [t.start for t in turns] == [sum(x.size for x in turns[:i]) for i in range(len(turns))]
+    assert len([t for t in turns if t.conv_id in range(4)]) == 2 + 4 * 2
+    intervals = packed.intervals.collect()
     for s in segments:
-        assert sum(a.length for a in s.ancestors) == s.position
-        assert all(a.start + a.length <= s.start for a in s.ancestors)
-    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in chats.read_back(packed, coder).collect()}
-    for c in {r[0] for r in rows}:
-        own = sorted((t, r or "", x or "") for k, t, r, x in rows if k == c)
-        assert got[c] == (len(own), hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest())
+        ancestors = [a for a in intervals if a.rank == s.rank and a.owner != s.rank]
+        assert sum(a.length for a in ancestors) == s.position
+        assert all(a.start + a.length <= s.start for a in ancestors)
+    assert read_digests(packed, coder) == chat_digests(rows)
+
+
+def test_chats_with_long_shared_and_null_conversations(spark, monkeypatch):
+    """Intervals of few turns, copies, a prefix of another conversation, equal turns within one, nulls and a clashing column."""
+    monkeypatch.setattr(chats, "BLOCK", 3)
+    talk = [("user" if t % 2 == 0 else "assistant", f"say {t % 3}") for t in range(20)]
+    rows = [(c, t, r, x) for c, n in ((1, 20), (2, 20), (3, 11), (4, 5)) for t, (r, x) in enumerate(talk[:n])]
+    rows += [(3, 30 + t, "assistant", "again") for t in range(7)] + [(None, t % 4, "assistant", f"lost {t}") for t in range(50)] + [(None, None, None, None)]
+    coder = chats.Coder()
+    table = spark.createDataFrame([(*r, 1, "k") for r in rows], CHAT + ", rank long, key string")
+    packed = chats.pack(table.repartition(5), coder)
+    assert packed.turns.count() == 20 + 7 + 51
+    assert packed.intervals.where("last_depth - first_depth > 2").count() == 0
+    # A null turn comes first, as Spark sorts it.
+    want = chat_digests([(c, -1 if t is None else t, r, x) for c, t, r, x in rows])
+    assert read_digests(packed, coder) == want
+
+
+def test_chats_of_an_empty_table(spark):
+    coder = chats.Coder()
+    packed = chats.pack(spark.createDataFrame([], CHAT), coder)
+    assert [d.count() for d in packed] == [0, 0, 0]
+    assert read_digests(packed, coder) == {}
