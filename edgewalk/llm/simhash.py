@@ -371,18 +371,24 @@ def near_shards(nodes: DataFrame) -> DataFrame:
     """
     at = lambda tab: F.xxhash64(tab, F.filter("least", lambda x, i: F.getbit(tab, i) == 1))
     orders = F.sequence(F.lit(0), F.lit(TABLES - 1))
-    rows = nodes.select("node", "fingerprint", "least", F.explode(orders).alias("i")).withColumn("tab", F.expr("shiftleft(1, i)")).withColumn("key", at(F.col("tab")))
-    done = None
-    for _ in range(LEVELS - 1):
-        large = checkpointed(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
-        if not large.take(1):
-            break
-        small = rows.join(large, ["tab", "key"], "left_anti").select("tab", "key", "node", "fingerprint")
-        done = small if done is None else done.unionByName(small)
-        wider = rows.join(large, ["tab", "key"], "left_semi").select("node", "fingerprint", "least", "tab", F.explode(F.filter(orders, lambda i: F.getbit(F.col("tab"), i) == 0)).alias("i"))
-        rows = wider.withColumn("tab", F.expr("tab | shiftleft(1, i)")).dropDuplicates(["node", "tab"]).withColumn("key", at(F.col("tab")))
-    rows = rows.select("tab", "key", "node", "fingerprint")
-    return rows if done is None else done.unionByName(rows)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
+    wider = lambda tab: F.transform(F.filter(orders, lambda i: F.getbit(tab, i) == 0), lambda i: tab.bitwiseOR(bit(i)))
+    # One row for each node: its tables travel as an array, so that a new level moves each node once.
+    state, done = nodes.select("node", "fingerprint", "least", F.transform(orders, bit).alias("tabs")), None
+    for level in range(LEVELS):
+        rows = state.select("node", "fingerprint", "least", F.explode("tabs").alias("tab")).withColumn("key", at(F.col("tab")))
+        kept = rows.select("tab", "key", "node", "fingerprint")
+        if level < LEVELS - 1:
+            large = checkpointed(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
+            n_large = large.count()
+            if n_large:
+                keys = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+                kept = kept.join(keys, ["tab", "key"], "left_anti")
+                crowded = rows.join(keys, ["tab", "key"], "left_semi").groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("least").alias("least"), F.collect_list("tab").alias("tabs"))
+                state = checkpointed(crowded.withColumn("tabs", F.array_distinct(F.flatten(F.transform("tabs", wider)))))
+        done = kept if done is None else done.unionByName(kept)
+        if level == LEVELS - 1 or not n_large:
+            return done
 
 
 def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
