@@ -273,9 +273,10 @@ def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFr
     labelled = placed.where("chunks > 1").join(connected_components(first), "node", "left").withColumn("label", F.coalesce("component", "node"))
     sizes = labelled.groupBy(*keys, "chunks", "label").agg(F.count("*").alias("n")).groupBy(*keys, "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     rests = checkpointed(sizes.where("all > most").select(*keys, "main", F.ceil((F.col("all") - F.col("most")) * F.col("chunks") / F.col("all")).cast("int").alias("rests")))
-    if not rests.take(1):
+    n_rests = rests.count()
+    if not n_rests:
         return first
-    again = labelled.join(rests, keys)
+    again = labelled.join(F.broadcast(rests) if n_rests <= BROADCAST_GROUPS else rests, keys)
     asks = again.withColumn("meet", F.explode(F.transform(upto(F.col("rests")), lambda x: at(x, F.col("mine"), F.lit(2)))))
     own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests"))
     trees = again.where("label <> main").withColumn("meet", F.explode(F.transform(upto(F.col("chunks")), lambda x: at(own, x, F.lit(1)))))
