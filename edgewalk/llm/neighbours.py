@@ -12,7 +12,7 @@ one pass, and the radius is the least that holds a share ``SHARE`` of them. It f
 query that meets too few codes is asked again with a wider radius, up to all bits, which meets every row.
 
 A shard grows with its rows, a hot one too: it is cut in chunks, and where many queries visit it, these are cut too. A
-task holds a bounded number of queries while rows stream by, and gives back no more than ``TOP`` rows for a query.
+task holds a bounded number of queries while rows stream by, and merges what its chunks find before it gives it back.
 
 Vectors that are null, zero or not finite, of another length than most, or without a vec_id take no part. Candidates of a
 query are the rows with other ids; a query that repeats id and vector is asked once, rows that repeat an id as candidates
@@ -44,6 +44,8 @@ WIDER = 8
 CHUNK_SHARE, CHUNK_LEAST, CHUNK_MOST = 4096, 1024, 1 << 18
 #: Queries that a task holds at a time; pairs that are compared, and pairs whose floats are, at a time.
 HELD, PAIRS, FLOATS = 4096, 1 << 21, 1 << 15
+#: Found rows (32 bytes each) that a task holds before it merges them or sends them out.
+MERGED = 1 << 20
 ROUNDS = 40
 
 
@@ -218,10 +220,41 @@ class Held:
                 score = (self.vectors[a] * vectors[c]).sum(1) / (self.norms[a] * lengths[c])
                 self.best.add(a, score, ids[c])
 
-    def found(self) -> pa.RecordBatch:
+    def found(self) -> list[np.ndarray]:
+        """query_id, ask, vec_id and score of the best."""
         at = self.best.query
         ids, asks = (self.ids[at], self.asks[at]) if len(at) else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(asks), pa.array(self.best.id), pa.array(self.best.score)], ["query_id", "ask", "vec_id", "score"])
+        return [ids, asks, self.best.id, self.best.score]
+
+
+class Merged:
+    """The best of all chunks that a task has seen, so that a query gets ``TOP`` rows from a task, not from each chunk."""
+
+    def __init__(self):
+        self.parts, self.n = [], 0
+
+    def add(self, found: list[np.ndarray]) -> bool:
+        """Take the best of a chunk; True if so many are held that they should go out."""
+        self.parts.append(found)
+        self.n += len(found[0])
+        if self.n > MERGED:
+            self.parts = [self._merge()]
+            self.n = len(self.parts[0][0])
+        return self.n > MERGED // 2
+
+    def _merge(self) -> list[np.ndarray]:
+        query, ask, id_, score = map(np.concatenate, zip(*self.parts, strict=True))
+        order = np.lexsort((id_, -score, ask, query))
+        query, ask, id_, score = query[order], ask[order], id_[order], score[order]
+        new = np.r_[True, (query[1:] != query[:-1]) | (ask[1:] != ask[:-1])] if len(query) else np.zeros(0, bool)
+        begin = np.flatnonzero(new)
+        keep = np.arange(len(query)) - begin[np.cumsum(new) - 1] < TOP if len(query) else new
+        return [x[keep] for x in (query, ask, id_, score)]
+
+    def out(self) -> pa.RecordBatch:
+        merged = self._merge()
+        self.parts, self.n = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in merged], ["query_id", "ask", "vec_id", "score"])
 
 
 def search(rows: DataFrame, asked: DataFrame, n: int, radius: int) -> DataFrame:
@@ -250,7 +283,7 @@ def search(rows: DataFrame, asked: DataFrame, n: int, radius: int) -> DataFrame:
     asks = visits.join(plan, ["tab", "shard"]).select("tab", "shard", upto("chunks").alias("chunk"), deal(F.xxhash64("query_id", "ask"), "crowds").alias("crowd"), F.lit(0).alias("role"), F.col("query_id").alias("id"), "ask", "code", "vector")
 
     def run(batches):
-        held, present = None, None
+        held, present, merged = None, None, Merged()
         for batch in batches:
             columns = np.stack([batch[c].to_numpy() for c in (*key, "role")], axis=1)
             cuts = np.append(np.flatnonzero((columns[1:] != columns[:-1]).any(1)) + 1, len(columns))
@@ -260,13 +293,14 @@ def search(rows: DataFrame, asked: DataFrame, n: int, radius: int) -> DataFrame:
                     continue
                 *group, role = columns[start].tolist()
                 if group != present:
-                    if held:
-                        yield held.found()
+                    if held and merged.add(held.found()):
+                        yield merged.out()
                     held, present = Held(group[0], radius), group
                 (held.meet if role else held.ask)(batch.slice(start, end - start))
                 start = end
         if held:
-            yield held.found()
+            merged.add(held.found())
+            yield merged.out()
 
     met = asks.unionByName(cands).repartition(*key).sortWithinPartitions(*key, "role").mapInArrow(run, "query_id long, ask long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((0.0 - F.col("score")).alias("less"), "vec_id"))), 1, TOP)
