@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Most rows and bytes (above one row) that a batch function gets at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 1 << 24
+#: A key is hot if it holds over one HOT_SHARE-th of all rows.
+HOT_SHARE = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +28,58 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     Where it names none, a temporary folder stands in if all runs on one machine; a cluster must name one.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data that all executors share; set up on first use."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+class Scratch:
+    """Tables below the shared folder that cut lineage like checkpoints, and go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.paths = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths)}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that this object has written; others are left alone."""
+        for t in tables:
+            if found := self.paths.get(id(t)):
+                self._delete(found[0])
+
+    def clear(self) -> None:
+        self._delete(self.base)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def join_spread(rows: DataFrame, per_key: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``per_key``, one row a key, whose column n counts the key's rows (and is dropped).
+
+    Keys that hold over 1 / ``HOT_SHARE`` of all rows (fewer than ``HOT_SHARE`` keys) are joined by broadcast, so that no
+    task gets a third of the rows; the others are joined by a shuffle.
+    """
+    bound = (per_key.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE
+    hot = F.broadcast(per_key.where(F.col("n") > bound).drop("n"))
+    rest = per_key.where(F.col("n") <= bound).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
 
 
 def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, over_batches, texts
+from .common import Scratch, checkpointed, join_spread, over_batches, texts
 from .components import connected_components
 
 SEED = 42
@@ -250,7 +250,7 @@ def by_group(rows: DataFrame, keys: list[str], find) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a binary, b binary")
 
 
-def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFrame:
+def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that keep every component of the links that ``find`` sees within groups of ``rows``.
 
     ``large`` has the ``keys`` of groups above the bound and the number of their ``chunks``. ``find`` gets groups with
@@ -269,10 +269,10 @@ def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find) -> DataFr
     first = by_group(dealt.select(*columns, "meet.*"), meeting, find)
     if not n_large:
         return first
-    first = checkpointed(first)
-    labelled = placed.where("chunks > 1").join(connected_components(first), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    first = scratch.write(first)
+    labelled = placed.where("chunks > 1").join(connected_components(first, scratch), "node", "left").withColumn("label", F.coalesce("component", "node"))
     sizes = labelled.groupBy(*keys, "chunks", "label").agg(F.count("*").alias("n")).groupBy(*keys, "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    rests = checkpointed(sizes.where("all > most").select(*keys, "main", F.ceil((F.col("all") - F.col("most")) * F.col("chunks") / F.col("all")).cast("int").alias("rests")))
+    rests = scratch.write(sizes.where("all > most").select(*keys, "main", F.ceil((F.col("all") - F.col("most")) * F.col("chunks") / F.col("all")).cast("int").alias("rests")))
     n_rests = rests.count()
     if not n_rests:
         return first
@@ -312,11 +312,11 @@ def near_in_shards(radius: int):
     return find
 
 
-def shard_links(rows: DataFrame, radius: int) -> DataFrame:
+def shard_links(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that keep every component of the links within shards (tab, key) of nodes (node, fingerprint)."""
     sizes = rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD)
-    large = checkpointed(sizes.select("tab", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("chunks")))
-    return spanning(rows.select("tab", "key", "node", "fingerprint"), ["tab", "key"], large, near_in_shards(radius))
+    large = scratch.write(sizes.select("tab", "key", F.ceil(F.col("n") / SHARD).cast("int").alias("chunks")))
+    return spanning(rows.select("tab", "key", "node", "fingerprint"), ["tab", "key"], large, near_in_shards(radius), scratch)
 
 
 def dealt(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
@@ -334,19 +334,27 @@ def dealt(nodes: DataFrame, tables: list[list[int]]) -> DataFrame:
     return over_batches(nodes.select("node", "fingerprint"), deal, "tab int, key long, node binary, fingerprint binary")
 
 
-def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component_id (the least ``doc_id`` of the nodes (node, doc_id) that ``edges`` tie to it) and whether there are any."""
-    rooted = nodes.select("node", "doc_id").join(connected_components(edges), "node", "left")
-    least = rooted.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "component", "left").select("node", F.coalesce("least", F.when(F.col("component").isNull(), F.col("doc_id"))).alias("component_id"), F.col("component").isNotNull().alias("tied"))
+def named(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, doc_id, component (the least node that ``edges`` tie to it, at least itself) and whether there are any edges."""
+    found = connected_components(edges, scratch)
+    rooted = nodes.select("node", "doc_id").join(found, "node", "left")
+    return rooted.select("node", "doc_id", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("tied"))
+
+
+def with_least(rows: DataFrame) -> DataFrame:
+    """``rows`` (component, doc_id, tied, ...) with component_id, the least doc_id of the component."""
+    least = rows.where("tied").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").withColumn("component_id", F.when(F.col("tied"), F.col("least")).otherwise(F.col("doc_id"))).drop("least")
 
 
 def components(prints: DataFrame, tables_for=exact_tables, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint and component_id of rows (doc_id, fingerprint), exactly; equal fingerprints are one node."""
-    prints = checkpointed(prints.select("doc_id", "fingerprint"))
-    nodes = checkpointed(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("doc_id")))
-    ids = named(nodes, shard_links(dealt(nodes.withColumn("fingerprint", F.col("node")), tables_for(nodes.count())), radius))
-    return prints.join(ids.withColumnRenamed("node", "fingerprint"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    scratch = Scratch(prints.sparkSession)
+    prints = scratch.write(prints.select("doc_id", "fingerprint"))
+    nodes = scratch.write(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("doc_id")))
+    links = shard_links(dealt(nodes.withColumn("fingerprint", F.col("node")), tables_for(nodes.count())), radius, scratch)
+    ids = with_least(named(nodes, links, scratch))
+    return prints.join(ids.select(F.col("node").alias("fingerprint"), "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -364,7 +372,7 @@ NEAR_RADIUS = 62
 LEVELS = 3
 
 
-def near_shards(nodes: DataFrame) -> DataFrame:
+def near_shards(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(tab, key, node, fingerprint): shards of nodes with the same least shingle.
 
     Where many documents share a passage, its shingles fill a shard; its nodes are dealt anew by pairs of orders, then
@@ -380,13 +388,13 @@ def near_shards(nodes: DataFrame) -> DataFrame:
         rows = state.select("node", "fingerprint", "least", F.explode("tabs").alias("tab")).withColumn("key", at(F.col("tab")))
         kept = rows.select("tab", "key", "node", "fingerprint")
         if level < LEVELS - 1:
-            large = checkpointed(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
+            large = scratch.write(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
             n_large = large.count()
             if n_large:
                 keys = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
                 kept = kept.join(keys, ["tab", "key"], "left_anti")
                 crowded = rows.join(keys, ["tab", "key"], "left_semi").groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("least").alias("least"), F.collect_list("tab").alias("tabs"))
-                state = checkpointed(crowded.withColumn("tabs", F.array_distinct(F.flatten(F.transform("tabs", wider)))))
+                state = scratch.write(crowded.withColumn("tabs", F.array_distinct(F.flatten(F.transform("tabs", wider)))))
         done = kept if done is None else done.unionByName(kept)
         if level == LEVELS - 1 or not n_large:
             return done
@@ -429,50 +437,64 @@ def alike_in_groups(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a], pa.binary()), pa.array([node[i] for i in b], pa.binary())], ["a", "b"])
 
 
-def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges (a, b) that keep every component of the pairs with ``SIMILARITY`` within groups of ``members``.
 
-    ``members`` are component_id, node, doc_id (of a row with that set of shingles) and size. Texts are read again; of a
+    ``members`` are component, node, doc_id (of a row with that set of shingles) and size. Texts are read again; of a
     doc_id with several texts only those of the node count.
     """
 
     def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t.encode().lower().split(), 5)).tobytes() for t in batch["text"].to_pylist()]
         own = np.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["node"].to_pylist(), strict=True)], bool)
-        return pa.RecordBatch.from_arrays([batch["component_id"], batch["node"], pa.array(sets, pa.binary())], ["component_id", "node", "set"]).filter(pa.array(own))
+        return pa.RecordBatch.from_arrays([batch["component"], batch["node"], pa.array(sets, pa.binary())], ["component", "node", "set"]).filter(pa.array(own))
 
-    found = texts(docs).join(members.select("doc_id", "component_id", "node"), "doc_id").select("component_id", "node", "text")
-    sets = over_batches(found, shingle, "component_id long, node binary, set binary")
+    found = texts(docs).join(members.select("doc_id", "component", "node"), "doc_id").select("component", "node", "text")
+    sets = over_batches(found, shingle, "component binary, node binary, set binary")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks")
-    large = checkpointed(members.groupBy("component_id").agg(chunks).where("chunks > 1"))
-    return spanning(sets, ["component_id"], large, alike_in_groups)
+    large = scratch.write(members.groupBy("component").agg(chunks).where("chunks > 1"))
+    return spanning(sets, ["component"], large, alike_in_groups, scratch)
 
 
-def near_copy_components(docs: DataFrame) -> DataFrame:
-    """doc_id, own (xxhash64 of the text) and component_id: groups that links of ``SIMILARITY`` or more hold together.
+def near_copy_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, own (xxhash64 of the text), component (a node's digest), and tied, of every row.
 
     Groups of near fingerprints are candidates only. Within each, texts are held to the exact similarity of their
-    distinct five-word shingles; texts with equal sets of shingles are one node. A node whose rows all have null ids
-    links nothing.
+    distinct five-word shingles; texts with equal sets of shingles are one node, whose digest names it: two texts under
+    one doc_id are two nodes. A node whose rows all have null ids links nothing. All tables lie in ``scratch``.
     """
-    prints = checkpointed(copy_prints(docs))
+    prints = scratch.write(copy_prints(docs))
     kinds = prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fingerprint").alias("fingerprint"), F.first("size").alias("size"), F.first("least").alias("least"))
-    nodes = checkpointed(kinds.where("doc_id is not null"))
-    candidates = checkpointed(named(nodes, shard_links(near_shards(nodes), NEAR_RADIUS)).join(nodes.select("node", "doc_id", "size"), "node"))
-    ids = named(nodes, exact_links(docs, candidates.where("tied")))
-    return prints.join(ids, "node", "left").select("doc_id", "own", "component_id")
+    nodes = scratch.write(kinds.where("doc_id is not null"))
+    links = scratch.write(shard_links(near_shards(nodes, scratch), NEAR_RADIUS, scratch))
+    candidates = scratch.write(named(nodes, links, scratch).where("tied").join(nodes.select("node", "size"), "node"))
+    ids = named(nodes, scratch.write(exact_links(docs, candidates, scratch)), scratch)
+    return prints.select("doc_id", "own", "node").join(ids.select("node", "component", "tied"), "node", "left").select("doc_id", "own", F.coalesce("component", "node").alias("component"), F.coalesce("tied", F.lit(False)).alias("tied"))
+
+
+def near_copy_components(docs: DataFrame) -> DataFrame:
+    """doc_id, own (xxhash64 of the text) and component_id: the least doc_id of the group that links of ``SIMILARITY`` hold together."""
+    scratch = Scratch(docs.sparkSession)
+    groups = near_copy_groups(docs, scratch)
+    least = groups.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = checkpointed(groups.join(least, "component").select("doc_id", "own", "component_id"))
+    scratch.clear()
+    return out
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group the row with the smallest doc_id stays.
 
     Of a group's rows with that id, the one whose text has the least hash stays, and of rows that repeat it, one. Rows
-    with a null doc_id stay. Rows are told apart by id and text, so a row never goes because another with its id does.
+    with a null doc_id stay. Groups are named by their node and rows are told apart by id and text, so neither a row nor
+    a group goes because another shares its id. Intermediate tables are deleted before this returns.
     """
-    rows = checkpointed(near_copy_components(docs).where("doc_id is not null").groupBy("doc_id", "own").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")))
-    heads = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("own").alias("head"))
-    judged = rows.join(heads, "component_id").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("own") == F.col("head")))
-    marks = judged.where("not stays or n > 1").select(F.col("doc_id").alias("i"), F.col("own").alias("h"), "stays")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.write(near_copy_groups(docs, scratch).where("doc_id is not null").groupBy("doc_id", "own").agg(F.first("component").alias("component"), F.count("*").alias("n")))
+    heads = scratch.write(rows.groupBy("component").agg(F.min(F.struct("doc_id", "own")).alias("head"), F.count("*").alias("n"), F.max("n").alias("most")).where("n > 1 or most > 1").drop("most"))
+    judged = join_spread(rows.withColumnRenamed("n", "times"), heads, "component").withColumn("stays", F.struct("doc_id", "own") == F.col("head"))
+    marks = checkpointed(judged.where("not stays or times > 1").select(F.col("doc_id").alias("i"), F.col("own").alias("h"), "stays"))
+    scratch.clear()
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     met = whole.join(marks, (F.col("row.doc_id") == F.col("i")) & (F.col("own") == F.col("h")), "left")
     once = met.where("stays").groupBy("i", "h").agg(F.first("row").alias("row")).select("row")

@@ -7,6 +7,7 @@ import math
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -159,26 +160,62 @@ def test_schedule(spark, counts):
     assert max(places.values()) == 1
 
 
-def test_schedule_deviates_by_less_than_a_block():
-    quota = mixing.quotas({"a": 0.7, "b": 0.2, "c": 0.1}, mixing.PERIOD)
-    table = mixing.period_table(quota, mixing.PERIOD)
-    for s, slots in table.items():
-        given = np.zeros(mixing.PERIOD)
-        given[[x for x, _, _ in slots]] = 1
-        assert np.abs(np.cumsum(given) - quota[s] / mixing.PERIOD * np.arange(1, mixing.PERIOD + 1)).max() < 1
+def all_blocks(blocks, weights):
+    return [b for p in mixing.phases(blocks, weights) for k in range(p.stretches()) for b in p.placed(k)]
 
 
-@pytest.mark.parametrize("weights", [{f"s{i:02}": 0.5 if i == 0 else 0.5 / 19 for i in range(20)}, {"a": 0.9999, "b": 0.0001}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}])
+def plain_schedule(quota, slots):
+    """Earliest deadline first, looking at every source in every slot, with exact fractions and no cuts."""
+    share = {s: Fraction(n, mixing.SHARES) for s, n in quota.items()}
+    number, out = dict.fromkeys(quota, 0), []
+    for slot in range(slots):
+        released = [s for s in quota if math.floor(number[s] / share[s]) <= slot]
+        s = min(released, key=lambda s: (math.ceil((number[s] + 1) / share[s]), s))
+        assert slot < math.ceil((number[s] + 1) / share[s])
+        out.append((slot, s, number[s], math.floor(number[s] / share[s]), math.ceil((number[s] + 1) / share[s])))
+        number[s] += 1
+    return out
+
+
+MIXES = [{f"s{i:02}": 0.5 if i == 0 else 0.5 / 19 for i in range(20)}, {"a": 0.9999, "b": 0.0001}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}]
+
+
+@pytest.mark.parametrize("weights", MIXES)
+def test_first_stretch_equals_a_plain_schedule(weights):
+    quota = mixing.quotas(weights, mixing.SHARES)
+    got = list(mixing.stretch(quota, 0, mixing.STRETCH))
+    plain = plain_schedule(quota, 3000)
+    assert got[:3000] == plain
+
+
+@pytest.mark.parametrize("weights", MIXES)
 def test_schedule_deviates_from_the_weights_by_less_than_a_block(weights):
-    n = 60 * mixing.PERIOD
-    blocks = mixing.placements({s: n for s in weights}, weights)
-    end = min(b[3 * n - 3] for b in blocks.values())
-    for s, b in blocks.items():
-        slots = np.array(b[::3])
-        given = np.zeros(end + 1)
-        given[slots[slots <= end]] = 1
-        assert np.abs(np.cumsum(given) - weights[s] * np.arange(1, end + 2)).max() < 1.001
-    assert sorted(x for b in blocks.values() for x in b[::3]) == list(range(n * len(weights)))
+    n = 60 * 1024
+    blocks = all_blocks({s: n for s in weights}, weights)
+    end = mixing.phases({s: n for s in weights}, weights)[0].slots
+    for s in weights:
+        slots = np.array([slot for source, _, slot, _, _ in blocks if source == s])
+        assert (np.diff(slots) > 0).all() and len(slots) == n
+        count = np.zeros(end)
+        count[slots[slots < end]] = 1
+        assert np.abs(np.cumsum(count) - weights[s] * np.arange(1, end + 1)).max() < 1.001
+    assert all(release <= slot < deadline for _, _, slot, release, deadline in blocks)
+    assert [slot for _, _, slot, _, _ in blocks] == list(range(n * len(weights)))
+    assert {(s, b) for s, b, *_ in blocks} == {(s, b) for s in weights for b in range(n)}
+
+
+def test_phases_don_t_loop_over_blocks():
+    begin = time.time()
+    plan = mixing.phases({"a": 10**8, "b": 10**9, "c": 5}, {"a": 1.0, "b": 3.0, "c": 0.5})
+    assert time.time() - begin < 5 and sum(p.slots for p in plan) == 10**8 + 10**9 + 5
+    late = plan[-1]
+    assert [b[2] for b in late.placed(late.stretches() - 1)][-1] == 10**8 + 10**9 + 4
+
+
+def test_null_ids_are_spread(spark):
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("text"))
+    got = mixing.scheduled(docs)
+    assert got.select("slot", "place").distinct().count() == 30_000 and got.select("row.text").distinct().count() == 30_000
 
 
 def test_too_many_sources(spark):
@@ -496,6 +533,31 @@ def test_near_copies_go(spark):
     assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id in (50, 51) for r in kept) == 1
 
 
+def test_two_texts_under_the_kept_id_are_two_groups(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    near = b.replace("b59", "b0")
+    rows = [(1, a), (1, b), (2, c), (3, b), (4, near), (5, a), (None, b)]
+    kept = sorted((tuple(r) for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(1, a), (1, b), (2, c), (None, b)], key=repr)
+    groups = collections.defaultdict(set)
+    scratch = simhash.Scratch(spark)
+    own = {r.own: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("own")).collect()}
+    for r in simhash.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect():
+        groups[bytes(r.component)].add(own[r.own])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, [{a}, {b, near}, {c}]))
+    scratch.clear()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    scratch = simhash.Scratch(spark)
+    kept, gone = scratch.write(spark.range(5)), scratch.write(spark.range(7))
+    scratch.drop(gone, spark.range(1))
+    assert kept.count() == 5 and scratch.write(spark.range(0).where("false")).count() == 0
+    with pytest.raises(Exception, match="(?i)not exist|not found|no such"):
+        gone.collect()
+    scratch.clear()
+
+
 def test_near_copies_share_a_shard():
     """Pairs of similarity 0.8 agree in one of the orders, and in three of them where shards are dealt anew."""
     rng = np.random.default_rng(12)
@@ -579,8 +641,8 @@ def test_repeated_lines_and_chains_are_checked_exactly(spark, monkeypatch):
 
 def rounds_of(spark, monkeypatch, edges, kind="long"):
     calls = []
-    real = components.checkpointed
-    monkeypatch.setattr(components, "checkpointed", lambda df: calls.append(1) or real(df))
+    real = components.Scratch.write
+    monkeypatch.setattr(components.Scratch, "write", lambda self, df: calls.append(1) or real(self, df))
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, f"a {kind}, b {kind}")).collect()}
     return got, len(calls) - 2
 

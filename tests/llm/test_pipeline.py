@@ -1,7 +1,7 @@
 """The pipeline's stages: each one's decisions, from its own input."""
 
 import corpus_pipeline as p
-from edgewalk.llm import secrets, simhash, toxicity
+from edgewalk.llm import mixing, secrets, simhash, toxicity
 from edgewalk.llm.common import checkpointed, table
 
 
@@ -20,9 +20,11 @@ def test_stages(spark, tiny):
     assert mixed.columns == docs.columns and sorted(map(tuple, mixed.collect())) == sorted(map(tuple, safe.collect()))
     last = p.encode_pieces(spark, mixed, tiny).collect()
     assert len(last) == mixed.count() and all(r.n_ids == len(r.ids) for r in last)
+    order = {r.row.doc_id: (r.source, r.slot, r.place) for r in mixing.scheduled(safe).collect()}
+    assert {r.doc_id: (r.source, r.slot, r.place) for r in last} == order
 
 
 def test_run(spark, tiny):
     out = p.run(spark, tiny)
-    assert out.columns == ["doc_id", "ids", "n_ids"] and out.count() > 100
+    assert out.columns == ["doc_id", "source", "slot", "place", "ids", "n_ids"] and out.count() > 100
     assert len(p.STAGES) == 5
