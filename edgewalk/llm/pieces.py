@@ -361,8 +361,8 @@ class PieceTransducer:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-def encode_pieces(docs: DataFrame, model: PieceModel | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every text."""
+def encode_pieces(docs: DataFrame, model: PieceModel | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to ``keep``, and ids (array of int) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(PieceTransducer(model or PieceModel.load()))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -370,9 +370,10 @@ def encode_pieces(docs: DataFrame, model: PieceModel | None = None) -> DataFrame
         packed = [t.encode(x) for x in batch["text"].to_pylist()]
         offsets = np.cumsum([0, *(len(p) // 4 for p in packed)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-        return pa.RecordBatch.from_arrays([batch["doc_id"], ids], ["doc_id", "ids"])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in ("doc_id", *keep)), ids], ["doc_id", *keep, "ids"])
 
-    return over_batches(texts(docs), run, "doc_id long, ids array<int>")
+    more = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return over_batches(texts(docs, *keep), run, f"doc_id long, {more}ids array<int>")
 
 
 def decode_pieces(encoded: DataFrame, model: PieceModel | None = None) -> DataFrame:
