@@ -23,18 +23,21 @@ def dedup_ordered(edges: DataFrame) -> DataFrame:
 
 
 def split_edges(edges: DataFrame, cfg: Dataset | None = None) -> DataFrame:
-    """``edges`` with split_id: prefixes of int(ratio * n) rows in drawn order, the rest to test."""
+    """``edges`` with split_id: prefixes of int(ratio * n) rows in drawn order, the rest to test.
+
+    All other columns stay, whatever their names; a split_id that is there already is replaced.
+    """
     cfg = cfg or Dataset()
     if cfg.dedup:
         edges = dedup_ordered(edges)
-    drawn = edges.withColumn("drawn", draw(cfg.seed, F.col("edge_key")))
-    ranked = rank_by_draw(drawn, "drawn", ["edge_key", *TRIPLE])
+    held = edges.select(F.struct(*(F.col(c) for c in edges.columns if c != "split_id")).alias("row"), draw(cfg.seed, F.col("edge_key")).alias("drawn"), "edge_key", *TRIPLE)
+    ranked = rank_by_draw(held, "drawn", ["edge_key", *TRIPLE])
     n = edges.agg(F.count("*").alias("n_all"))
     size = lambda ratio: F.floor(F.lit(float(ratio)) * F.col("n_all").cast("double"))
     train = size(cfg.train_ratio)
     mask, val = train + size(cfg.mask_ratio), train + size(cfg.mask_ratio) + size(cfg.val_ratio)
     split = F.when(F.col("rank") < train, 0).when(F.col("rank") < mask, 1).when(F.col("rank") < val, 2).otherwise(TEST)
-    return ranked.crossJoin(F.broadcast(n)).withColumn("split_id", split).drop("drawn", "rank", "n_all")
+    return ranked.crossJoin(F.broadcast(n)).select("row.*", split.alias("split_id"))
 
 
 def split_lookup(split: DataFrame) -> DataFrame:

@@ -6,11 +6,13 @@ Draws depend on (seed, walk, step) only, so results don't depend on partitions,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, node_token
-from ..ranking import checkpointed, draw, rank_by_draw, running_sums
+from ..ranking import checkpointed, draw, rank_by_draw, running_sums, shared_folder
 
 #: Most edges whose adjacency is broadcast (about 20 bytes each); larger graphs are joined step by step.
 BROADCAST_EDGES = 1_000_000
@@ -18,6 +20,8 @@ BROADCAST_EDGES = 1_000_000
 STEPS_PER_CUT = 8
 #: Numbers of out-edges that one key of a join covers, so that a walker meets so many edges of a hub at most.
 BLOCK = 64
+#: A block of out-edges that over one FAN-th of all walkers may visit is filed in copies, so that each gets less.
+FAN = 1024
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -76,29 +80,91 @@ def _broadcast_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int)
     return cur.select("walk_id", "start", "path")
 
 
+def _block(k: Column) -> Column:
+    return F.floor(k / BLOCK)
+
+
+def node_table(edges: DataFrame) -> DataFrame:
+    """node, deg (its out-edges) and fan of every node with out-edges.
+
+    A node is visited about as often as edges lead to it. ``fan`` is the number of copies that its blocks of out-edges
+    need, so that each copy is visited by one ``FAN``-th of the walkers at most; all copies together are ``FAN`` blocks.
+    """
+    led = edges.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("led"))
+    out = edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("deg"))
+    total = edges.agg(F.count("*").alias("n_edges"))
+    share = F.coalesce("led", F.lit(0)) * F.lit(float(FAN)) / F.col("n_edges") / F.ceil(F.col("deg") / BLOCK)
+    return out.join(led, "node", "left").crossJoin(F.broadcast(total)).select("node", "deg", F.greatest(F.ceil(share), F.lit(1)).cast("int").alias("fan"))
+
+
+class FiledEdges:
+    """Out-edges as a table that is bucketed by (u, block, copy), the key of a step, below the shared folder.
+
+    Each row has the numbers [low, high) that its edge's copies hold among the node's out-edges, and the degree and fan
+    of the node it leads to, so that a step is one join and moves walkers only.
+    """
+
+    def __init__(self, edges: DataFrame, nodes: DataFrame):
+        self.spark = edges.sparkSession
+        self.name, buckets = f"edges_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        key = ["u", "block", "copy"]
+        ahead = nodes.select(F.col("node").alias("v"), F.col("deg").alias("deg_v"), F.col("fan").alias("fan_v"))
+        fans = nodes.select(F.col("node").alias("u"), "fan")
+        rows = (
+            out_edges(edges).drop("deg").join(ahead, "v", "left").join(fans, "u")
+            .withColumn("block", F.explode(F.sequence(_block(F.col("low")), _block(F.col("high") - 1))))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+        )
+        rows.repartition(buckets, *key).sortWithinPartitions(*key).write.bucketBy(buckets, *key).sortBy(*key).option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def step_on(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> DataFrame:
+    """``walkers`` (walk_id, node, deg, fan, path) after a step along the out-edges of a ``FiledEdges`` table.
+
+    A walker at a sink (deg null) stays; its key is its own, so that a sink's walkers are not sent to one task.
+    """
+    k = draw(seed, F.col("walk_id"), step) % F.col("deg")
+    asked = walkers.withColumn("k", k).withColumn("at_block", F.coalesce(_block(F.col("k")), -1 - F.col("walk_id"))).withColumn("at_copy", F.coalesce((F.col("walk_id") % F.col("fan")).cast("int"), F.lit(0)))
+    on = (asked.node == filed.u) & (asked.at_block == filed.block) & (asked.at_copy == filed["copy"]) & (asked.k >= filed.low) & (asked.k < filed.high)
+    met = asked.hint("shuffle_hash").join(filed, on, "left")
+    taken = F.when(F.col("v").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct("v", "label"))))
+    return met.select("walk_id", F.coalesce("v", "node").alias("node"), F.col("deg_v").alias("deg"), F.col("fan_v").alias("fan"), taken.alias("path"))
+
+
 def _joined_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    block = lambda k: F.floor(k / BLOCK)
-    numbered = out_edges(edges)
-    adj = checkpointed(numbered.withColumn("block", F.explode(F.sequence(block(F.col("low")), block(F.col("high") - 1)))))
-    degree = checkpointed(adj.groupBy("u").agg(F.first("deg").alias("deg")))
-    cur = checkpointed(begun)
-    steps = []
-    for step in range(1, length + 1):
-        choice = cur.join(degree, cur.node == degree.u).select("walk_id", "node", (draw(seed, F.col("walk_id"), step) % F.col("deg")).alias("k"))
-        taken = choice.join(adj, (choice.node == adj.u) & (block(F.col("k")) == adj.block) & (F.col("k") >= F.col("low")) & (F.col("k") < F.col("high"))).select("walk_id", "v", "label")
-        taken = checkpointed(taken)
-        steps.append(taken.select("walk_id", F.lit(step).alias("step"), F.struct("v", "label").alias("edge")))
-        cur = taken.select("walk_id", F.col("v").alias("node"))
+    """Walks step by step over a ``FiledEdges`` table. Each ``STEPS_PER_CUT`` steps are written as one part of the paths."""
+    none = F.array().cast("array<struct<v:bigint,label:int>>")
+    nodes = checkpointed(node_table(edges))
+    filed = FiledEdges(edges, nodes)
+    begun = checkpointed(begun)
+    cur = begun.join(nodes, "node").select("walk_id", "node", "deg", "fan", none.alias("path"))
+    parts = []
+    for first in range(1, length + 1, STEPS_PER_CUT):
+        for step in range(first, min(first + STEPS_PER_CUT, length + 1)):
+            cur = step_on(cur, filed.rows(), step, seed)
+        held = checkpointed(cur)
+        parts.append(held.select("walk_id", F.lit(first).alias("first"), "path"))
+        cur = held.where("deg is not null").select("walk_id", "node", "deg", "fan", none.alias("path"))
         if not cur.take(1):
             break
+    filed.drop()
     begun = begun.select("walk_id", F.col("node").alias("start"))
-    if not steps:
-        return begun.withColumn("path", F.array().cast("array<struct<v:bigint,label:int>>"))
-    every = steps[0]
-    for s in steps[1:]:
-        every = every.unionByName(s)
-    paths = every.groupBy("walk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "edge"))), lambda x: x["edge"]).alias("path"))
-    return begun.join(paths, "walk_id", "left").select("walk_id", "start", F.coalesce("path", F.array().cast("array<struct<v:bigint,label:int>>")).alias("path"))
+    if not parts:
+        return begun.withColumn("path", none)
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    paths = every.groupBy("walk_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("first", "path"))), lambda x: x["path"])).alias("path"))
+    return begun.join(paths, "walk_id", "left").select("walk_id", "start", F.coalesce("path", none).alias("path"))
 
 
 def walk_edges(walks: DataFrame) -> DataFrame:

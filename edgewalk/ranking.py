@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bits of a draw.
@@ -32,19 +32,28 @@ def rank_by_draw(df: DataFrame, drawn: str, ties: list[str], name: str = "rank",
     return numbered.join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_offset") + F.col("_k")).drop("_bucket", "_k", "_offset")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; on one machine a temporary folder may stand in."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder below ``spark.checkpoint.dir`` for intermediate data; on one machine a temporary folder may stand in."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def rank_by_range(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """``df`` with the 0-based row number by any order: a range shuffle, numbers within ranges, and the ranges' sizes."""
+    """``df`` with the 0-based row number by any order: a range shuffle, numbers within ranges, and the ranges' sizes.
+
+    Columns named _id, _part or _offset are taken by the numbering; rename them before.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     held = checkpointed(ranged.withColumn("_id", F.monotonically_increasing_id()))
@@ -61,6 +70,7 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
 
     ``sums`` names each summed column's running sum; its total gets the suffix ``_all``. Rows are dealt by ranges of
     (by, order), so one group may lie in many tasks; each is summed in its ranges behind the sum of the ranges before.
+    A column named _part is taken by the ranges; rename it before. Groups with a null in ``by`` are left out.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *map(F.col, by), *order)

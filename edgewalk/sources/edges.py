@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,16 +21,31 @@ def parse_edges(lines: DataFrame, separator: str = r"\s+", comment: str | None =
     return kept.where(F.size(parts) >= 3).select(*keep, cell(0, "bigint", "u"), cell(1, "bigint", "v"), cell(2, "int", "label"))
 
 
+def root_of(spark: SparkSession, path: str) -> str:
+    """The folder that file paths of rows are told from: the one that is read, or that of a file or of a glob's fixed part."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fixed = re.split(r"[*?\[{]", path)[0]
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = fixed == path and fs.getFileStatus(hadoop(path)).isDirectory()
+    folder = path if whole else fixed.rpartition("/")[0] or ("/" if fixed.startswith("/") else ".")
+    return fs.makeQualified(hadoop(folder)).toUri().toString()
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, block): lines with their file's name and the byte at which their split of the file begins."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    """(value, file, block): lines of all files below ``path``, with the file's path below the root and the byte at which their split begins."""
+    where = F.col("_metadata.file_path")
+    # Paths of rows may write file:/x or file:///x.
+    plain = lambda c: F.regexp_replace(c, r"^([a-z0-9]+):/+", "$1:/")
+    root = re.sub(r"^([a-z0-9]+):/+", r"\1:/", root_of(spark, path)).rstrip("/") + "/"
+    below = F.when(F.startswith(plain(where), F.lit(root)), F.substr(plain(where), F.lit(len(root) + 1))).otherwise(where)
+    return spark.read.option("recursiveFileLookup", "true").text(path).select("value", below.alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def keyed(edges: DataFrame) -> DataFrame:
-    """``edges`` of files (file, block, u, v, label) with edge_key, major (the file's place by name) and minor (its edge).
+    """``edges`` of files (file, block, u, v, label) with edge_key, major (the file's place by path) and minor (its edge).
 
-    An edge's key is its file's name and its place among the file's edges, however the file is split into tasks: edges
-    are numbered within splits, behind the sum of the splits before. The table is written once, so that all readers
+    An edge's key is its file's path below the root and its place among the file's edges, however files are split into
+    and packed in tasks: edges are numbered within splits, behind the sum of the splits before. The table is written once, so that all readers
     see the same splits.
     """
     held = checkpointed(edges.withColumn("_at", F.monotonically_increasing_id()))

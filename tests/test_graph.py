@@ -10,6 +10,7 @@ from edgewalk.config import Config, Dataset
 from edgewalk.functions import tokens as tok
 from edgewalk.operators import encode, metrics, profile, splits, transformer, trials, vocab, walks
 from edgewalk.plans.prepare import from_edges
+from edgewalk.ranking import checkpointed
 from edgewalk.sources import edges as src
 
 EDGE = "edge_key string, major long, minor long, u long, v long, label int"
@@ -117,6 +118,46 @@ def test_walks_are_walks(spark, triples):
             assert len(p.path) == 4 or node not in {u for u, _, _ in triples}
 
 
+def test_a_step_moves_walkers_and_not_edges(spark):
+    """Between the scan of the edges and the join of any step there is no exchange; walkers have one for each step."""
+    rows = [(i % 97, (i * 7) % 101, i % 3) for i in range(3000)]
+    edges = edge_frame(spark, rows).select("u", "v", "label")
+    nodes = walks.node_table(edges)
+    filed = walks.FiledEdges(edges, nodes)
+    cur = spark.range(500).select(F.col("id").alias("walk_id"), (F.col("id") % 97).alias("node")).join(nodes, "node").select("walk_id", "node", "deg", "fan", F.array().cast("array<struct<v:bigint,label:int>>").alias("path"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    cur = checkpointed(cur)
+    for step in (1, 2, 3):
+        cur = walks.step_on(cur, filed.rows(), step, 1)
+    lines = cur._jdf.queryExecution().executedPlan().toString().split("\n")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    scans = [k for k, x in enumerate(lines) if "FileScan" in x and filed.name in x]
+    assert len(scans) == 3 and sum("Exchange" in x for x in lines) == 3
+    for k in scans:
+        level = depth[k]
+        for above in range(k - 1, -1, -1):
+            if depth[above] < level:
+                level = depth[above]
+                assert "Exchange" not in lines[above]
+                if "Join" in lines[above]:
+                    break
+    assert cur.count() == 500
+    filed.drop()
+    assert not spark.catalog.tableExists(filed.name)
+
+
+def test_blocks_that_many_walkers_visit_are_filed_in_copies(spark):
+    """Node 0 takes most edges and has few of its own: its walkers are dealt over copies of its block."""
+    rows = [(i, 0, 1) for i in range(1, 400)] + [(0, i, 0) for i in range(1, 400)] + [(i, i + 1, 0) for i in range(1, 100)]
+    edges = edge_frame(spark, rows).select("u", "v", "label")
+    fans = {r.node: r.fan for r in walks.node_table(edges).collect()}
+    assert fans[0] > 50 and sum(fans.values()) <= walks.FAN + len(fans)
+    a, b = (sorted(map(tuple, walks.walk_tokens(walks.random_walks(edges, 300, 9, 3, n)).collect())) for n in (10**6, 0))
+    assert a == b
+
+
 def test_both_ways_of_walking_agree(spark):
     edges = edge_frame(spark, [(i % 5, (i * 3) % 7, i % 3 - 1) for i in range(40)])
     a, b = (sorted(map(tuple, walks.walk_tokens(walks.random_walks(edges, 30, 6, 1, n)).collect())) for n in (10**6, 0))
