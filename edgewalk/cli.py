@@ -1,4 +1,4 @@
-"""``python -m edgewalk.cli prepare|profile|board|report|log``: preparation, profiles, studies and search logs."""
+"""``python -m edgewalk.cli prepare|profile|train|board|report|log``: preparation, profiles, training, studies and search logs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .config import Config
-from .operators import profile, trials
+from .operators import profile, training, trials
 from .plans.prepare import prepare_cached
 from .sources import records, sinks
 
@@ -15,7 +15,7 @@ from .sources import records, sinks
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="edgewalk")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("prepare", "profile"):
+    for name in ("prepare", "profile", "train"):
         one = sub.add_parser(name)
         one.add_argument("--config", help="JSON file of settings")
         one.add_argument("--path", required=True, help="where the dataset lies")
@@ -56,6 +56,11 @@ def main(argv: list[str] | None = None) -> None:
     cfg = Config.load(args.config, *args.overrides) if args.config else Config().override(*args.overrides)
     ready = prepare_cached(spark, args.path, cfg)
     print(ready.meta())
+    if args.command == "train":
+        state, history = training.fit_prepared(ready, cfg)
+        for row in history:
+            print(row)
+        print({"epochs": state.epoch, **{f"test_{k}": v for k, v in training.evaluated(ready.view("test", pad=False), state).items()}})
     if args.command == "profile":
         for rows in (profile.label_histogram(ready.edges), profile.stage_summary(ready.views()), profile.stage_sparsity(ready.views())):
             rows.show(truncate=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import tokens as tok
-from ..operators import encode, metrics, profile, ratings, splits, train, transformer, trials, vocab, walks
+from ..operators import encode, metrics, profile, ratings, splits, train, training, transformer, trials, vocab, walks
 from ..sources import edges as src
 from .prepare import Prepared, from_edges
 
@@ -17,6 +17,9 @@ from .prepare import Prepared, from_edges
 PER_NODE, STEPS, SEED, BATCH = 1, 16, 42, 8
 CONFIG = Config().override(f"dataset.walks_per_node={PER_NODE}", f"dataset.max_walk_length={STEPS}", f"dataset.seed={SEED}")
 CLASSES = 3
+#: Steps of a full walk, and the settings of the queries over full walks.
+FULL_STEPS = 83
+FULL_CONFIG = CONFIG.override(f"dataset.max_walk_length={FULL_STEPS}")
 
 
 def _r(column, name: str | None = None):
@@ -108,8 +111,8 @@ def adjacency_degree(spark, d):
     return walks.degrees(src.bipartite(spark, d)).select(*map(_i, ("u", "deg", "distinct_out")))
 
 
-def _walk_rows(edges, broadcast_edges=walks.BROADCAST_EDGES):
-    paths = walks.random_walks(edges, 0, STEPS, SEED, broadcast_edges, PER_NODE)
+def _walk_rows(edges, broadcast_edges=walks.BROADCAST_EDGES, steps=STEPS):
+    paths = walks.random_walks(edges, 0, steps, SEED, broadcast_edges, PER_NODE)
     return walks.walk_tokens(paths).select(_i("walk_id"), _i("pos"), "token")
 
 
@@ -121,6 +124,19 @@ def random_walks_joined(spark, d):
     return _walk_rows(src.copurchase(spark, d), broadcast_edges=0)
 
 
+def full_walks(spark, d):
+    return _walk_rows(src.copurchase(spark, d), steps=FULL_STEPS)
+
+
+def full_walks_joined(spark, d):
+    return _walk_rows(src.copurchase(spark, d), 0, FULL_STEPS)
+
+
+def full_stage_summary(spark, d):
+    views = from_edges(src.copurchase(spark, d), FULL_CONFIG).views()
+    return profile.stage_summary(views).select("stage", *map(_i, ("positions", "walks", "least_x", "most_x")), *map(_r, ("padded", "ignored", "attended")))
+
+
 def walks_bipartite_sinks(spark, d):
     return _walk_rows(src.bipartite(spark, d))
 
@@ -373,6 +389,14 @@ def transformer_scores(spark, d):
     return rows.select(_i("walk_id"), _i("pos"), _i("label"), F.array_join(F.transform("scores", lambda x: F.round(x, 4).cast("string")), ",").alias("scores"))
 
 
+def trained_encoder(spark, d):
+    """Figures of the val and test views after some epochs of training on the train view's walks."""
+    p = _copurchase(spark, d)
+    state, _ = training.fit_prepared(p, CONFIG.override("training.batch_size=1024", "training.epochs=3", "training.lr=0.01", "model.dropout=0.1", "training.use_weighted_loss=true"))
+    rows = [(stage, *(training.evaluated(p.view(stage, pad=False), state)[k] for k in ("accuracy", "f1", "auroc", "loss"))) for stage in ("val", "test")]
+    return spark.createDataFrame(rows, "stage string, accuracy double, f1 double, auroc double, loss double")
+
+
 def logreg_baseline(spark, d):
     return train.context_baseline(_copurchase(spark, d)).select("stage", _r("accuracy"), _r("f1"), _r("auroc"), _r("loss"))
 
@@ -383,11 +407,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             edge_label_histogram, trade_label_histogram, node_stats, parse_edge_text, binary_positive, rating_profile, binary_dominant, dominant_profile,
             dedup_edges_ordered, sampled_edges, split_edges, split_sizes, split_label_dist, split_overlap, split_precedence, adjacency_degree,
-            random_walks, random_walks_joined, walks_bipartite_sinks, walk_length_stats, walk_token_types, vocab_table, class_map, vocab_composition,
+            random_walks, random_walks_joined, full_walks, full_walks_joined, full_stage_summary, walks_bipartite_sinks, walk_length_stats, walk_token_types, vocab_table, class_map, vocab_composition,
             encode_roundtrip, parsed_tokens, label_roundtrip, edge_context, encoded_walks, padded_walks, stage_train, stage_val, stage_test, stage_packed,
             stage_summary, stage_sparsity, seq_length_stats, token_frequency, token_usage, class_counts_dense, class_imbalance, targets_attended, stage_metrics, step_table,
             target_positions, batch_skipping, train_batches, label_density, class_weights, present_class_weights, softmax_argmax, weighted_ce,
             confusion_matrix, label_confusion, confusion_normalized, macro_accuracy_f1, roc_points, roc_area, auroc_ovr, macro_auroc, positional_encoding,
-            combo_decode, search_space, trial_topk, trial_leaderboard, best_trial, scalar_last_values, scalar_summary, retention, transformer_scores, logreg_baseline,
+            combo_decode, search_space, trial_topk, trial_leaderboard, best_trial, scalar_last_values, scalar_summary, retention, transformer_scores, trained_encoder, logreg_baseline,
         )
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import BATCH, CLASSES, CONFIG, PER_NODE, SEED, STEPS
+from .catalog import BATCH, CLASSES, CONFIG, FULL_STEPS, PER_NODE, SEED, STEPS
 
 _D = CONFIG.dataset
 
@@ -79,6 +79,7 @@ views as (
     case when split_id = t then coalesce(class_id, -1) else -1 end as label, case when token_id <> 0 and split_id <= t then 1 else 0 end as attn
   from padded cross join stages left join classes using (token_id))"""
 
+FULL_WALK = WALK.replace(f"walk.step < {STEPS}", f"walk.step < {FULL_STEPS}")
 BASE = f"with recursive {COPURCHASE}, {SPLIT}, {WALK}"
 ALL = f"{BASE}, {VOCAB}, {ENCODED}, {PADDED}, {VIEWS}"
 
@@ -118,8 +119,8 @@ def _histogram(edges: str) -> str:
     return f"with {edges} select {_i('label')}, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from edges group by label"
 
 
-def _tokens(edges: str) -> str:
-    return f"with recursive {edges}, {WALK} select {_i('walk_id', 'pos')}, token from tokens"
+def _tokens(edges: str, walk: str = WALK) -> str:
+    return f"with recursive {edges}, {walk} select {_i('walk_id', 'pos')}, token from tokens"
 
 
 def _stage(stage: str) -> str:
@@ -139,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
     choice = lambda name, *c: f"cast(([{', '.join(map(str, c))}])[cast(floor({_u(name)} * {len(c)}) as integer) + 1] as bigint) as {name}"
     floats = lambda name, a, b: f"round({a} + {_u(name)} * {b - a!r}, 6) as {name}"
     logs = lambda name, a, b: f"round(ln({a!r}::double) + {_u(name)} * (ln({b!r}::double) - ln({a!r}::double)), 6) as log_{name}"
+    summary = f"{ALL} select stage, count(*) as positions, count(distinct walk_id) as walks, cast(min(x) as bigint) as least_x, cast(max(x) as bigint) as most_x, round(100.0::double * count(*) filter (x = 0) / count(*), 6) as padded, round(100.0::double * count(*) filter (label = -1) / count(*), 6) as ignored, round(100.0::double * count(*) filter (attn = 1) / count(*), 6) as attended from views group by stage"
     return {
         "edge_label_histogram": _histogram(COPURCHASE),
         "trade_label_histogram": _histogram(TRADE),
@@ -158,6 +160,9 @@ def oracle_sql() -> dict[str, str]:
         "adjacency_degree": f"with {BIPARTITE} select {_i('u')}, count(*) as deg, count(distinct (v, label)) as distinct_out from edges group by u",
         "random_walks": _tokens(COPURCHASE),
         "random_walks_joined": _tokens(COPURCHASE),
+        "full_walks": _tokens(COPURCHASE, FULL_WALK),
+        "full_walks_joined": _tokens(COPURCHASE, FULL_WALK),
+        "full_stage_summary": summary.replace(WALK, FULL_WALK),
         "walks_bipartite_sinks": _tokens(BIPARTITE),
         "walk_length_stats": f"with recursive {COPURCHASE}, {WALK} select count(*) as walks, min(n) as least, max(n) as most, round(avg(n), 6) as mean from (select walk_id, count(*) as n from tokens group by walk_id) t",
         "walk_token_types": f"with recursive {COPURCHASE}, {WALK}, c as (select count(*) filter (starts_with(token, 'N_')) as nodes, count(*) filter (starts_with(token, 'E_')) as edges from tokens) select nodes, edges, round(nodes / edges::double, 6) as ratio from c",
@@ -174,7 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "stage_val": _stage("val"),
         "stage_test": _stage("test"),
         "stage_packed": f"{ALL} select {_i('walk_id')}, string_agg(x, ',' order by pos) as x, string_agg(label, ',' order by pos) as labels, string_agg(attn, ',' order by pos) as attn from views where stage = 'val' group by walk_id",
-        "stage_summary": f"{ALL} select stage, count(*) as positions, count(distinct walk_id) as walks, cast(min(x) as bigint) as least_x, cast(max(x) as bigint) as most_x, round(100.0::double * count(*) filter (x = 0) / count(*), 6) as padded, round(100.0::double * count(*) filter (label = -1) / count(*), 6) as ignored, round(100.0::double * count(*) filter (attn = 1) / count(*), 6) as attended from views group by stage",
+        "stage_summary": summary,
         "stage_sparsity": f"{ALL} select stage, count(*) as positions, count(*) filter (label <> -1) as valid, count(*) filter (attn = 1 and label = -1) as attended_unlabelled, round(100.0::double * count(*) filter (attn = 1 and label = -1) / count(*) filter (attn = 1), 6) as attended_unlabelled_percent from views group by stage",
         "seq_length_stats": _per_stage("select stage, walk_id, sum(attn) as n from views group by stage, walk_id", f"select stage, cast(min(n) as bigint) as least, cast(max(n) as bigint) as most, cast(quantile_disc(n, 0.5) as bigint) as median, count(*) filter (n >= {2 * STEPS + 1}) as \"full\", round(avg(n), 6) as mean from per group by stage"),
         "token_frequency": f"{ALL} select {_i('x')}, count(*) as n, round(100.0::double * count(*) / sum(count(*)) over (), 6) as percent from views where stage = 'train' group by x",

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config
@@ -78,26 +80,65 @@ def input_state(spark: SparkSession, path: str) -> list:
     return sorted(out)
 
 
-def save(prepared: Prepared, base: str) -> None:
-    """Write the tables as Parquet below ``base``, and meta.json's content as text at last."""
-    spark = prepared.edges.sparkSession
-    for name in TABLES:
-        frame = getattr(prepared, name)
-        writer = frame.write.mode("overwrite")
-        (writer.partitionBy("split_id") if name == "split" else writer).parquet(f"{base}/{name}")
-    meta = json.dumps(prepared.meta())
-    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/meta")
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def load(spark: SparkSession, base: str) -> Prepared | None:
-    """The tables saved below ``base``, or None if there are none."""
-    from pyspark.errors import AnalysisException
+def save(prepared: Prepared, base: str) -> bool:
+    """Write the tables below a fresh folder and publish them as ``base`` by one rename; True if these are the ones there.
+
+    The manifest, written last, has the settings' sizes and the rows of every table. Of two writers the one that renames
+    first wins, and the other's tables are deleted. A folder that ``load`` finds torn is moved away and replaced. The file
+    system must rename folders in one step.
+    """
+    spark, attempt = prepared.edges.sparkSession, uuid.uuid4().hex
+    parent, _, name = base.rstrip("/").rpartition("/")
+    fresh = f"{parent}/_{name}-{attempt}"
+    for table in TABLES:
+        writer = getattr(prepared, table).write
+        (writer.partitionBy("split_id") if table == "split" else writer).parquet(f"{fresh}/{table}")
+    rows = {table: spark.read.parquet(f"{fresh}/{table}").count() for table in TABLES}
+    manifest = json.dumps({"attempt": attempt, "meta": prepared.meta(), "rows": rows})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.text(f"{fresh}/manifest")
+    (source, fs), (target, _) = _path(spark, fresh), _path(spark, base)
+    if fs.exists(target) and load(spark, base) is None:
+        fs.rename(target, _path(spark, f"{parent}/_{name}-torn-{attempt}")[0])
+    if not fs.exists(target):
+        fs.rename(source, target)
+    # A rename onto a folder that has come meanwhile moves into it.
+    fs.delete(_path(spark, f"{base}/_{name}-{attempt}")[0], True)
+    won = (found := read_manifest(spark, base)) is not None and found["attempt"] == attempt
+    if not won:
+        fs.delete(source, True)
+    return won
+
+
+def read_manifest(spark: SparkSession, base: str) -> dict | None:
+    path, fs = _path(spark, f"{base}/manifest")
+    if not fs.exists(path):
+        return None
+    rows = spark.read.text(f"{base}/manifest").take(1)
+    return json.loads(rows[0].value) if rows else None
+
 
-    try:
-        spark.read.text(f"{base}/meta")
-    except AnalysisException:
+def load(spark: SparkSession, base: str) -> Prepared | None:
+    """The tables published as ``base``; None if there are none, or if one has other rows than the manifest says."""
+    manifest = read_manifest(spark, base)
+    if manifest is None:
         return None
-    tables = {name: spark.read.parquet(f"{base}/{name}") for name in TABLES}
+    tables = {}
+    for name in TABLES:
+        path, fs = _path(spark, f"{base}/{name}")
+        if not fs.exists(path):
+            return None
+        try:
+            tables[name] = spark.read.parquet(f"{base}/{name}")
+            whole = tables[name].count() == manifest["rows"][name]
+        except (AnalysisException, SparkRuntimeException):
+            return None
+        if not whole:
+            return None
     return Prepared(tokens=walks.walk_tokens(tables["walks"]), **tables)
 
 
@@ -105,7 +146,8 @@ def prepare_cached(spark: SparkSession, path: str, cfg: Config) -> Prepared:
     """Saved tables of these settings and these input files, or fresh ones, which are saved if the settings say so.
 
     The folder's name is a hash of the settings and of path, size and modification time of the input, so tables of
-    another dataset, or of one that has changed, are never reused. A saved dataset is loaded without building anything.
+    another dataset, or of one that has changed, are never reused. A saved dataset is loaded without building anything;
+    one that was torn is built again.
     """
     p = cfg.preprocess
     if not p.folder:

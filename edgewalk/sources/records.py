@@ -16,7 +16,7 @@ def read_scalars(spark: SparkSession, path: str, tags: tuple[str, ...] | None =
 
 def read_studies(spark: SparkSession, glob: str) -> DataFrame:
     """The union of trial tables by a glob path; missing columns are null, the file tells the study."""
-    rows = spark.read.option("mergeSchema", "true").parquet(glob)
+    rows = spark.read.option("mergeSchema", "true").parquet(glob).drop("trial_key")
     if "study" in rows.columns:
         return rows
     return rows.withColumn("study", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The partition column of trial tables; the trial itself stays where it is among the columns.
+TRIAL_KEY = "trial_key"
 # Settings that a leaderboard's configuration gets where a trial has none.
 CONFIG_DEFAULTS = {"dataset.max_walk_length": 50, "dataset.num_walks": 1_000_000, "training.lr": 0.001}
 
@@ -44,13 +46,28 @@ def write_best_config(board: DataFrame, path: str) -> None:
     board.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def append_metrics(rows: DataFrame, path: str) -> None:
-    """Add (tag, step, value) rows to a metrics table."""
-    rows.select("tag", "step", "value").write.mode("append").parquet(path)
+def append_metrics(rows: DataFrame, path: str, run: str | None = None) -> None:
+    """Add (tag, step, value) rows to a metrics table.
+
+    With a ``run`` they are that run's rows: put again, as in a retry, they replace themselves. A table has runs in all
+    appends or in none.
+    """
+    some = rows.select("tag", "step", "value")
+    if run is None:
+        some.write.mode("append").parquet(path)
+    else:
+        _replace(some.withColumn("run", F.lit(run)), path, "run")
 
 
 def append_trials(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("study").parquet(path)
+    """Put trials in a table by study and trial; a trial that is put again replaces itself, others stay."""
+    _replace(rows.withColumn(TRIAL_KEY, F.col("trial")), path, "study", TRIAL_KEY)
+
+
+def _replace(rows: DataFrame, path: str, *key: str) -> None:
+    """Overwrite exactly the partitions that ``rows`` have; they change when the whole job commits."""
+    writer = rows.repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*key).parquet(path)
 
 
 def delete_old(files: DataFrame, keep: int) -> int:

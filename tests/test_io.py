@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from edgewalk import cli
 from edgewalk.config import Config
 from edgewalk.operators import splits, trials
-from edgewalk.plans.prepare import prepare_cached
+from edgewalk.plans.prepare import Prepared, load, prepare, prepare_cached, save
 from edgewalk.sources import edges as src
 from edgewalk.sources import records, sinks
 
@@ -40,6 +40,33 @@ def test_edge_keys_do_not_depend_on_file_splits(spark, tmp_path):
     assert len(set(parts)) == 3 and got[0] == got[1] == got[2] and len({k for k, _ in got[0]}) == 500
 
 
+def test_edge_keys_of_equal_file_names_in_two_folders(spark, tmp_path):
+    want = {}
+    for day, seed in (("day=1", 3), ("day=2", 4), ("odd name", 5)):
+        (tmp_path / day).mkdir()
+        for k, row in enumerate(edge_file(tmp_path / day / "part.txt", 40, seed)):
+            want[f"{day.replace(' ', '%20')}/part.txt-{k}"] = row
+    got = []
+    for size, least in (("64m", "64m"), ("200", "1"), ("64m", "1")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", least)
+        for path in (str(tmp_path), f"{tmp_path}/*"):
+            edges = src.load_spaced(spark, path)
+            assert {r.edge_key: (r.u, r.v, r.label) for r in edges.collect()} == want
+            got.append(sorted((r.edge_key, r.split_id) for r in splits.split_edges(edges).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert all(g == got[0] for g in got)
+
+
+def test_split_keeps_columns_of_any_name(spark):
+    names = ["rank", "drawn", "n_all", "row", "_bucket", "_k", "_n", "split_id"]
+    rows = [(f"k{i}", i % 5, i % 7, i % 3, *range(i, i + len(names))) for i in range(50)]
+    got = splits.split_edges(spark.createDataFrame(rows, ["edge_key", "u", "v", "label", *names]))
+    assert got.columns == ["edge_key", "u", "v", "label", *names]
+    assert sorted(tuple(r)[:-1] for r in got.collect()) == sorted(r[:-1] for r in rows)
+
+
 def test_comma_files_and_names(spark, tmp_path):
     rows = edge_file(tmp_path / "r.csv", 50, 3, ",")
     assert [(r.u, r.v, r.label) for r in src.get_loader("bitcoin-otc")(spark, str(tmp_path / "r.csv")).orderBy("minor").collect()] == rows
@@ -69,6 +96,56 @@ def test_the_cache_tells_datasets_apart(spark, tmp_path, monkeypatch):
     assert prepare_cached(spark, str(tmp_path / "a.txt"), cfg).split.count() == 61
 
 
+def test_a_torn_cache_is_built_again(spark, tmp_path):
+    edge_file(tmp_path / "a.txt", 60, 5)
+    cfg = small(tmp_path / "cache")
+    first = prepare_cached(spark, str(tmp_path / "a.txt"), cfg)
+    want = sorted(map(str, first.encoded.collect()))
+    (base,) = (tmp_path / "cache").iterdir()
+    for table in ("encoded", "walks", "manifest"):
+        for part in (base / table).glob("*part-*"):
+            part.unlink()
+        assert load(spark, str(base)) is None
+        again = prepare_cached(spark, str(tmp_path / "a.txt"), cfg)
+        assert sorted(map(str, again.encoded.collect())) == want and load(spark, str(base)) is not None
+
+
+def test_a_killed_writer_leaves_nothing_to_load(spark, tmp_path, monkeypatch):
+    edge_file(tmp_path / "a.txt", 60, 5)
+    cfg = small(tmp_path / "cache")
+    with monkeypatch.context() as m:
+        m.setattr(Prepared, "meta", lambda self: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            prepare_cached(spark, str(tmp_path / "a.txt"), cfg)
+    names = [p.name for p in (tmp_path / "cache").iterdir()]
+    assert names and all(n.startswith("_") for n in names)
+    assert prepare_cached(spark, str(tmp_path / "a.txt"), cfg).split.count() == 60
+
+
+def test_the_second_writer_loses(spark, tmp_path):
+    edge_file(tmp_path / "a.txt", 60, 5)
+    edge_file(tmp_path / "b.txt", 70, 6)
+    a, b = (prepare(spark, str(tmp_path / f), small("")) for f in ("a.txt", "b.txt"))
+    base = str(tmp_path / "cache" / "key")
+    assert save(a, base) and not save(b, base)
+    assert load(spark, base).split.count() == 60
+    assert [p.name for p in (tmp_path / "cache").iterdir()] == ["key"] and not [p for p in (tmp_path / "cache" / "key").iterdir() if p.name.startswith("_")]
+
+
+def test_appends_that_are_tried_again(spark, tmp_path):
+    rows = [(i, "COMPLETE", 0.5 + i / 100, 0.1, f"s{i % 2}") for i in range(6)]
+    path = str(tmp_path / "studies")
+    sinks.append_trials(spark.createDataFrame(rows[:4], TRIALS), path)
+    sinks.append_trials(spark.createDataFrame(rows[2:], TRIALS), path)
+    sinks.append_trials(spark.createDataFrame(rows[2:], TRIALS), path)
+    got = records.read_studies(spark, path)
+    assert sorted(tuple(r) for r in got.select("trial", "state", "val_auc", "`training.lr`", "study").collect()) == rows
+    metrics = str(tmp_path / "metrics")
+    for run, n in (("a", 3), ("b", 2), ("a", 3)):
+        sinks.append_metrics(spark.createDataFrame([("loss", k, float(n)) for k in range(n)], records.SCALAR_SCHEMA), metrics, run)
+    assert sorted((r.run, r.step) for r in records.read_scalars(spark, metrics, ("loss",)).collect()) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("b", 1)]
+
+
 def test_toy_ratings_and_boards(spark, tmp_path):
     toy = src.toy_graph(spark)
     sinks.write_toy_edges(toy, str(tmp_path / "toy"))
@@ -112,6 +189,8 @@ def test_studies_boards_and_the_command_line(spark, tmp_path, capsys, monkeypatc
     cli.main(["report", "--study-path", str(tmp_path / "studies")])
     edge_file(tmp_path / "a.txt", 60, 5)
     cli.main(["profile", "--path", str(tmp_path / "a.txt"), "dataset.name=toy", "dataset.num_walks=10", "dataset.max_walk_length=3"])
+    cli.main(["train", "--path", str(tmp_path / "a.txt"), "dataset.name=toy", "dataset.num_walks=10", "dataset.max_walk_length=3", "training.epochs=1", f"training.checkpoint_dir={tmp_path}/versions"])
+    assert (tmp_path / "versions" / "version=1").is_dir()
     said = capsys.readouterr().out
     assert "PRUNED" in said and "vocab_size" in said and "val_auc" in said
 
