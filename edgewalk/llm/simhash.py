@@ -270,7 +270,8 @@ def spanning(rows: DataFrame, keys: list[str], large: DataFrame, find, scratch:
     if not n_large:
         return first
     first = scratch.write(first)
-    labelled = placed.where("chunks > 1").join(connected_components(first, scratch), "node", "left").withColumn("label", F.coalesce("component", "node"))
+    linked = connected_components(first, scratch).select("node", F.col("component").alias("linked"))
+    labelled = placed.where("chunks > 1").join(linked, "node", "left").withColumn("label", F.coalesce("linked", "node"))
     sizes = labelled.groupBy(*keys, "chunks", "label").agg(F.count("*").alias("n")).groupBy(*keys, "chunks").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
     rests = scratch.write(sizes.where("all > most").select(*keys, "main", F.ceil((F.col("all") - F.col("most")) * F.col("chunks") / F.col("all")).cast("int").alias("rests")))
     n_rests = rests.count()

@@ -548,6 +548,21 @@ def test_two_texts_under_the_kept_id_are_two_groups(spark):
     scratch.clear()
 
 
+def test_near_copies_go_from_groups_of_several_chunks(spark, monkeypatch):
+    """A large candidate group: chains of near copies and texts that share much, but under 0.8, with the rest."""
+    monkeypatch.setattr(simhash, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*base[:198], f"x{i}", "y"])) for i in range(20)]
+    rows += [(100 + i, " ".join([*base[:165], *(f"z{i}_{k}" for k in range(35))])) for i in range(12)]
+    rows += [(200 + i, " ".join([*base[:165], *(f"z3_{k}" for k in range(33)), f"q{i}", "r"])) for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(frame).collect()}
+    sets = {i: set(simhash.shingle_hashes(t.encode().split(), 5).tolist()) for i, t in rows}
+    near = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert kept == set(plain_components(sorted(sets), near).values())
+
+
 def test_scratch_tables_go(spark, tmp_path):
     scratch = simhash.Scratch(spark)
     kept, gone = scratch.write(spark.range(5)), scratch.write(spark.range(7))
