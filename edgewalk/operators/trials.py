@@ -48,10 +48,10 @@ def _sampled(seed: int, name: str, kind: str, *bounds) -> Column:
     return F.floor(log).cast("double") if kind == "log_int" else log
 
 
-def search_space(spark: SparkSession, trials: int, base_epochs: int = 25, seed: int = 42) -> DataFrame:
-    """A row of settings for each trial; heads and embedding come from the valid pairs, so no trial is void."""
+def search_space(spark: SparkSession, trials: int | DataFrame, base_epochs: int = 25, seed: int = 42) -> DataFrame:
+    """A row of settings for each trial, of so many or of a table of them (trial); heads and embedding come from the valid pairs, so no trial is void."""
     ranges = RANGES | {"epochs": ("int", min(15, base_epochs // 4), min(100, base_epochs))}
-    ids = spark.range(trials).select(F.col("id").alias("trial"))
+    ids = trials.select("trial") if isinstance(trials, DataFrame) else spark.range(trials).select(F.col("id").alias("trial"))
     table = combos(spark)
     n = len([1 for h in HEADS for d in DIMS if d % h == 0])
     picked = ids.withColumn("combo", F.floor(_uniform(seed, "combo", F.col("trial")) * n)).join(F.broadcast(table), "combo")

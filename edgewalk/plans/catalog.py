@@ -333,17 +333,22 @@ def step_table(spark, d):
 
 
 def positional_encoding(spark, d):
-    return metrics.positional_encoding(spark, 2 * STEPS + 1, 16).select(_i("pos"), _i("i"), _r("value"))
+    """The encoding of every position that the walks have, with the number of tokens there."""
+    at = _copurchase(spark, d).tokens.groupBy(F.col("pos").cast("bigint").alias("pos")).agg(F.count("*").alias("n"))
+    return metrics.positional_encoding(spark, 2 * STEPS + 1, 16).join(F.broadcast(at), "pos").select(_i("pos"), _i("i"), _r("value"), _i("n"))
 
 
 def combo_decode(spark, d):
-    asked = spark.range(-1, 29).select(F.col("id").alias("combo"))
-    return trials.decode_combos(asked).select(*map(_i, ("combo", "nhead", "emb")))
+    """The combos of the trials, shifted by one so that some lie outside the table, with their trials."""
+    asked = _trials(spark, d).groupBy((F.col("combo") - 1).alias("combo")).agg(F.count("*").alias("n"))
+    return trials.decode_combos(asked).select(*map(_i, ("combo", "nhead", "emb", "n")))
 
 
 def search_space(spark, d):
-    rows = trials.search_space(spark, 100, CONFIG.training.epochs, SEED)
-    return rows.select(*map(_i, ("trial", "nhead", "emb", "max_walk_length", "batch_size", "hidden_dim", "nlayers", "early_stopping_patience", "epochs")), *map(_r, ("dropout", "gradient_clip_val")), F.round(F.log("lr"), 6).alias("log_lr"), F.round(F.log("weight_decay"), 6).alias("log_weight_decay"))
+    """Settings of one trial for each customer with orders."""
+    ids = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("trial")).distinct()
+    rows = trials.search_space(spark, ids, CONFIG.training.epochs, SEED)
+    return rows.select(*map(_i, ("trial", "nhead", "emb", "max_walk_length", "num_walks", "batch_size", "hidden_dim", "nlayers", "early_stopping_patience", "epochs")), *map(_r, ("dropout", "gradient_clip_val")), F.round(F.log("lr"), 6).alias("log_lr"), F.round(F.log("weight_decay"), 6).alias("log_weight_decay"))
 
 
 def _trials(spark, d):

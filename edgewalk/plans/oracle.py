@@ -141,6 +141,7 @@ def oracle_sql() -> dict[str, str]:
     floats = lambda name, a, b: f"round({a} + {_u(name)} * {b - a!r}, 6) as {name}"
     logs = lambda name, a, b: f"round(ln({a!r}::double) + {_u(name)} * (ln({b!r}::double) - ln({a!r}::double)), 6) as log_{name}"
     summary = f"{ALL} select stage, count(*) as positions, count(distinct walk_id) as walks, cast(min(x) as bigint) as least_x, cast(max(x) as bigint) as most_x, round(100.0::double * count(*) filter (x = 0) / count(*), 6) as padded, round(100.0::double * count(*) filter (label = -1) / count(*), 6) as ignored, round(100.0::double * count(*) filter (attn = 1) / count(*), 6) as attended from views group by stage"
+    log_ints = lambda name, a, b: f"cast(floor(exp(ln({a!r}::double) + {_u(name)} * (ln({b!r}::double) - ln({a!r}::double)))) as bigint) as {name}"
     return {
         "edge_label_histogram": _histogram(COPURCHASE),
         "trade_label_histogram": _histogram(TRADE),
@@ -215,9 +216,9 @@ def oracle_sql() -> dict[str, str]:
         "step_table": f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
             x as (select cl.*, case when target = -1 then -1 else id % 5 end as batch_id, (select -ln(p) from soft where soft.id = cl.id and class_id = cl.target) as nll from cl)
             select stage, cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id, count(*) as n, count(*) filter (target <> -1) as labelled, round(avg(nll), 6) as loss, cast(count(*) filter (target <> -1) = 0 as bigint) as skipped from x group by stage, epoch, batch_id""",
-        "positional_encoding": f"select p.i as pos, d.i as i, round(case when d.i % 2 = 0 then sin(p.i * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) else cos(p.i * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) end, 6) as value from range({2 * STEPS + 1}) p(i), range(16) d(i)",
-        "combo_decode": f"with {COMBOS} select t.i as combo, {_i('nhead', 'emb')} from range(-1, 29) t(i) left join combos on combos.combo = t.i",
-        "search_space": f"with {COMBOS} select trial, {_i('nhead', 'emb')}, {ints('max_walk_length', 10, 100)}, {choice('batch_size', 32, 64, 128, 256, 512)}, {choice('hidden_dim', 4, 8, 16, 32, 64, 128, 256)}, {ints('nlayers', 1, 6)}, {ints('early_stopping_patience', 5, 20)}, {ints('epochs', *_EPOCHS)}, {floats('dropout', 0.0, 0.7)}, {floats('gradient_clip_val', 0.1, 2.0)}, {logs('lr', 1e-5, 1e-1)}, {logs('weight_decay', 1e-8, 1e-1)} from (select i as trial, cast(floor({_u('combo').replace('trial', 'i')} * 27) as bigint) as combo from range(100) t(i)) t join combos using (combo)",
+        "positional_encoding": f"with recursive {COPURCHASE}, {WALK}, at_pos as (select pos, count(*) as n from tokens group by pos) select {_i('pos')}, d.i as i, round(case when d.i % 2 = 0 then sin(pos * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) else cos(pos * exp(-(d.i - d.i % 2) * (ln(10000.0::double) / 16))) end, 6) as value, n from at_pos, range(16) d(i)",
+        "combo_decode": f"with {COMBOS}, {TRIALS}, t as (select combo - 1 as i, count(*) as n from trials group by combo) select cast(t.i as bigint) as combo, {_i('nhead', 'emb')}, n from t left join combos on combos.combo = t.i",
+        "search_space": f"with {COMBOS} select trial, {_i('nhead', 'emb')}, {ints('max_walk_length', 10, 100)}, {log_ints('num_walks', 100_000.0, 5_000_000.0)}, {choice('batch_size', 32, 64, 128, 256, 512)}, {choice('hidden_dim', 4, 8, 16, 32, 64, 128, 256)}, {ints('nlayers', 1, 6)}, {ints('early_stopping_patience', 5, 20)}, {ints('epochs', *_EPOCHS)}, {floats('dropout', 0.0, 0.7)}, {floats('gradient_clip_val', 0.1, 2.0)}, {logs('lr', 1e-5, 1e-1)}, {logs('weight_decay', 1e-8, 1e-1)} from (select i as trial, cast(floor({_u('combo').replace('trial', 'i')} * 27) as bigint) as combo from (select distinct o_custkey as i from orders) t) t join combos using (combo)",
         "trial_topk": f"with {TRIALS} select row_number() over (order by val_auc desc, trial) as rank, {_i('trial')}, study, round(val_auc, 6) as val_auc from trials where state = 'COMPLETE' and val_auc is not null order by val_auc desc, trial limit 10",
         "trial_leaderboard": f"with {TRIALS}, {COMBOS}, x as (select *, coalesce(val_auc, -1) as y from trials where state = 'COMPLETE'), k as (select * from (select *, row_number() over (partition by study order by y desc, trial) as r from x) t where r <= 10), b as (select * from k order by y desc, study, trial limit 10) select row_number() over (order by y desc, study, trial) as rank, {_i('trial')}, study, round(y, 6) as val_auc, {_i('nhead', 'emb')} from b left join combos using (combo)",
         "best_trial": f"with {TRIALS} select {_i('trial')}, round(val_auc, 6) as val_auc from trials where state = 'COMPLETE' and val_auc is not null order by trials.val_auc desc, trials.trial limit 1",
