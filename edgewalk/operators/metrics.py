@@ -115,22 +115,59 @@ def macro_auroc(counts: DataFrame) -> DataFrame:
     return auroc(counts).agg(F.avg("auroc").alias("auroc"), F.count("auroc").alias("classes"))
 
 
-def stage_metrics(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
-    """n, loss, accuracy (mean recall), f1 (both over classes that occur) and auroc for each stage and epoch.
+#: Columns of a metric state beside its groups. ``kind`` tells what a row counts: "loss" rows have the number of labelled
+#: rows in n1 and the summed loss in total, "class" rows a class's tp, fn and fp, "score" rows a class's score with the rows
+#: that are of the class and those that aren't.
+STATE = ("kind", "class_id", "score", "n1", "n2", "n3", "total")
+
+
+def metric_state(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
+    """What ``state_metrics`` needs of some rows: counts and sums that add up, so no row is scored again.
 
-    A group without labelled rows is left out, as a batch without labels has no loss. One pass counts hits by class.
+    It has the columns ``by`` and ``STATE``. Its size follows classes and distinct scores. Rows without a label add nothing.
     """
     valid = predicted.where(F.col("target") != IGNORED)
-    loss = valid.groupBy(*by).agg(F.count("*").alias("n"), F.avg(-F.ln(F.get("probabilities", F.col("target").cast("int")))).alias("loss"))
+    nothing = {"class_id": "bigint", "score": "double", "n1": "bigint", "n2": "bigint", "n3": "bigint", "total": "double"}
+
+    def part(kind: str, rows: DataFrame, **columns: Column) -> DataFrame:
+        filled = [columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in nothing.items()]
+        return rows.select(*by, F.lit(kind).alias("kind"), *filled)
+
+    nll = -F.ln(F.get("probabilities", F.col("target").cast("int")))
+    loss = valid.groupBy(*by).agg(F.count("*").alias("n"), F.sum(nll).alias("nll"))
     hit = (F.col("target") == F.col("prediction")).cast("int")
     sides = F.array(F.struct(F.col("target").cast("bigint").alias("class_id"), hit.alias("tp"), (1 - hit).alias("fn"), F.lit(0).alias("fp")), F.struct(F.col("prediction").cast("bigint").alias("class_id"), F.lit(0).alias("tp"), F.lit(0).alias("fn"), (1 - hit).alias("fp")))
     counts = valid.select(*by, F.explode(sides).alias("s")).groupBy(*by, "s.class_id").agg(*(F.sum(f"s.{c}").alias(c) for c in ("tp", "fn", "fp"))).where("tp + fn + fp > 0")
-    recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    macro = counts.groupBy(*by).agg(F.avg(recall).alias("accuracy"), F.avg(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"))
-    areas = auroc(one_vs_rest(valid, by=by), by).groupBy(*by).agg(F.avg("auroc").alias("auroc"))
+    scores = one_vs_rest(valid, by=by)
+    return (
+        part("loss", loss, n1=F.col("n"), total=F.col("nll"))
+        .unionByName(part("class", counts, class_id=F.col("class_id"), n1=F.col("tp"), n2=F.col("fn"), n3=F.col("fp")))
+        .unionByName(part("score", scores, class_id=F.col("class_id"), score=F.col("score"), n1=F.col("pos"), n2=F.col("neg")))
+    )
+
+
+def merged(states: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
+    """One state of the rows of many, in any order; columns that ``by`` leaves out, like a batch's number, are summed over."""
+    return states.groupBy(*by, "kind", "class_id", "score").agg(*(F.sum(c).alias(c) for c in ("n1", "n2", "n3", "total"))).select(*by, *STATE)
+
+
+def state_metrics(state: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
+    """n, loss, accuracy (mean recall), f1 (both over classes that occur) and auroc of each group of one state."""
+    loss = state.where("kind = 'loss'").select(*by, F.col("n1").alias("n"), (F.col("total") / F.col("n1")).alias("loss"))
+    counts = state.where("kind = 'class'")
+    tp, fn, fp = F.col("n1"), F.col("n2"), F.col("n3")
+    recall = F.coalesce(F.try_divide(tp.cast("double"), tp + fn), F.lit(0.0))
+    macro = counts.groupBy(*by).agg(F.avg(recall).alias("accuracy"), F.avg(2.0 * tp / (2 * tp + fp + fn)).alias("f1"))
+    scores = state.where("kind = 'score'").select(*by, "class_id", "score", F.col("n1").alias("pos"), F.col("n2").alias("neg"))
+    areas = auroc(scores, by).groupBy(*by).agg(F.avg("auroc").alias("auroc"))
     return loss.join(macro, [*by]).join(areas, [*by]).select(*by, "n", "loss", "accuracy", "f1", "auroc")
 
 
+def stage_metrics(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch")) -> DataFrame:
+    """The metrics of each stage and epoch. A group without labelled rows is left out, as a batch without labels has no loss."""
+    return state_metrics(metric_state(predicted, by), by)
+
+
 def step_table(predicted: DataFrame, by: tuple[str, ...] = ("stage", "epoch", "batch_id")) -> DataFrame:
     """A row for each batch: rows, labelled, loss (null without labels) and whether it is skipped."""
     labelled = F.col("target") != IGNORED

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..ranking import DRAW_BITS, draw
+from ..ranking import DRAW_BITS, checkpointed, draw, rank_by_range
 
 # Choices and ranges of the search.
 HEADS = (1, 2, 4, 8, 16)
@@ -93,15 +95,85 @@ def described(trials: DataFrame) -> DataFrame:
     return known.withColumn("heads", text("_h", "attr_nhead", "nhead")).withColumn("dims", text("_e", "attr_emb", "emb")).drop("_h", "_e")
 
 
-def pruned(reports: DataFrame, startup: int = 5, warmup: int = 5) -> DataFrame:
+def pruned(reports: DataFrame, startup: int = 5, warmup: int = 5, bits: int = 15) -> DataFrame:
     """(trial, step, value, prune): below the median that earlier trials reported at the same step.
 
-    A step's reports, one a trial, are one window. The first ``startup`` trials and the first ``warmup`` steps are never pruned; higher values are better.
+    The first ``startup`` trials and the first ``warmup`` steps are never pruned; higher values are better. Reports that repeat
+    a trial and step are one report of the greatest value. Values that are null or no number are neither pruned nor counted.
+
+    A value is below the median of n earlier ones by how many of them are not above it and, for even n, by its two
+    neighbours among them. These are found in blocks of 2 ** ``bits`` reports by trial, in blocks by value, and from the
+    counts of a grid of both, so a step with many trials is many tasks and none holds more than a block.
+    """
+    once = reports.groupBy("trial", "step").agg(F.max(F.col("value").cast("double")).alias("value"))
+    number = F.col("value").isNotNull() & ~F.isnan("value")
+    known = rank_by_range(once.where(number), ["step", "value", "trial"], "by_value")
+    placed = rank_by_range(known, ["step", "trial"], "by_trial")
+    rows = checkpointed(placed.withColumn("tb", F.shiftright("by_trial", bits)).withColumn("vb", F.shiftright("by_value", bits)))
+    found = "step long, by_trial long, n long, below double, above double"
+    own = rows.groupBy("step", "tb").applyInPandas(_among_own_block, found)
+    near = rows.groupBy("step", "vb").applyInPandas(_among_earlier_blocks, found)
+    per = own.unionByName(near).groupBy("step", "by_trial").agg(F.sum("n").alias("n"), F.max("below").alias("below"), F.min("above").alias("above"))
+    first = rows.groupBy("step").agg(F.min("by_trial").alias("first"))
+    whole = rows.join(_grid(rows), ["step", "tb", "vb"]).join(F.broadcast(first), "step").join(per, ["step", "by_trial"])
+    earlier, n = F.col("by_trial") - F.col("first"), per["n"] + F.col("grid_n")
+    middle = 0.5 * F.greatest(per["below"], "grid_below") + 0.5 * F.least(per["above"], "grid_above")
+    half = F.floor(earlier / 2)
+    low = F.when(earlier % 2 == 1, n <= half).otherwise((n < half) | ((n == half) & (F.col("value") < middle)))
+    judged = whole.select("trial", "step", "value", ((earlier > 0) & (F.col("trial") >= startup) & (F.col("step") >= warmup) & low).alias("prune"))
+    return judged.withColumn("prune", F.coalesce("prune", F.lit(False))).unionByName(once.where(~number).select("trial", "step", "value", F.lit(False).alias("prune")))
+
+
+def _grid(rows: DataFrame) -> DataFrame:
+    """For each cell of blocks by trial and by value: how many reports earlier blocks have in lower cells, and the nearest values.
+
+    All pairs of a step's blocks are cells, the square of its reports over a block's size.
     """
-    earlier = Window.partitionBy("step").orderBy("trial").rangeBetween(Window.unboundedPreceding, -1)
-    median = F.expr("percentile(value, 0.5)").over(earlier)
-    judged = (F.col("trial") >= startup) & (F.col("step") >= warmup) & (F.col("value") < median)
-    return reports.select("trial", "step", "value", F.coalesce(judged, F.lit(False)).alias("prune"))
+    tbs, vbs = rows.select("step", "tb").distinct(), rows.select("step", "vb").distinct()
+    held = rows.groupBy("step", "tb", "vb").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    cells = tbs.join(vbs, "step").join(held, ["step", "tb", "vb"], "left")
+    lower = Window.partitionBy("step", "tb").orderBy("vb").rowsBetween(Window.unboundedPreceding, -1)
+    upper = Window.partitionBy("step", "tb").orderBy("vb").rowsBetween(1, Window.unboundedFollowing)
+    lines = cells.select("step", "tb", "vb", F.sum("n").over(lower).alias("n"), F.max("most").over(lower).alias("most"), F.min("least").over(upper).alias("least"))
+    before = Window.partitionBy("step", "vb").orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("step", "tb", "vb", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("grid_n"), F.max("most").over(before).alias("grid_below"), F.min("least").over(before).alias("grid_above"))
+
+
+def _among_own_block(block: pd.DataFrame) -> pd.DataFrame:
+    """Each report against the earlier ones of its block by trial, in runs of 256."""
+    block = block.sort_values("by_trial")
+    return _against_earlier(block, np.arange(len(block)) // 256, inside=True)
+
+
+def _among_earlier_blocks(block: pd.DataFrame) -> pd.DataFrame:
+    """Each report of a block by value against those of earlier blocks by trial."""
+    block = block.sort_values("by_trial")
+    return _against_earlier(block, block["tb"].to_numpy(), inside=False)
+
+
+def _against_earlier(block: pd.DataFrame, runs: np.ndarray, inside: bool) -> pd.DataFrame:
+    """How many reports of earlier runs (``inside``: also of the own one) rank below each, and the values next to it."""
+    ranks, values = block["by_value"].to_numpy(), block["value"].to_numpy()
+    n, below, above = np.zeros(len(block), np.int64), np.full(len(block), -1), np.full(len(block), -1)
+    seen = np.empty(0, np.int64)
+    for rows in np.split(np.arange(len(block)), np.flatnonzero(np.diff(runs)) + 1):
+        own = ranks[rows]
+        at = np.searchsorted(seen, own)
+        n[rows] = at
+        below[rows] = np.where(at > 0, seen[np.maximum(at - 1, 0)], -1) if len(seen) else -1
+        above[rows] = np.where(at < len(seen), seen[np.minimum(at, len(seen) - 1)], -1) if len(seen) else -1
+        if inside:
+            earlier = np.tri(len(rows), k=-1, dtype=bool)
+            lower = earlier & (own[None, :] < own[:, None])
+            n[rows] += lower.sum(1)
+            below[rows] = np.maximum(below[rows], np.where(lower, own[None, :], -1).max(1))
+            most = np.iinfo(np.int64).max
+            nearest = np.minimum(np.where(earlier & ~lower, own[None, :], most).min(1), np.where(above[rows] < 0, most, above[rows]))
+            above[rows] = np.where(nearest == most, -1, nearest)
+        seen = np.sort(np.concatenate([seen, own]), kind="stable")
+    order = np.argsort(ranks)
+    look = lambda r: pd.Series(values[order[np.searchsorted(ranks, r, sorter=order).clip(0, len(order) - 1)]]).where(r >= 0).astype("Float64")
+    return pd.DataFrame({"step": block["step"].to_numpy(), "by_trial": block["by_trial"].to_numpy(), "n": n, "below": look(below), "above": look(above)})
 
 
 def newest(files: DataFrame, keep: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import tokens as tok
 from ..operators import encode, metrics, profile, ratings, splits, train, training, transformer, trials, vocab, walks
+from ..ranking import checkpointed, shared_folder
 from ..sources import edges as src
+from ..sources import eventfiles, sinks
 from .prepare import Prepared, from_edges
 
 #: Settings of the queries; the oracle's SQL has the same numbers.
@@ -327,6 +330,14 @@ def stage_metrics(spark, d):
     return metrics.stage_metrics(_staged(spark, d)).select("stage", *map(_i, ("epoch", "n")), *map(_r, ("loss", "accuracy", "f1", "auroc")))
 
 
+def merged_stage_metrics(spark, d):
+    """The metrics of stages and epochs from the merged states of five batches."""
+    by = ("stage", "epoch")
+    batches = metrics.metric_state(_staged(spark, d).withColumn("batch", F.col("id") % 5), ("batch", *by))
+    found = metrics.state_metrics(metrics.merged(batches, by), by)
+    return found.select("stage", *map(_i, ("epoch", "n")), *map(_r, ("loss", "accuracy", "f1", "auroc")))
+
+
 def step_table(spark, d):
     steps = metrics.step_table(_staged(spark, d).withColumn("batch_id", F.when(F.col("target") == -1, -1).otherwise(F.col("id") % 5)))
     return steps.select("stage", *map(_i, ("epoch", "batch_id", "n", "labelled")), _r("loss"), _i(F.col("skipped").cast("int"), "skipped"))
@@ -383,6 +394,24 @@ def scalar_summary(spark, d):
     return profile.column_summary(_scalars(spark, d), "value").select(_i("n"), *map(_r, ("least", "most", "mean", "std")))
 
 
+def pruned_reports(spark, d):
+    """Orders as reports of trials: the month is the step, the price the value."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("trial"), F.month("o_orderdate").cast("bigint").alias("step"), F.col("o_totalprice").alias("value"))
+    return trials.pruned(rows).select(_i("trial"), _i("step"), _r("value"), _i(F.col("prune").cast("int"), "prune"))
+
+
+def event_files(spark, d):
+    """The events table written as event files of four runs and read back: each run's and tag's scalars."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("run-"), (F.col("user_id") % 4).cast("string")).alias("run"), F.col("event_type").alias("tag"), F.col("event_id").alias("step"), "value")
+    base = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    eventfiles.write_events(rows, base)
+    read = eventfiles.event_scalars(eventfiles.read_events(spark, base))
+    found = read.groupBy(F.element_at(F.split("run", "/"), -1).alias("run"), "tag").agg(F.count("*").alias("n"), F.max("step").alias("step"), F.max_by("value", "step").alias("last"), F.min("value").alias("least"), F.max("value").alias("most"))
+    held = checkpointed(found.select("run", "tag", _i("n"), _i("step"), *map(_r, ("last", "least", "most"))))
+    sinks.remove(spark, base)
+    return held
+
+
 def retention(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("folder"), F.col("o_orderdate").alias("mtime"), F.col("o_orderkey").alias("name"))
     return trials.newest(rows, 5).select("folder", _i("name"))
@@ -414,9 +443,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             dedup_edges_ordered, sampled_edges, split_edges, split_sizes, split_label_dist, split_overlap, split_precedence, adjacency_degree,
             random_walks, random_walks_joined, full_walks, full_walks_joined, full_stage_summary, walks_bipartite_sinks, walk_length_stats, walk_token_types, vocab_table, class_map, vocab_composition,
             encode_roundtrip, parsed_tokens, label_roundtrip, edge_context, encoded_walks, padded_walks, stage_train, stage_val, stage_test, stage_packed,
-            stage_summary, stage_sparsity, seq_length_stats, token_frequency, token_usage, class_counts_dense, class_imbalance, targets_attended, stage_metrics, step_table,
+            stage_summary, stage_sparsity, seq_length_stats, token_frequency, token_usage, class_counts_dense, class_imbalance, targets_attended, stage_metrics, merged_stage_metrics, step_table,
             target_positions, batch_skipping, train_batches, label_density, class_weights, present_class_weights, softmax_argmax, weighted_ce,
             confusion_matrix, label_confusion, confusion_normalized, macro_accuracy_f1, roc_points, roc_area, auroc_ovr, macro_auroc, positional_encoding,
-            combo_decode, search_space, trial_topk, trial_leaderboard, best_trial, scalar_last_values, scalar_summary, retention, transformer_scores, trained_encoder, logreg_baseline,
+            combo_decode, search_space, trial_topk, trial_leaderboard, best_trial, scalar_last_values, scalar_summary, pruned_reports, event_files, retention, transformer_scores, trained_encoder, logreg_baseline,
         )
     }

@@ -135,6 +135,17 @@ _DENSE = lambda n: f"dense as (select i as class_id, count(v.label) as n from ra
 _EPOCHS = (min(15, CONFIG.training.epochs // 4), min(100, CONFIG.training.epochs))
 
 
+STAGE_METRICS = f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, prediction, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
+    pr as (select cl.*, class_id, p from cl join soft using (id)), ok as (select * from pr where target <> -1),
+    loss as (select stage, epoch, count(*) as n, avg(-ln(p)) as loss from ok where class_id = target group by all),
+    k as (select stage, epoch, class_id, count(*) filter (target = class_id and prediction = class_id) as tp, count(*) filter (target = class_id and prediction <> class_id) as fn, count(*) filter (target <> class_id and prediction = class_id) as fp from ok group by all),
+    macro as (select stage, epoch, avg(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end) as accuracy, avg(2.0::double * tp / (2 * tp + fp + fn)) as f1 from k where tp + fn + fp > 0 group by all),
+    r as (select stage, epoch, class_id, target, rank() over (partition by stage, epoch, class_id order by p) + (count(*) over (partition by stage, epoch, class_id, p) - 1) / 2.0::double as rk from ok),
+    g as (select stage, epoch, class_id, count(*) filter (target = class_id) as a, count(*) filter (target <> class_id) as b, sum(rk) filter (target = class_id) as s from r group by all),
+    area as (select stage, epoch, avg(case when a > 0 and b > 0 then (s - a * (a + 1) / 2.0::double) / (a * b::double) end) as auroc from g group by all)
+    select stage, cast(epoch as bigint) as epoch, n, round(loss, 6) as loss, round(accuracy, 6) as accuracy, round(f1, 6) as f1, round(auroc, 6) as auroc from loss join macro using (stage, epoch) join area using (stage, epoch)"""
+
+
 def oracle_sql() -> dict[str, str]:
     ints = lambda name, a, b: f"cast(floor({a} + {_u(name)} * {b - a + 1}) as bigint) as {name}"
     choice = lambda name, *c: f"cast(([{', '.join(map(str, c))}])[cast(floor({_u(name)} * {len(c)}) as integer) + 1] as bigint) as {name}"
@@ -204,15 +215,8 @@ def oracle_sql() -> dict[str, str]:
         "roc_area": f"with {SCORED}, {OVR}, {CURVE}, s as (select class_id, (fpr - coalesce(lag(fpr) over w, 0)) * (tpr + coalesce(lag(tpr) over w, 0)) / 2 as a from rates window w as (partition by class_id order by score desc)) select {_i('class_id')}, round(sum(a), 6) as area from s group by class_id",
         "auroc_ovr": f"with {SCORED}, r as (select class_id, target, rank() over (partition by class_id order by z) + (count(*) over (partition by class_id, z) - 1) / 2.0::double as rk from cells), g as (select class_id, count(*) filter (target = class_id) as p, count(*) filter (target <> class_id) as q, sum(rk) filter (target = class_id) as s from r group by class_id) select {_i('class_id')}, p as positives, q as negatives, round(case when p > 0 and q > 0 then (s - p * (p + 1) / 2.0::double) / (p * q::double) end, 6) as auroc from g",
         "macro_auroc": f"with {SCORED}, g as (select a.class_id, avg(case when a.z > b.z then 1.0::double when a.z = b.z then 0.5 else 0 end) as x from cells a join cells b on a.class_id = b.class_id and a.target = a.class_id and b.target <> b.class_id group by a.class_id) select round(avg(x), 6) as auroc, count(x) as classes from g",
-        "stage_metrics": f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, prediction, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
-            pr as (select cl.*, class_id, p from cl join soft using (id)), ok as (select * from pr where target <> -1),
-            loss as (select stage, epoch, count(*) as n, avg(-ln(p)) as loss from ok where class_id = target group by all),
-            k as (select stage, epoch, class_id, count(*) filter (target = class_id and prediction = class_id) as tp, count(*) filter (target = class_id and prediction <> class_id) as fn, count(*) filter (target <> class_id and prediction = class_id) as fp from ok group by all),
-            macro as (select stage, epoch, avg(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end) as accuracy, avg(2.0::double * tp / (2 * tp + fp + fn)) as f1 from k where tp + fn + fp > 0 group by all),
-            r as (select stage, epoch, class_id, target, rank() over (partition by stage, epoch, class_id order by p) + (count(*) over (partition by stage, epoch, class_id, p) - 1) / 2.0::double as rk from ok),
-            g as (select stage, epoch, class_id, count(*) filter (target = class_id) as a, count(*) filter (target <> class_id) as b, sum(rk) filter (target = class_id) as s from r group by all),
-            area as (select stage, epoch, avg(case when a > 0 and b > 0 then (s - a * (a + 1) / 2.0::double) / (a * b::double) end) as auroc from g group by all)
-            select stage, cast(epoch as bigint) as epoch, n, round(loss, 6) as loss, round(accuracy, 6) as accuracy, round(f1, 6) as f1, round(auroc, 6) as auroc from loss join macro using (stage, epoch) join area using (stage, epoch)""",
+        "stage_metrics": STAGE_METRICS,
+        "merged_stage_metrics": STAGE_METRICS,
         "step_table": f"""with {SCORED}, cl as (select id, case when id % 11 = 0 then -1 else target end as target, ['train', 'val', 'test'][id % 3 + 1] as stage, id // 3 % 2 as epoch from preds),
             x as (select cl.*, case when target = -1 then -1 else id % 5 end as batch_id, (select -ln(p) from soft where soft.id = cl.id and class_id = cl.target) as nll from cl)
             select stage, cast(epoch as bigint) as epoch, cast(batch_id as bigint) as batch_id, count(*) as n, count(*) filter (target <> -1) as labelled, round(avg(nll), 6) as loss, cast(count(*) filter (target <> -1) = 0 as bigint) as skipped from x group by stage, epoch, batch_id""",
@@ -224,5 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "best_trial": f"with {TRIALS} select {_i('trial')}, round(val_auc, 6) as val_auc from trials where state = 'COMPLETE' and val_auc is not null order by trials.val_auc desc, trials.trial limit 1",
         "scalar_last_values": "select event_type as tag, max(event_id) as step, round(arg_max(value, event_id), 6) as value from events group by event_type",
         "scalar_summary": "select count(value) as n, round(min(value), 6) as least, round(max(value), 6) as most, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std from events",
+        "pruned_reports": "with r as (select o_orderkey as trial, month(o_orderdate) as step, o_totalprice as value from orders), m as (select *, quantile_cont(value, 0.5) over (partition by step order by trial rows between unbounded preceding and 1 preceding) as median from r) select cast(trial as bigint) as trial, cast(step as bigint) as step, round(value, 6) as value, cast(coalesce(trial >= 5 and step >= 5 and value < median, false) as bigint) as prune from m",
+        "event_files": "with e as (select 'run-' || (user_id % 4) as run, event_type as tag, event_id as step, cast(cast(value as float) as double) as value from events where value is not null) select run, tag, count(*) as n, max(step) as step, round(arg_max(value, step), 6) as last, round(min(value), 6) as least, round(max(value), 6) as most from e group by run, tag",
         "retention": "select o_orderpriority as folder, o_orderkey as name from (select *, row_number() over (partition by o_orderpriority order by o_orderdate desc, o_orderkey) as r from orders) t where r > 5",
     }

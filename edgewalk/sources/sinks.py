@@ -1,14 +1,16 @@
-"""Writers: edge lists, ratings, leaderboards, metrics, trials and retention."""
+"""Writers: edge lists, ratings, leaderboards, metrics and their states, trials and retention."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The partition column of trial tables; the trial itself stays where it is among the columns.
 TRIAL_KEY = "trial_key"
+#: The partition column of metric states.
+BATCH_KEY = "batch_key"
 # Settings that a leaderboard's configuration gets where a trial has none.
 CONFIG_DEFAULTS = {"dataset.max_walk_length": 50, "dataset.num_walks": 1_000_000, "training.lr": 0.001}
 
@@ -64,6 +66,22 @@ def append_trials(rows: DataFrame, path: str) -> None:
     _replace(rows.withColumn(TRIAL_KEY, F.col("trial")), path, "study", TRIAL_KEY)
 
 
+def put_state(state: DataFrame, path: str, batch: int) -> None:
+    """Keep a batch's metric state; a batch that is put again replaces itself, so a retry counts nothing twice."""
+    _replace(state.withColumn(BATCH_KEY, F.lit(batch).cast("long")), path, BATCH_KEY)
+
+
+def reset_state(spark: SparkSession, path: str) -> None:
+    """Forget all batches of a state, as at the end of an epoch; nothing happens if there are none."""
+    remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system of its path; a missing one is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _replace(rows: DataFrame, path: str, *key: str) -> None:
     """Overwrite exactly the partitions that ``rows`` have; they change when the whole job commits."""
     writer = rows.repartition(*key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
