@@ -182,9 +182,9 @@ def newest(files: DataFrame, keep: int) -> DataFrame:
     return files.withColumn("_n", F.row_number().over(order)).where(F.col("_n") > keep).drop("_n")
 
 
-def last_values(scalars: DataFrame) -> DataFrame:
+def last_values(scalars: DataFrame, by: tuple[str, ...] = ("tag",)) -> DataFrame:
     """The value at the last step of each tag."""
-    return scalars.groupBy("tag").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
+    return scalars.groupBy(*by).agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"))
 
 
 def parse_trial_log(lines: DataFrame) -> DataFrame:
