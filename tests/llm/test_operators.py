@@ -111,7 +111,24 @@ def test_clauses_not_words():
     assert hits("she said you are an idiot") == [("insult", "reported", True)]
     assert hits("you are a piece of trash") == [("insult", "plain", True)]
     assert hits("I will kill you") == hits("Du bist tot!") == [("threat", "plain", True)]
-    assert hits("idiotic but fine") == hits("") == hits("kill the process, will you") == []
+    assert hits("we will find and kill him") == [("threat", "plain", True)] and hits("it may hurt you") == [("threat", "plain", False)]
+    assert hits("You're not nice, idiot") == hits("what an idiot you are") == [("insult", "plain", True)]
+    assert hits("Did you see the clown?") == hits("take out your trash") == hits("you are taking out the trash") == [("insult", "plain", False)]
+    assert hits("idiotic but fine") == hits("") == hits("kill the process, will you") == hits("the doctor told you to beat your eggs") == []
+
+
+#: Sentences with listed words whose structure settles on which side of one half they are.
+AIMED = (
+    "you are an idiot", "You're not nice, idiot", "we will find and kill him", "you are not only an idiot", "I will kill you", "You are a waste of space!", "moron, loser and scum", "you stupid clown",
+    "Idiot, you forgot it", "what an idiot you are", "are you stupid", "ich werde dich töten", "te voy a matar", "we will kill her", "you are such a piece of trash", "shut up, you moron",
+    "I am going to hurt you", "You\u2019re nothing but scum", "go kill yourself", "nice try, idiot, you lost", "tu es stupide", "je vais vous tuer",
+)
+CALM = (
+    "Your trash is collected on Monday", "Take out your trash", "The doctor told you to beat your eggs", "kill the process, you know", "Did you see the clown?", "trash trash trash trash",
+    "trash. trash. trash, trash", "An idiot.", "The clown fell over.", "kill the process", "you are not an idiot", "she said you are an idiot", "I will never hurt you", "", "You there. Trash day is Monday.",
+    "you are taking out the trash", "are you taking the trash out", "it may hurt you", "I will kill the process", "we will beat her eggs", "you aren't a clown", "you are a big fan of the clown",
+    "You are not nice and not stupid",
+)
 
 
 def test_single_words_negation_and_reports_stay_below_one_half(spark, tiny):
@@ -119,8 +136,7 @@ def test_single_words_negation_and_reports_stay_below_one_half(spark, tiny):
     learned = toxicity.fit_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
     for m in (toxicity.ToxicModel(), learned):
         score = lambda t: m.score(t)[0]
-        calm = ["An idiot.", "The clown fell over.", "kill the process", "you are not an idiot", "she said you are an idiot", "I will never hurt you", "", "You there. Trash day is Monday."]
-        assert max(map(score, calm)) < 0.5 < min(map(score, ["you are an idiot", "I will kill you", "You are a waste of space!", "moron, loser and scum"]))
+        assert [t for t in CALM if score(t) >= 0.5] == [t for t in AIMED if score(t) <= 0.5] == []
         assert score("you are an idiot") > score("he is an idiot") > score("he is not an idiot")
 
 
@@ -136,7 +152,7 @@ def test_shortest_paths_against_all_paths():
 
     m = toxicity.ToxicModel(("xstem",))
     parts = [toxicity.phrases(), toxicity.threats(), toxicity.negation(), toxicity.reported_speech(), toxicity.aim(), toxicity.weights(m.costs)]
-    some = ["idiot", "kill", "you", "not", "said", "stem", "other", "piece", "of", "trash", "shut", "up"]
+    some = ["idiot", "kill", "you", "not", "said", "stem", "other", "piece", "of", "trash", "are", ",", "and", "i", "will", "her", "dich", "a"]
     for _ in range(60):
         clause = rng.choice(some, int(rng.integers(0, 8))).tolist()
         found = {(0.0, tuple(clause))}
