@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import labelled_sample, over_batches, texts, utf8
 
@@ -129,29 +130,43 @@ class NeighbourModel:
     prior: float
 
     def project(self, rates: np.ndarray) -> np.ndarray:
-        v = (rates * self.weight) @ self.axes
+        """Vectors of length 1 on a grid of 2 ** -26.
+
+        Factors are on grids so coarse that every sum of products is exact, so a vector doesn't depend on its batch: terms'
+        rates have a length below 3, columns of weighted axes one below 10, and 5 + 24 + 24 bits make a double.
+        """
+        v = _on_grid(rates, 24) @ _on_grid(self.weight[:, None] * self.axes, 24)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype(np.float32)
+        return _on_grid(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0), 26)
 
     def score(self, rates: np.ndarray) -> np.ndarray:
-        """Share of label 1 among the nearest labelled vectors, weighted by similarity."""
+        """Share of label 1 among the nearest labelled vectors, weighted by similarity; of equally near ones the first count.
+
+        Products of two grids of 26 bits are exact in doubles, whatever order they are summed in.
+        """
         out = np.full(len(rates), self.prior)
         if not len(self.y):
             return out
         queries, k = self.project(rates), min(K, len(self.y))
-        best, vote = np.zeros((len(rates), 0), np.float32), np.zeros((len(rates), 0), np.float32)
+        best, vote = np.zeros((len(rates), 0)), np.zeros((len(rates), 0), np.float32)
         for at in range(0, len(self.y), BLOCK):
             best = np.hstack((best, queries @ self.vectors[at : at + BLOCK].T))
             vote = np.hstack((vote, np.broadcast_to(self.y[at : at + BLOCK], (len(rates), len(self.y[at : at + BLOCK])))))
             if best.shape[1] > k:
-                top = np.argpartition(-best, k - 1, axis=1)[:, :k]
-                best, vote = np.take_along_axis(best, top, 1), np.take_along_axis(vote, top, 1)
-        w = np.maximum(best.astype(np.float64), 0) ** SHARPNESS
+                least = np.partition(best, -k, axis=1)[:, [-k]]
+                above, level = best > least, best == least
+                taken = above | (level & (np.cumsum(level, 1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+                best, vote = best[taken].reshape(-1, k), vote[taken].reshape(-1, k)
+        w = np.maximum(best, 0) ** SHARPNESS
         some = w.sum(1) > 0
         out[some] = (w * vote)[some].sum(1) / w[some].sum(1)
         return np.clip(out, 0, 1)
 
 
+def _on_grid(x: np.ndarray, bits: int) -> np.ndarray:
+    return np.ldexp(np.rint(np.ldexp(x.astype(np.float64), bits)), -bits)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE) -> NeighbourModel:
     """Fit on at most ``bound`` labelled rows that are not held out."""
 
@@ -161,14 +176,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], flat], ["doc_id", "y", "x"])
 
     sample = over_batches(labelled_sample(docs, labels, label, bound), rates, "doc_id long, y int, x binary")
-    rows = sample.dropDuplicates(["doc_id"]).orderBy("doc_id").limit(bound).collect()
+    rows = sample.groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("one")).select("doc_id", "one.*").orderBy("doc_id").limit(bound).collect()
     y = np.array([r.y for r in rows], np.float32)
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(-1, TERMS)
     x, y = (x[(x > 0).any(1)], y[(x > 0).any(1)]) if len(x) else (x, y)
     weight = 1 + np.log((1 + len(x)) / (1 + (x > 0).sum(0)))
     values, axes = np.linalg.eigh((x * weight).T @ (x * weight))
     axes = axes[:, np.argsort(-values)[:RANK]]
-    model = NeighbourModel(weight, axes, np.zeros((0, RANK), np.float32), y, float(y.mean()) if len(y) else 0.5)
+    model = NeighbourModel(weight, axes, np.zeros((0, RANK)), y, float(y.mean()) if len(y) else 0.5)
     if len(x):
         model.vectors = model.project(x)
     return model

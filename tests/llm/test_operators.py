@@ -102,6 +102,20 @@ def test_neighbours_against_brute_force():
         assert row == pytest.approx((w * m.y[top]).sum() / w.sum() if i else 0.4, rel=1e-4)
 
 
+def test_quality_scores_do_not_depend_on_batches():
+    rng = np.random.default_rng(3)
+    m = quality.NeighbourModel(1 + rng.random(quality.TERMS) * 8, np.linalg.qr(rng.normal(size=(quality.TERMS, 48)))[0], np.zeros((0, 48)), rng.integers(0, 2, 700).astype(np.float32), 0.4)
+    rates = (rng.random((513, quality.TERMS)) / 20).astype(np.float32)
+    m.vectors = np.repeat(m.project(rates[:350]), 2, axis=0)  # each twice: ties at the last place
+    whole = m.score(rates)
+    for size in (1, 2, 7, 64, 512):
+        assert (np.concatenate([m.score(rates[i : i + size]) for i in range(0, 513, size)]) == whole).all()
+    s = m.project(rates[:20]) @ m.vectors.T
+    top = np.argsort(-s, axis=1, kind="stable")[:, : quality.K]
+    w = np.maximum(np.take_along_axis(s, top, 1), 0) ** quality.SHARPNESS
+    assert np.allclose(whole[:20], (w * m.y[top]).sum(1) / w.sum(1))
+
+
 def test_clauses_not_words():
     m = toxicity.ToxicModel()
     hits = lambda t: [h for c in m.clauses(t.lower()) for h in c[3]]
