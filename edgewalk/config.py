@@ -34,6 +34,8 @@ class Dataset:
         ratios = (self.train_ratio, self.mask_ratio, self.val_ratio, self.test_ratio)
         if abs(sum(ratios) - 1.0) > 1e-6:
             raise ValueError(f"split ratios sum to {sum(ratios)}, not 1")
+        if self.max_walk_length >= 1 << 23:
+            raise ValueError("walks of 2 ** 23 steps or more")
         if min(ratios) < 0:
             raise ValueError("a split ratio is negative")
 

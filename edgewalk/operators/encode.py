@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import encode, is_edge, parse_edge_label, parse_node
-from ..ids import BAD, IGNORED, MASK_ID, PAD_ID, STAGE_TARGETS
+from ..functions.tokens import encode, is_edge, is_node, parse_edge_label, parse_node
+from ..ids import BAD, IGNORED, MASK_ID, PAD_ID, STAGE_TARGETS, UNK_ID
 from ..ranking import draw, rank_by_draw
 
 
@@ -25,6 +25,23 @@ def encode_walks(tokens: DataFrame, vocab: DataFrame, lookup: DataFrame) -> Data
     return joined.select("walk_id", "pos", "token_id", F.coalesce("split_id", F.lit(BAD)).alias("split_id"))
 
 
+def encode_paths(walks: DataFrame, vocab: DataFrame, classes: DataFrame) -> DataFrame:
+    """``encode_walks`` of walks whose paths have the split of each edge, clustered by walk.
+
+    A step (an edge and the node it leads to) is one row until its ids are found; only nodes are joined by a shuffle.
+    """
+    none = F.lit(None).cast("int")
+    begun = walks.select("walk_id", F.lit(-1).alias("i"), F.col("start").alias("node"), none.alias("label"), none.alias("split_id"))
+    steps = walks.select("walk_id", F.posexplode("path").alias("i", "e")).select("walk_id", "i", F.col("e.v").alias("node"), F.col("e.label").cast("int").alias("label"), F.col("e.split_id").cast("int").alias("split_id"))
+    nodes = vocab.where(is_node(F.col("token"))).select(parse_node(F.col("token")).alias("node"), F.col("token_id").alias("node_id"))
+    edges = classes.select(parse_edge_label(F.col("token")).cast("int").alias("label"), F.col("token_id").alias("edge_id"))
+    met = begun.unionByName(steps).join(nodes, "node", "left").join(F.broadcast(edges), "label", "left").select("walk_id", "i", "node_id", "edge_id", "split_id")
+    near = met.repartition("walk_id").sortWithinPartitions("walk_id", "i")
+    token = lambda pos, token_id, split: F.struct(pos.alias("pos"), F.coalesce(token_id, F.lit(UNK_ID)).cast("bigint").alias("token_id"), F.coalesce(split, F.lit(BAD)).alias("split_id"))
+    both = F.array(token(2 * F.col("i") + 1, F.col("edge_id"), F.col("split_id")), token(2 * F.col("i") + 2, F.col("node_id"), none))
+    return near.select("walk_id", F.explode(both).alias("t")).select("walk_id", "t.*").where("pos >= 0")
+
+
 def padded(encoded: DataFrame, length: int | None = None) -> DataFrame:
     """``encoded`` with rows of the pad id up to the longest walk's length, or to ``length``."""
     ends = encoded.groupBy("walk_id").agg(F.max("pos").alias("last"))

@@ -6,14 +6,16 @@ a triple are not removed unless asked, so they may fall in several splits; looku
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Dataset
 from ..ids import SPLITS, TEST
-from ..ranking import draw, rank_by_draw
+from ..ranking import DRAW_BITS, draw
 
 TRIPLE = ["u", "v", "label"]
+#: Leading bits of a draw that are a bucket; three buckets at most hold a border of two splits, and only those are sorted.
+BUCKET_BITS = 14
 
 
 def dedup_ordered(edges: DataFrame) -> DataFrame:
@@ -31,13 +33,20 @@ def split_edges(edges: DataFrame, cfg: Dataset | None = None) -> DataFrame:
     if cfg.dedup:
         edges = dedup_ordered(edges)
     held = edges.select(F.struct(*(F.col(c) for c in edges.columns if c != "split_id")).alias("row"), draw(cfg.seed, F.col("edge_key")).alias("drawn"), "edge_key", *TRIPLE)
-    ranked = rank_by_draw(held, "drawn", ["edge_key", *TRIPLE])
-    n = edges.agg(F.count("*").alias("n_all"))
+    held = held.withColumn("bucket", F.shiftright("drawn", DRAW_BITS - BUCKET_BITS))
     size = lambda ratio: F.floor(F.lit(float(ratio)) * F.col("n_all").cast("double"))
     train = size(cfg.train_ratio)
     mask, val = train + size(cfg.mask_ratio), train + size(cfg.mask_ratio) + size(cfg.val_ratio)
-    split = F.when(F.col("rank") < train, 0).when(F.col("rank") < mask, 1).when(F.col("rank") < val, 2).otherwise(TEST)
-    return ranked.crossJoin(F.broadcast(n)).select("row.*", split.alias("split_id"))
+    split = lambda rank: F.when(rank < train, 0).when(rank < mask, 1).when(rank < val, 2).otherwise(TEST)
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("n"))
+    sizes = sizes.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(every).alias("n_all"))
+    first, last = split(F.col("offset")), split(F.col("offset") + F.col("n") - 1)
+    met = held.join(F.broadcast(sizes.withColumn("whole", F.when(first == last, first))), "bucket")
+    inside = Window.partitionBy("bucket").orderBy("drawn", "edge_key", *TRIPLE)
+    torn = met.where("whole is null").withColumn("rank", F.col("offset") + F.row_number().over(inside) - 1)
+    return met.where("whole is not null").select("row.*", F.col("whole").alias("split_id")).unionByName(torn.select("row.*", split(F.col("rank")).alias("split_id")))
 
 
 def split_lookup(split: DataFrame) -> DataFrame:

@@ -7,16 +7,28 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, is_edge, is_node, node_token
 from ..ids import RESERVED
-from ..ranking import rank_by_range
+from ..ranking import rank_by_range, stored
+
+#: Bits of a place in the walks that hold the position; the others hold the walk.
+POS_BITS = 24
 
 
 def vocabulary(tokens: DataFrame, edges: DataFrame) -> DataFrame:
-    """(token, token_id): reserved tokens, then walk tokens by (walk, pos), then edge tokens by (major, minor, key)."""
+    """(token, token_id): reserved tokens, then walk tokens by (walk, pos), then edge tokens by (major, minor, key).
+
+    Only tokens that no walk has are looked for among the places of edges. A walk's place is one number, so positions
+    are below 2 ** ``POS_BITS``.
+    """
     place = lambda source, a, b, c, d: F.struct(F.lit(source).alias("s"), a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
-    of_walks = tokens.groupBy("token").agg(F.min(place(0, F.col("walk_id"), F.col("pos").cast("bigint"), F.lit(""), F.lit(0))).alias("at"))
-    triple = F.array(*(F.struct(t.alias("token"), F.lit(i).alias("i")) for i, t in enumerate((node_token(F.col("u")), node_token(F.col("v")), edge_token(F.col("label"))))))
-    of_edges = edges.select("major", "minor", "edge_key", F.explode(triple).alias("t")).groupBy(F.col("t.token").alias("token")).agg(F.min(place(1, F.col("major"), F.col("minor"), F.col("edge_key"), F.col("t.i"))).alias("at"))
-    first = of_walks.unionByName(of_edges).groupBy("token").agg(F.min("at").alias("at"))
+    of_walks = stored(tokens.groupBy("token").agg(F.min(F.shiftleft("walk_id", POS_BITS) + F.col("pos")).alias("place")))
+    first = of_walks.select("token", place(0, F.col("place"), F.lit(0).cast("bigint"), F.lit(""), F.lit(0)).alias("at"))
+    ends = F.array(*(F.struct(F.col(c).cast("bigint").alias("name"), F.lit(i).alias("i")) for i, c in enumerate(("u", "v"))))
+    nodes = edges.select("major", "minor", "edge_key", F.explode(ends).alias("t")).select("major", "minor", "edge_key", "t.*")
+    labels = edges.select("major", "minor", "edge_key", F.col("label").cast("bigint").alias("name"), F.lit(2).alias("i"))
+    for rows, token in ((nodes, node_token), (labels, edge_token)):
+        unseen = rows.select("name").distinct().withColumn("token", token(F.col("name"))).join(of_walks, "token", "left_anti")
+        at = place(1, F.col("major").cast("bigint"), F.col("minor").cast("bigint"), F.col("edge_key"), F.col("i"))
+        first = first.unionByName(rows.join(unseen, "name").groupBy("token").agg(F.min(at).alias("at")))
     ranked = rank_by_range(first, ["at", "token"]).select("token", (F.col("rank") + len(RESERVED)).alias("token_id"))
     reserved = tokens.sparkSession.createDataFrame([(t, i) for i, t in enumerate(RESERVED)], "token string, token_id long")
     return reserved.unionByName(ranked)

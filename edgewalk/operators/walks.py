@@ -8,35 +8,48 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, node_token
-from ..ranking import checkpointed, draw, rank_by_draw, running_sums, shared_folder
+from ..ranking import checkpointed, draw, rank_by_draw, running_sums, shared_folder, stored
 
 #: Most edges whose adjacency is broadcast (about 20 bytes each); larger graphs are joined step by step.
 BROADCAST_EDGES = 1_000_000
-#: Steps between checkpoints.
+#: Steps between parts of paths that are written.
 STEPS_PER_CUT = 8
 #: Numbers of out-edges that one key of a join covers, so that a walker meets so many edges of a hub at most.
 BLOCK = 64
 #: A block of out-edges that over one FAN-th of all walkers may visit is filed in copies, so that each gets less.
 FAN = 1024
+#: Most edges (on average) of a bucket of ``FiledEdges``.
+BUCKET_EDGES = 1 << 22
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """u, and its out-edges as an array of (v, label) in ascending order; copies stay."""
-    return edges.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "label"))).alias("out"))
+    """u, and its out-edges as an array of (v, label, and the least split if there is one) in ascending order; copies stay."""
+    held = edges if not carried(edges) else edges.withColumn("split_id", F.min("split_id").over(Window.partitionBy("u", "v", "label")))
+    return held.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "label", *carried(edges)))).alias("out"))
+
+
+def carried(rows: DataFrame) -> list[str]:
+    """What paths hold besides v and label."""
+    return [c for c in ("split_id",) if c in rows.columns]
+
+
+def no_path(edges: DataFrame) -> Column:
+    fields = ", ".join(f"{c}: {edges.schema[c].dataType.simpleString()}" for c in ("v", "label", *carried(edges)))
+    return F.array().cast(f"array<struct<{fields}>>")
 
 
 def out_edges(edges: DataFrame) -> DataFrame:
     """u, v, label, and the numbers [low, high) that the copies of the edge have among the node's deg out-edges.
 
-    Copies are counted first. Numbers come from ranges of (u, v, label), so a hub is numbered by many tasks.
+    With split_id, its least one. Copies are counted first. Numbers come from ranges of (u, v, label), so a hub is numbered by many tasks.
     """
-    counted = edges.groupBy("u", "v", "label").agg(F.count("*").alias("m"))
+    counted = edges.groupBy("u", "v", "label").agg(F.count("*").alias("m"), *(F.min(c).alias(c) for c in carried(edges)))
     running = running_sums(counted, ["u"], [F.col("v"), F.col("label")], {"m": "high"})
-    return running.select("u", "v", "label", (F.col("high") - F.col("m")).alias("low"), "high", F.col("high_all").alias("deg"))
+    return running.select("u", "v", "label", *carried(edges), (F.col("high") - F.col("m")).alias("low"), "high", F.col("high_all").alias("deg"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -58,8 +71,11 @@ def starts(edges: DataFrame, num_walks: int, seed: int, walks_per_node: int = 1)
 
 
 def random_walks(edges: DataFrame, num_walks: int = 100, max_walk_length: int = 16, seed: int = 42, broadcast_edges: int = BROADCAST_EDGES, walks_per_node: int = 1) -> DataFrame:
-    """(walk_id, start, path): path is an array of (v, label), one for each step."""
-    edges = edges.select("u", "v", "label")
+    """(walk_id, start, path): path is an array of (v, label), one for each step.
+
+    Edges with a split_id give paths of (v, label, split_id), with the least split of the triple.
+    """
+    edges = edges.select("u", "v", "label", *carried(edges))
     begun = starts(edges, num_walks, seed, walks_per_node)
     if edges.limit(broadcast_edges + 1).count() <= broadcast_edges:
         return _broadcast_walks(begun, edges, max_walk_length, seed)
@@ -68,7 +84,7 @@ def random_walks(edges: DataFrame, num_walks: int = 100, max_walk_length: int =
 
 def _broadcast_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
     adj = checkpointed(adjacency(edges))
-    cur = begun.select("walk_id", F.col("node").alias("start"), "node", F.array().cast("array<struct<v:bigint,label:int>>").alias("path"))
+    cur = begun.select("walk_id", F.col("node").alias("start"), "node", no_path(edges).alias("path"))
     for step in range(1, length + 1):
         cur = cur.join(F.broadcast(adj.withColumnRenamed("u", "node")), "node", "left")
         pick = F.get("out", (draw(seed, F.col("walk_id"), step) % F.size("out")).cast("int"))
@@ -100,20 +116,23 @@ def node_table(edges: DataFrame) -> DataFrame:
 class FiledEdges:
     """Out-edges as a table that is bucketed by (u, block, copy), the key of a step, below the shared folder.
 
-    Each row has the numbers [low, high) that its edge's copies hold among the node's out-edges, and the degree and fan
-    of the node it leads to, so that a step is one join and moves walkers only.
+    A row has the block's out-edges as arrays in the order of their numbers, and with each the degree and fan of the node
+    it leads to, so that a step is one join, reads one row for each block, and moves walkers only.
     """
 
     def __init__(self, edges: DataFrame, nodes: DataFrame):
         self.spark = edges.sparkSession
-        self.name, buckets = f"edges_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name, buckets = f"edges_{uuid.uuid4().hex}", max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), edges.count() // BUCKET_EDGES)
         self.path = f"{shared_folder(self.spark)}/{self.name}"
-        key = ["u", "block", "copy"]
+        key, fields = ["u", "block", "copy"], ["v", "label", "deg_v", "fan_v", *carried(edges)]
         ahead = nodes.select(F.col("node").alias("v"), F.col("deg").alias("deg_v"), F.col("fan").alias("fan_v"))
         fans = nodes.select(F.col("node").alias("u"), "fan")
         rows = (
             out_edges(edges).drop("deg").join(ahead, "v", "left").join(fans, "u")
             .withColumn("block", F.explode(F.sequence(_block(F.col("low")), _block(F.col("high") - 1))))
+            .withColumn("k", F.explode(F.sequence(F.greatest("low", F.col("block") * BLOCK), F.least("high", (F.col("block") + 1) * BLOCK) - 1)))
+            .groupBy("u", "block", "fan").agg(F.sort_array(F.collect_list(F.struct("k", *fields))).alias("r"))
+            .select("u", "block", "fan", *(F.col(f"r.{c}").alias(c) for c in fields))
             .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
         )
         rows.repartition(buckets, *key).sortWithinPartitions(*key).write.bucketBy(buckets, *key).sortBy(*key).option("path", self.path).saveAsTable(self.name)
@@ -134,24 +153,26 @@ def step_on(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> DataF
     """
     k = draw(seed, F.col("walk_id"), step) % F.col("deg")
     asked = walkers.withColumn("k", k).withColumn("at_block", F.coalesce(_block(F.col("k")), -1 - F.col("walk_id"))).withColumn("at_copy", F.coalesce((F.col("walk_id") % F.col("fan")).cast("int"), F.lit(0)))
-    on = (asked.node == filed.u) & (asked.at_block == filed.block) & (asked.at_copy == filed["copy"]) & (asked.k >= filed.low) & (asked.k < filed.high)
+    on = (asked.node == filed.u) & (asked.at_block == filed.block) & (asked.at_copy == filed["copy"])
     met = asked.hint("shuffle_hash").join(filed, on, "left")
-    taken = F.when(F.col("v").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct("v", "label"))))
-    return met.select("walk_id", F.coalesce("v", "node").alias("node"), F.col("deg_v").alias("deg"), F.col("fan_v").alias("fan"), taken.alias("path"))
+    at = lambda c: F.get(c, (F.col("k") % BLOCK).cast("int"))
+    edge = F.struct(*(at(c).alias(c) for c in ("v", "label", *carried(filed))))
+    taken = F.when(F.col("v").isNull(), F.col("path")).otherwise(F.concat("path", F.array(edge)))
+    return met.select("walk_id", F.coalesce(at("v"), "node").alias("node"), at("deg_v").alias("deg"), at("fan_v").alias("fan"), taken.alias("path"))
 
 
 def _joined_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
     """Walks step by step over a ``FiledEdges`` table. Each ``STEPS_PER_CUT`` steps are written as one part of the paths."""
-    none = F.array().cast("array<struct<v:bigint,label:int>>")
-    nodes = checkpointed(node_table(edges))
+    none = no_path(edges)
+    nodes = stored(node_table(edges))
     filed = FiledEdges(edges, nodes)
-    begun = checkpointed(begun)
+    begun = stored(begun)
     cur = begun.join(nodes, "node").select("walk_id", "node", "deg", "fan", none.alias("path"))
     parts = []
     for first in range(1, length + 1, STEPS_PER_CUT):
         for step in range(first, min(first + STEPS_PER_CUT, length + 1)):
             cur = step_on(cur, filed.rows(), step, seed)
-        held = checkpointed(cur)
+        held = stored(cur)
         parts.append(held.select("walk_id", F.lit(first).alias("first"), "path"))
         cur = held.where("deg is not null").select("walk_id", "node", "deg", "fan", none.alias("path"))
         if not cur.take(1):
@@ -176,8 +197,10 @@ def walk_edges(walks: DataFrame) -> DataFrame:
 
 def walk_tokens(walks: DataFrame) -> DataFrame:
     """(walk_id, pos, token): nodes at even, edges at odd positions."""
-    later = F.flatten(F.transform("path", lambda e: F.array(edge_token(e["label"]), node_token(e["v"]))))
-    return walks.select("walk_id", F.posexplode(F.concat(F.array(node_token(F.col("start"))), later)).alias("pos", "token"))
+    begun = walks.select("walk_id", F.lit(0).alias("pos"), node_token(F.col("start")).alias("token"))
+    steps = walks.select("walk_id", F.posexplode("path").alias("i", "e"))
+    both = F.array(F.struct((2 * F.col("i") + 1).alias("pos"), edge_token(F.col("e.label")).alias("token")), F.struct((2 * F.col("i") + 2).alias("pos"), node_token(F.col("e.v")).alias("token")))
+    return begun.unionByName(steps.select("walk_id", F.explode(both).alias("t")).select("walk_id", "t.*"))
 
 
 def walk_lengths(tokens: DataFrame) -> DataFrame:

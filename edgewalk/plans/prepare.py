@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Config
 from ..ids import IGNORED, PAD_ID
 from ..operators import encode, splits, vocab, walks
-from ..ranking import checkpointed
+from ..ranking import stored
 from ..sources.edges import get_loader
 
 
@@ -32,7 +32,7 @@ class Prepared:
     @cached_property
     def written(self) -> DataFrame:
         """``encoded``, written once for the views, which read it several times."""
-        return checkpointed(self.encoded)
+        return stored(self.encoded)
 
     def view(self, stage: str, pad: bool = True) -> DataFrame:
         return encode.stage_view(encode.padded(self.written) if pad else self.written, self.classes, stage)
@@ -55,13 +55,20 @@ def prepare(spark: SparkSession, path: str, cfg: Config | None = None) -> Prepar
 
 
 def from_edges(edges: DataFrame, cfg: Config | None = None) -> Prepared:
-    """All tables of an edge list; walks are written once, as vocabulary and encoding both read them."""
+    """All tables of an edge list; what is read several times is written once: edges, their splits, walks.
+
+    Paths carry the least split of each edge's triple, so encoding needs no join of walks with edges.
+    """
     d = (cfg or Config()).dataset
+    edges = stored(edges)
     split = splits.split_edges(edges, d)
-    paths = checkpointed(walks.random_walks(edges, d.num_walks, d.max_walk_length, d.seed, walks_per_node=d.walks_per_node))
+    narrow = split.select(*splits.TRIPLE, "split_id")
+    walked = stored(edges.select(*splits.TRIPLE).join(narrow, splits.TRIPLE, "left") if d.dedup else narrow)
+    paths = stored(walks.random_walks(walked, d.num_walks, d.max_walk_length, d.seed, walks_per_node=d.walks_per_node))
     tokens = walks.walk_tokens(paths)
-    words = vocab.vocabulary(tokens, edges)
-    return Prepared(edges, split, paths, tokens, words, vocab.class_map(words), encode.encode_walks(tokens, words, splits.split_lookup(split)))
+    words = stored(vocab.vocabulary(tokens, edges))
+    classes = vocab.class_map(words)
+    return Prepared(edges, split, paths, tokens, words, classes, encode.encode_paths(paths, words, classes))
 
 
 TABLES = ("edges", "split", "walks", "vocab", "classes", "encoded")

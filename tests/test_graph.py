@@ -232,3 +232,27 @@ def test_targets_are_masked_and_attended(spark, tiny):
     p = from_edges(src.copurchase(spark, tiny), Config().override("dataset.num_walks=50", "dataset.max_walk_length=4"))
     for r in profile.targets_attended(p.views()).collect():
         assert r.walks == r.all_attended == r.all_masked
+
+
+def test_paths_with_splits_are_encoded_like_tokens(spark):
+    """Copies of a triple in several splits, a sink, and both ways of walking; a task never gets all nodes for want of a key."""
+    edges = edge_frame(spark, [(i % 5, (i * 3) % 7, i % 2) for i in range(60)])
+    split = splits.split_edges(edges, Dataset())
+    for limit in (10**6, 0):
+        paths = checkpointed(walks.random_walks(split, 30, 6, 1, limit))
+        tokens = walks.walk_tokens(paths)
+        words = vocab.vocabulary(tokens, edges)
+        classes = vocab.class_map(words)
+        want = encode.encode_walks(tokens, words, splits.split_lookup(split))
+        got = encode.encode_paths(paths, words, classes)
+        cells = lambda rows: sorted(tuple(map(int, r)) for r in rows.select("walk_id", "pos", "token_id", "split_id").collect())
+        assert cells(got) == cells(want)
+
+
+def test_a_step_reads_one_row_for_each_block(spark):
+    edges = edge_frame(spark, [(1, i % 90, 0) for i in range(200)] + [(2, 1, 1)] * 3).select("u", "v", "label")
+    filed = walks.FiledEdges(edges, walks.node_table(edges))
+    rows = {(r.u, r.block): r.v for r in filed.rows().where("copy = 0").collect()}
+    assert {k: len(v) for k, v in rows.items()} == {(1, 0): 64, (1, 1): 64, (1, 2): 64, (1, 3): 8, (2, 0): 3}
+    assert sum((rows[1, i] for i in range(4)), []) == sorted(i % 90 for i in range(200))
+    filed.drop()
