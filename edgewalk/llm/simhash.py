@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, checkpointed, join_spread, over_batches, texts
@@ -368,37 +368,33 @@ SIMILARITY = 0.8
 #: A pair of that similarity differs in 38.8 of 256 bits on the mean (256 acos(2 s / (1 + s)) / pi for sets of one size),
 #: with a standard deviation of 5.7. The radius is four of them above the mean.
 NEAR_RADIUS = 62
-#: A shard above the bound is dealt anew by so many orders at once, at most. A pair of similarity 0.8 agrees in three of
-#: the orders with probability 0.9988.
+#: A pair of similarity 0.8 agrees in three of the orders at least with probability 0.9988, so it mostly meets several times.
 LEVELS = 3
+#: Ratio of the sizes of neighbouring classes of sets; pairs of ``SIMILARITY`` differ by that factor at most.
+SIZE_STEP = 1 / SIMILARITY
+
+
+def size_class(size: Column) -> Column:
+    """The class of a set's size. Sets of ``SIMILARITY`` lie in one class or in neighbouring ones (rounding is allowed for)."""
+    return F.floor(F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(math.log(SIZE_STEP) * (1 + 1e-9))).cast("long")
 
 
 def near_shards(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tab, key, node, fingerprint): shards of nodes with the same least shingle.
+    """(tab, key, node, fingerprint): shards of nodes with the same least shingle by an order; ``tab`` is the order.
 
-    Where many documents share a passage, its shingles fill a shard; its nodes are dealt anew by pairs of orders, then
-    by three. ``tab`` has a bit for each order.
+    Where many documents share a passage, its shingles fill a shard. Such a shard is dealt by classes of the sets' sizes,
+    each node to its own class and the next, so that every pair that could have ``SIMILARITY`` still meets; what is
+    above the bound then is compared chunk by chunk (``spanning``). No pair of a shard is left out.
     """
-    at = lambda tab: F.xxhash64(tab, F.filter("least", lambda x, i: F.getbit(tab, i) == 1))
-    orders = F.sequence(F.lit(0), F.lit(TABLES - 1))
-    bit = lambda i: F.call_function("shiftleft", F.lit(1), i)
-    wider = lambda tab: F.transform(F.filter(orders, lambda i: F.getbit(tab, i) == 0), lambda i: tab.bitwiseOR(bit(i)))
-    # One row for each node: its tables travel as an array, so that a new level moves each node once.
-    state, done = nodes.select("node", "fingerprint", "least", F.transform(orders, bit).alias("tabs")), None
-    for level in range(LEVELS):
-        rows = state.select("node", "fingerprint", "least", F.explode("tabs").alias("tab")).withColumn("key", at(F.col("tab")))
-        kept = rows.select("tab", "key", "node", "fingerprint")
-        if level < LEVELS - 1:
-            large = scratch.write(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key"))
-            n_large = large.count()
-            if n_large:
-                keys = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
-                kept = kept.join(keys, ["tab", "key"], "left_anti")
-                crowded = rows.join(keys, ["tab", "key"], "left_semi").groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("least").alias("least"), F.collect_list("tab").alias("tabs"))
-                state = scratch.write(crowded.withColumn("tabs", F.array_distinct(F.flatten(F.transform("tabs", wider)))))
-        done = kept if done is None else done.unionByName(kept)
-        if level == LEVELS - 1 or not n_large:
-            return done
+    rows = nodes.select("node", "fingerprint", "size", F.posexplode("least").alias("tab", "key"))
+    large = scratch.write(rows.groupBy("tab", "key").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("tab", "key", F.lit(True).alias("crowded")))
+    n_large = large.count()
+    if not n_large:
+        return rows.select("tab", "key", "node", "fingerprint")
+    met = rows.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, ["tab", "key"], "left")
+    own = size_class(F.col("size"))
+    keys = F.when(F.col("crowded"), F.array(F.xxhash64("key", own), F.xxhash64("key", own + 1))).otherwise(F.array("key"))
+    return met.select("tab", F.explode(keys).alias("key"), "node", "fingerprint")
 
 
 def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

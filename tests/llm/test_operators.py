@@ -892,3 +892,20 @@ def test_chats_of_an_empty_table(spark):
     packed = chats.pack(spark.createDataFrame([], CHAT), coder)
     assert [d.count() for d in packed] == [0, 0, 0]
     assert read_digests(packed, coder) == {}
+
+
+def test_crowded_shards_keep_every_pair_that_could_be_alike(spark, monkeypatch):
+    """30 nodes share one least shingle by one order only; before, they were dealt anew by more orders and met no more."""
+    from edgewalk.llm.common import Scratch
+
+    monkeypatch.setattr(simhash, "SHARD", 8)
+    rng = np.random.default_rng(5)
+    sizes = [int(n) for n in rng.integers(1, 400, 30)]
+    rows = [(bytes([i]), bytes(32), n, [7, *map(int, rng.integers(100, 1 << 40, simhash.TABLES - 1))]) for i, n in enumerate(sizes)]
+    nodes = spark.createDataFrame(rows, "node binary, fingerprint binary, size long, least array<long>")
+    shards: dict = {}
+    for r in simhash.near_shards(nodes, Scratch(spark)).collect():
+        shards.setdefault((r.tab, r.key), set()).add(r.node[0])
+    met = {(a, b) for s in shards.values() for a in s for b in s}
+    assert all((a, b) in met for a in range(30) for b in range(30) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
+    assert sum(map(len, shards.values())) == 30 * (simhash.TABLES + 1)
