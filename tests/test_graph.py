@@ -256,3 +256,19 @@ def test_a_step_reads_one_row_for_each_block(spark):
     assert {k: len(v) for k, v in rows.items()} == {(1, 0): 64, (1, 1): 64, (1, 2): 64, (1, 3): 8, (2, 0): 3}
     assert sum((rows[1, i] for i in range(4)), []) == sorted(i % 90 for i in range(200))
     filed.drop()
+
+
+@pytest.mark.parametrize("text, joins", [("N_1 E_0 N_2 E_1 N_3", 0), ("N_1 E_0 N_2", 2)])
+def test_edges_are_not_shuffled_for_tokens_that_few_names_lack(spark, monkeypatch, text, joins):
+    """Edges meet the unseen names by broadcasts, or not at all; ids stay in the order of first meeting."""
+    held, rank = [], vocab.rank_by_range
+    monkeypatch.setattr(vocab, "rank_by_range", lambda df, order: held.append(df) or rank(df, order))
+    edges = edge_frame(spark, [(1, 2, 0), (2, 3, 1), (1, 3, 1)])
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    words = vocab.vocabulary(token_frame(spark, text), edges)
+    plan = held[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == joins
+    want = ["<PAD>", "<MASK>", "<UNK>", *text.split(), *(["N_3", "E_1"] if joins else [])]
+    assert [r.token for r in words.orderBy("token_id").collect()] == want
