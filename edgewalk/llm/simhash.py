@@ -422,13 +422,23 @@ def alike(sets: list[np.ndarray], role: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def alike_in_groups(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
-    """For ``spanning``: links of sets of shingles with ``SIMILARITY``; a repeated node counts once."""
-    node, sets, role = rows["node"].to_pylist(), rows["set"].to_pylist(), rows["role"].to_numpy()
-    first = np.array([i == 0 or group[i] != group[i - 1] or node[i] != node[i - 1] or role[i] != role[i - 1] for i in range(len(node))], bool)
+    """For ``spanning``: links of texts whose sets of shingles have ``SIMILARITY``; a repeated node counts once.
+
+    A text that has another set than its node (another one under the same id) is left out.
+    """
+    node, role = rows["node"].to_pylist(), rows["role"].to_numpy()
+    sets = {}
+    for i, text in enumerate(rows["text"]):
+        if node[i] not in sets:
+            made = np.unique(shingle_hashes(text.as_py().encode().lower().split(), 5))
+            if xxhash.xxh3_128_digest(made.tobytes()) == node[i]:
+                sets[node[i]] = made
+    known = np.flatnonzero([x in sets for x in node])
+    first = known[[i == 0 or group[x] != group[y] or node[x] != node[y] or role[x] != role[y] for i, (x, y) in enumerate(zip(known, np.roll(known, 1), strict=True))]]
     a, b = [], []
-    for one in np.split(np.flatnonzero(first), np.flatnonzero(np.diff(group[first])) + 1):
+    for one in np.split(first, np.flatnonzero(np.diff(group[first])) + 1):
         if len(one) > 1:
-            x, y = alike([np.frombuffer(sets[i], np.uint64) for i in one], role[one])
+            x, y = alike([sets[node[i]] for i in one], role[one])
             a += one[x].tolist()
             b += one[y].tolist()
     return pa.RecordBatch.from_arrays([pa.array([node[i] for i in a], pa.binary()), pa.array([node[i] for i in b], pa.binary())], ["a", "b"])
@@ -438,19 +448,13 @@ def exact_links(docs: DataFrame, members: DataFrame, scratch: Scratch) -> DataFr
     """Edges (a, b) that keep every component of the pairs with ``SIMILARITY`` within groups of ``members``.
 
     ``members`` are component, node, doc_id (of a row with that set of shingles) and size. Texts are read again; of a
-    doc_id with several texts only those of the node count.
+    doc_id with several texts only those of the node count. Texts travel to their groups, where their sets are made:
+    hashes take more bytes than the words they stand for, and don't compress.
     """
-
-    def shingle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(shingle_hashes(t.encode().lower().split(), 5)).tobytes() for t in batch["text"].to_pylist()]
-        own = np.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch["node"].to_pylist(), strict=True)], bool)
-        return pa.RecordBatch.from_arrays([batch["component"], batch["node"], pa.array(sets, pa.binary())], ["component", "node", "set"]).filter(pa.array(own))
-
     found = texts(docs).join(members.select("doc_id", "component", "node"), "doc_id").select("component", "node", "text")
-    sets = over_batches(found, shingle, "component binary, node binary, set binary")
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks")
     large = scratch.write(members.groupBy("component").agg(chunks).where("chunks > 1"))
-    return spanning(sets, ["component"], large, alike_in_groups, scratch)
+    return spanning(found, ["component"], large, alike_in_groups, scratch)
 
 
 def near_copy_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -909,3 +909,17 @@ def test_crowded_shards_keep_every_pair_that_could_be_alike(spark, monkeypatch):
     met = {(a, b) for s in shards.values() for a in s for b in s}
     assert all((a, b) in met for a in range(30) for b in range(30) if min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]))
     assert sum(map(len, shards.values())) == 30 * (simhash.TABLES + 1)
+
+
+def test_exact_comparison_takes_texts():
+    """Links of texts equal those of their sets; a text of another set than its node's doesn't count, a repeated node once."""
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join([*base[:58], "a", "b"]), " ".join([*base[:30], *(f"z{i}" for i in range(30))]), " ".join(base[::-1]), " ".join([*base[::-1][:59], "q"])]
+    sets = [np.unique(simhash.shingle_hashes(t.encode().split(), 5)) for t in texts]
+    node = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+    group = np.array([0, 0, 0, 0, 0, 0, 1, 1, 1])
+    picked = [(0, 3), (0, 0), (0, 0), (1, 1), (2, 2), (3, 3), (0, 0), (3, 3), (4, 4)]
+    rows = pa.table({"node": pa.array([node[n] for n, _ in picked], pa.binary()), "text": [texts[t] for _, t in picked], "role": pa.array([0] * 9, pa.int32())})
+    got = simhash.alike_in_groups(rows, group).to_pydict()
+    assert {frozenset(p) for p in zip(got["a"], got["b"], strict=True)} == {frozenset((node[0], node[1])), frozenset((node[3], node[4]))}
+    assert simhash.alike_in_groups(rows.slice(0, 1), group[:1]).num_rows == 0
