@@ -249,6 +249,43 @@ def test_paths_with_splits_are_encoded_like_tokens(spark):
         assert cells(got) == cells(want)
 
 
+def test_steps_along_plain_rows_equal_those_on_blocks(spark, monkeypatch):
+    """Copies, a hub that most edges lead to, and sinks; walks read the plain rows, and no edge is shuffled for a step."""
+    rows = [(i, 0, 1) for i in range(1, 400)] + [(0, i, 0) for i in range(1, 150)] + [(0, 3, 0)] * 3 + [(i, 1000 + i % 3, i % 2) for i in range(1, 60)]
+    edges = edge_frame(spark, rows).select("u", "v", "label")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found, made = [], []
+    for kind, step_of, block in ((walks.FiledEdges, walks.step_on, walks.BLOCK), (walks.EdgeRows, walks.step_along, 1)):
+        nodes = walks.node_table(edges, block)
+        filed = kind(edges, nodes)
+        begun = spark.range(500).select(F.col("id").alias("walk_id"), (F.col("id") % 400).alias("node"))
+        cur = checkpointed(begun.join(nodes, "node").select("walk_id", "node", "deg", "fan", walks.no_path(edges).alias("path")))
+        for step in (1, 2, 3, 4):
+            cur = step_of(cur, filed.rows(), step, 1)
+        found.append(sorted((r.walk_id, r.node, r.deg, tuple(map(tuple, r.path))) for r in cur.collect()))
+        copies = filed.rows().where("u = 0").agg(F.max("copy")).first()[0]
+        if kind is walks.EdgeRows:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            plan = walks.step_along(checkpointed(cur), filed.rows(), 5, 1)._jdf.queryExecution().executedPlan().toString()
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+            assert plan.count("Exchange") == 1 and "array" not in dict(filed.rows().dtypes)["v"] and copies > 0
+        filed.drop()
+    assert found[0] == found[1]
+    monkeypatch.setattr(walks, "FiledEdges", None)
+    kind = walks.EdgeRows
+    monkeypatch.setattr(walks, "EdgeRows", lambda *a: made.append(1) or kind(*a))
+    walks.random_walks(edges, 30, 3, 1, 0).count()
+    assert made
+
+
+def test_nodes_are_counted_by_one_aggregation(spark):
+    edges = edge_frame(spark, [(1, 2, 0), (1, 2, 0), (2, 3, 1), (3, 3, 1)]).select("u", "v", "label")
+    nodes = walks.node_table(edges)
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "HashJoin" not in plan
+    assert {r.node: r.deg for r in nodes.collect()} == {1: 2, 2: 1, 3: 1}
+
+
 def test_a_step_reads_one_row_for_each_block(spark):
     edges = edge_frame(spark, [(1, i % 90, 0) for i in range(200)] + [(2, 1, 1)] * 3).select("u", "v", "label")
     filed = walks.FiledEdges(edges, walks.node_table(edges))
