@@ -6,7 +6,7 @@ a triple are not removed unless asked, so they may fall in several splits; looku
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Dataset
@@ -24,15 +24,23 @@ def dedup_ordered(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*TRIPLE).agg(F.min(order).alias("first")).select("first.edge_key", "first.major", "first.minor", *TRIPLE)
 
 
-def split_edges(edges: DataFrame, cfg: Dataset | None = None) -> DataFrame:
+def edge_draw(cfg: Dataset) -> Column:
+    """The draw of an edge that splits go by."""
+    return draw(cfg.seed, F.col("edge_key"))
+
+
+def split_edges(edges: DataFrame, cfg: Dataset | None = None, drawn: str | None = None) -> DataFrame:
     """``edges`` with split_id: prefixes of int(ratio * n) rows in drawn order, the rest to test.
 
-    All other columns stay, whatever their names; a split_id that is there already is replaced.
+    All other columns stay, whatever their names; a split_id that is there already is replaced. Draws are needed three
+    times, so where edges are written they may be written too: ``drawn`` names the column that has them (``edge_draw``),
+    which is left out.
     """
     cfg = cfg or Dataset()
     if cfg.dedup:
-        edges = dedup_ordered(edges)
-    held = edges.select(F.struct(*(F.col(c) for c in edges.columns if c != "split_id")).alias("row"), draw(cfg.seed, F.col("edge_key")).alias("drawn"), "edge_key", *TRIPLE)
+        edges, drawn = dedup_ordered(edges), None
+    kept = [F.col(c) for c in edges.columns if c not in ("split_id", drawn)]
+    held = edges.select(F.struct(*kept).alias("row"), (F.col(drawn) if drawn else edge_draw(cfg)).alias("drawn"), "edge_key", *TRIPLE)
     held = held.withColumn("bucket", F.shiftright("drawn", DRAW_BITS - BUCKET_BITS))
     size = lambda ratio: F.floor(F.lit(float(ratio)) * F.col("n_all").cast("double"))
     train = size(cfg.train_ratio)

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, node_token
-from ..ranking import checkpointed, draw, rank_by_draw, running_sums, shared_folder, stored
+from ..ranking import TASK_ROWS, checkpointed, draw, rank_by_draw, running_sums, shared_folder, stored, tasks_for
 
 #: Most edges whose adjacency is broadcast (about 20 bytes each); larger graphs are joined step by step.
 BROADCAST_EDGES = 1_000_000
@@ -22,6 +25,12 @@ STEPS_PER_CUT = 8
 BLOCK = 64
 #: A block of out-edges that over one FAN-th of all walkers may visit is filed in copies, so that each gets less.
 FAN = 1024
+#: Nodes that over one WIDE-th of all edges lead to or from are filed edge by edge, apart from the others.
+WIDE = 1 << 14
+#: Nodes in a batch of rows by node.
+NODES_AT_ONCE = 1 << 14
+#: Classes of nodes that edges are counted by to find those.
+CLASSES = 1 << 18
 #: Most edges (on average) of a bucket of ``FiledEdges``.
 BUCKET_EDGES = 1 << 22
 
@@ -154,16 +163,45 @@ class FiledEdges:
 
 
 class EdgeRows(FiledEdges):
-    """Out-edges as plain rows, bucketed by (u, k, copy) with k the edge's number; fans are those of blocks of one.
+    """Out-edges as plain rows, a row for each number k and copy, bucketed by (u, k, copy); fans are those of blocks of one.
 
-    A step reads every edge, so what counts is the cost of reading one: plain columns take half the time of arrays, and
-    the table is made without gathering blocks.
+    Rows are shuffled three times: to be numbered, to meet the node they lead to, and to their bucket. Tasks are counted
+    by rows, and none sorts or gathers more than it numbers.
     """
 
     key = ("u", "k", "copy")
 
-    def made(self, edges: DataFrame, fields: list[str]) -> DataFrame:
-        return edges.withColumn("k", F.explode(F.sequence(F.col("low"), F.col("high") - 1))).select("u", "k", "fan", *fields)
+    def __init__(self, edges: DataFrame, nodes: DataFrame):
+        self.spark = edges.sparkSession
+        rows = edges.count()
+        self.name, buckets = f"edges_{uuid.uuid4().hex}", tasks_for(self.spark, rows)
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        ahead = nodes.select(F.col("node").alias("v"), F.col("deg").alias("deg_v"), F.col("fan").alias("fan_v"))
+        fans = F.broadcast(nodes.where("fan > 1").select(F.col("node").alias("u"), "fan"))  # at most FAN nodes
+        made = numbered_edges(edges, nodes, buckets).join(ahead.hint("shuffle_hash"), "v", "left").join(fans, "u", "left")
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("fan", F.lit(1)) - 1))
+        filed = made.select("u", "k", copies.alias("copy"), "v", "label", "deg_v", "fan_v", *carried(edges))
+        filed.repartition(buckets, *self.key).write.bucketBy(buckets, *self.key).option("path", self.path).saveAsTable(self.name)
+
+
+def numbered_edges(edges: DataFrame, nodes: DataFrame, tasks: int, hub: int = TASK_ROWS) -> DataFrame:
+    """u, v, label, and the edge's number k among those of u; with split_id, the least one of its triple.
+
+    Out-edges of a node are numbered in one task, which takes one shuffle and one sort; those of nodes with over ``hub``
+    (few, so their names are broadcast) are numbered by ranges.
+    """
+    in_order = [F.col(c) for c in ("v", "label", *carried(edges))]
+    hubs = stored(nodes.where(F.col("deg") > hub).select(F.col("node").alias("u")))
+    wide = hubs.count() > 0
+    plain = edges.join(F.broadcast(hubs), "u", "left_anti") if wide else edges
+    plain = plain.where("u is not null").repartition(tasks, "u")
+    least = [F.first(c).over(Window.partitionBy("u", "v", "label").orderBy(*in_order)).alias(c) for c in carried(edges)]
+    numbers = F.row_number().over(Window.partitionBy("u").orderBy(*in_order)) - 1
+    out = plain.select("u", "v", "label", numbers.cast("bigint").alias("k"), *least)
+    if not wide:
+        return out
+    ranged = out_edges(edges.join(F.broadcast(hubs), "u", "left_semi"))
+    return out.unionByName(ranged.select("u", "v", "label", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("k"), *carried(edges)))
 
 
 def step_along(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> DataFrame:
@@ -176,6 +214,86 @@ def step_along(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> Da
     return met.select("walk_id", F.coalesce("v", "node").alias("node"), F.col("deg_v").alias("deg"), F.col("fan_v").alias("fan"), taken.alias("path"))
 
 
+class NodeRows(FiledEdges):
+    """A row for each node with its out-edges as arrays in order, bucketed by u: edges are shuffled once to be filed.
+
+    A walker needs nothing but its node, as its row tells how many out-edges there are. A task sorts its edges by columns
+    (Arrow), some ``TASK_ROWS`` of them; wide nodes (``wide_nodes``), which could make it more, are not held.
+    """
+
+    key = ("u",)
+
+    def __init__(self, edges: DataFrame):
+        self.spark = edges.sparkSession
+        self.name, buckets = f"edges_{uuid.uuid4().hex}", tasks_for(self.spark, edges.count())
+        self.path = f"{shared_folder(self.spark)}/{self.name}"
+        fields = ["v", "label", *carried(edges)]
+        near = edges.where("u is not null").repartition(buckets, "u").select("u", *fields)
+        kinds = {c: edges.schema[c].dataType.simpleString() for c in fields}
+        rows = near.mapInArrow(_by_node, ", ".join(["u bigint", *(f"{c} array<{k}>" for c, k in kinds.items())]))
+        rows.write.bucketBy(buckets, *self.key).option("path", self.path).saveAsTable(self.name)
+
+
+def _by_node(batches):
+    """A task's edges -> a row for each u, whose other columns are lists in ascending order; copies of a triple get its least split."""
+    table = pa.Table.from_batches(held) if (held := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    names = table.column_names
+    table = table.take(pc.sort_indices(table, sort_keys=[(c, "ascending") for c in names], null_placement="at_start")).combine_chunks()
+    columns = [pa.concat_arrays(table.column(c).chunks) for c in names]
+    begins = _changes(columns[0])
+    first = np.flatnonzero(begins)
+    if len(columns) > 3:
+        fresh = begins | _changes(columns[1]) | _changes(columns[2])
+        columns[3] = columns[3].take(pa.array(np.flatnonzero(fresh)[np.cumsum(fresh) - 1]))
+    for at in range(0, len(first), NODES_AT_ONCE):
+        starts = np.append(first[at : at + NODES_AT_ONCE], first[at + NODES_AT_ONCE] if at + NODES_AT_ONCE < len(first) else table.num_rows)
+        low, n = int(starts[0]), int(starts[-1] - starts[0])
+        lists = [pa.ListArray.from_arrays(pa.array((starts - low).astype("int32")), c.slice(low, n)) for c in columns[1:]]
+        yield pa.RecordBatch.from_arrays([columns[0].take(pa.array(starts[:-1])), *lists], names=names)
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value differs from the one before; a null equals nulls only."""
+    value, null = (x.to_numpy(zero_copy_only=False) for x in (column.fill_null(0), column.is_null()))
+    return np.r_[True, (value[1:] != value[:-1]) | (null[1:] != null[:-1])]
+
+
+def wide_nodes(edges: DataFrame, rows: int) -> DataFrame:
+    """``node_table`` of the nodes that over one ``WIDE``-th of all edges (and over ``BLOCK``) lead to or from, with deg 0 for sinks.
+
+    Ends are counted by classes of a hash first, and by node only in classes that reach as many, so few nodes are held at once.
+    """
+    least = max(BLOCK, rows // WIDE)
+    ends = edges.select(F.posexplode(F.array("u", "v")).alias("side", "node")).where("node is not null").withColumn("class", F.pmod(F.xxhash64("node"), F.lit(CLASSES)))
+    full = ends.groupBy("side", "class").agg(F.count("*").alias("n")).where(F.col("n") > least).select("class").distinct()
+    found = ends.join(F.broadcast(stored(full)), "class", "left_semi").groupBy("node").agg(F.count_if(F.col("side") == 0).alias("deg"), F.count_if(F.col("side") == 1).alias("led"))
+    share = F.col("led") * F.lit(float(FAN)) / F.lit(rows) / F.greatest("deg", F.lit(1))
+    return found.where((F.col("deg") > least) | (F.col("led") > least)).select("node", "deg", F.greatest(F.ceil(share), F.lit(1)).cast("int").alias("fan"))
+
+
+def step_by_node(walkers: DataFrame, filed: DataFrame, step: int, seed: int, wide: DataFrame | None = None, wide_edges: DataFrame | None = None) -> DataFrame:
+    """``walkers`` (walk_id, node, path) after a step along a ``NodeRows`` table; the node is null once a walk has ended.
+
+    Walkers at wide nodes step along an ``EdgeRows`` table of those. They and ended ones are dealt by their own id here,
+    so that many at one place are not sent to one task.
+    """
+    asked = walkers.withColumn("deg", F.lit(None).cast("bigint")) if wide is None else walkers.join(F.broadcast(wide), "node", "left")
+    asked = asked.withColumn("plain", F.col("node").isNotNull() & F.col("deg").isNull())
+    asked = asked.withColumn("at", F.when(F.col("plain"), F.col("node")).otherwise(F.col("walk_id")))
+    met = asked.hint("shuffle_hash").join(filed, (asked["at"] == filed["u"]) & asked["plain"], "left")
+    k = (draw(seed, F.col("walk_id"), step) % F.size("v")).cast("int")
+    edge = lambda c: F.when(F.col("u").isNotNull(), F.get(c, k))
+    went = met.select("walk_id", "node", "path", *(c for c in ("deg", "fan") if wide is not None), F.struct(*(edge(c).alias(c) for c in ("v", "label", *carried(filed)))).alias("e"))
+    taken = F.when(F.col("e.v").isNull(), F.col("path")).otherwise(F.concat("path", F.array("e")))
+    if wide is None:
+        return went.select("walk_id", F.col("e.v").alias("node"), taken.alias("path"))
+    deg = F.when(F.col("deg") > 0, F.col("deg"))
+    moved = went.select("walk_id", F.when(deg.isNotNull(), F.col("node")).otherwise(F.col("e.v")).alias("node"), deg.alias("deg"), "fan", taken.alias("path"))
+    return step_along(moved, wide_edges, step, seed).select("walk_id", "node", "path")
+
+
 def step_on(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> DataFrame:
     """``walkers`` (walk_id, node, deg, fan, path) after a step along the out-edges of a ``FiledEdges`` table.
 
@@ -192,22 +310,31 @@ def step_on(walkers: DataFrame, filed: DataFrame, step: int, seed: int) -> DataF
 
 
 def _joined_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    """Walks step by step over an ``EdgeRows`` table. Each ``STEPS_PER_CUT`` steps are written as one part of the paths."""
+    """Walks step by step over a ``NodeRows`` table, and an ``EdgeRows`` table of wide nodes if there are any.
+
+    Each ``STEPS_PER_CUT`` steps are written as one part of the paths.
+    """
     none = no_path(edges)
-    nodes = stored(node_table(edges, 1))
-    filed = EdgeRows(edges, nodes)
+    wide = stored(wide_nodes(edges, edges.count()))
+    some = wide.count() > 0
+    held_apart = F.broadcast(wide.select(F.col("node").alias("u")))
+    tables = [NodeRows(edges.join(held_apart, "u", "left_anti") if some else edges)]
+    if some:
+        tables.append(EdgeRows(stored(edges.join(held_apart, "u", "left_semi")), wide.where("deg > 0")))
+    apart = (wide, tables[1].rows()) if some else ()
     begun = stored(begun)
-    cur = begun.join(nodes, "node").select("walk_id", "node", "deg", "fan", none.alias("path"))
+    cur = begun.select("walk_id", "node", none.alias("path"))
     parts = []
     for first in range(1, length + 1, STEPS_PER_CUT):
         for step in range(first, min(first + STEPS_PER_CUT, length + 1)):
-            cur = step_along(cur, filed.rows(), step, seed)
+            cur = step_by_node(cur, tables[0].rows(), step, seed, *apart)
         held = stored(cur)
         parts.append(held.select("walk_id", F.lit(first).alias("first"), "path"))
-        cur = held.where("deg is not null").select("walk_id", "node", "deg", "fan", none.alias("path"))
+        cur = held.where("node is not null").select("walk_id", "node", none.alias("path"))
         if not cur.take(1):
             break
-    filed.drop()
+    for table in tables:
+        table.drop()
     begun = begun.select("walk_id", F.col("node").alias("start"))
     if not parts:
         return begun.withColumn("path", none)

@@ -17,6 +17,10 @@ from ..ranking import stored
 from ..sources.edges import get_loader
 
 
+#: The column of written edges that has their draws.
+DRAWN = "_drawn"
+
+
 @dataclass
 class Prepared:
     """Lazy tables of one configuration."""
@@ -55,14 +59,15 @@ def prepare(spark: SparkSession, path: str, cfg: Config | None = None) -> Prepar
 
 
 def from_edges(edges: DataFrame, cfg: Config | None = None) -> Prepared:
-    """All tables of an edge list; what is read several times is written once: edges, their splits, walks.
+    """All tables of an edge list; what is read several times is written once: edges with their draws, splits, walks.
 
     Paths carry the least split of each edge's triple, so encoding needs no join of walks with edges.
     """
     d = (cfg or Config()).dataset
-    edges = stored(edges)
-    split = splits.split_edges(edges, d)
-    narrow = split.select(*splits.TRIPLE, "split_id")
+    drawn = stored(edges.withColumn(DRAWN, splits.edge_draw(d)))
+    edges = drawn.drop(DRAWN)
+    split = splits.split_edges(drawn, d, DRAWN)
+    narrow = splits.split_edges(drawn.select("edge_key", "major", "minor", *splits.TRIPLE, DRAWN), d, DRAWN).select(*splits.TRIPLE, "split_id")
     walked = stored(edges.select(*splits.TRIPLE).join(narrow, splits.TRIPLE, "left") if d.dedup else narrow)
     paths = stored(walks.random_walks(walked, d.num_walks, d.max_walk_length, d.seed, walks_per_node=d.walks_per_node))
     tokens = walks.walk_tokens(paths)

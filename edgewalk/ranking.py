@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a draw.
 DRAW_BITS = 60
+#: Rows of a task where tasks are counted by rows, so that a task's memory doesn't grow with the input.
+TASK_ROWS = 1 << 21
 
 
 def draw(*parts) -> Column:
@@ -57,6 +59,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """The session's shuffle partitions, or more where each would get over ``TASK_ROWS`` rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def rank_by_range(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """``df`` with the 0-based row number by any order: a range shuffle, numbers within ranges, and the ranges' sizes.
 

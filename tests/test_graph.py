@@ -309,3 +309,28 @@ def test_edges_are_not_shuffled_for_tokens_that_few_names_lack(spark, monkeypatc
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == joins
     want = ["<PAD>", "<MASK>", "<UNK>", *text.split(), *(["N_3", "E_1"] if joins else [])]
     assert [r.token for r in words.orderBy("token_id").collect()] == want
+
+
+@pytest.mark.parametrize("least", [walks.BLOCK, 2])
+def test_edges_are_shuffled_once_to_be_filed_by_node(spark, monkeypatch, least):
+    """Copies in several splits, null ends, a hub, a sink that most edges lead to; with few or with most nodes held apart."""
+    rows = [(i, 0, 1) for i in range(1, 300)] + [(0, i, 0) for i in range(1, 90)] + [(0, 3, 0)] * 3 + [(i, 1000, i % 2) for i in range(1, 200)] * 2 + [(7, None, 1), (None, 7, 1), (-5, -6, 0), (-6, -5, 1)]
+    edges = edge_frame(spark, rows).select("u", "v", "label", (F.abs(F.hash("edge_key")) % 4).alias("split_id"))
+    monkeypatch.setattr(walks, "BLOCK", least)
+    wide = {r.node: (r.deg, r.fan) for r in walks.wide_nodes(edges, len(rows)).collect()}
+    assert {0, 1000} <= set(wide) and wide[1000][0] == 0 and wide[0][0] == 92 and (least > 2) == (len(wide) == 2)
+    filed = walks.NodeRows(edges.where("u <> 0"))
+    held = {r.u: list(zip(r.v, r.label, r.split_id)) for r in filed.rows().collect()}
+    want = {r.u: [tuple(x) for x in r.out] for r in walks.adjacency(edges.where("u <> 0")).collect()}
+    filed.drop()
+    assert held == want
+    a, b = (sorted((r.walk_id, r.start, tuple(map(tuple, r.path))) for r in walks.random_walks(edges.where("u is not null and v is not null"), 0, 9, 3, n, 2).collect()) for n in (10**6, 0))
+    assert a == b and len(a) == 2 * len(want) + 2
+
+
+def test_splits_by_written_draws(spark):
+    """Draws that are read from a column give the same splits, and the column isn't in the result."""
+    edges = edge_frame(spark, [(i % 9, i % 7, i % 2) for i in range(200)])
+    cells = lambda rows: sorted(map(tuple, rows.select(*edges.columns, "split_id").collect()))
+    got = splits.split_edges(edges.withColumn("_drawn", splits.edge_draw(Dataset())), Dataset(), "_drawn")
+    assert "_drawn" not in got.columns and cells(got) == cells(splits.split_edges(edges, Dataset()))
