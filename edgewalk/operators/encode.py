@@ -46,11 +46,15 @@ def encode_paths(walks: DataFrame, vocab: DataFrame, classes: DataFrame) -> Data
 
 
 def padded(encoded: DataFrame, length: int | None = None) -> DataFrame:
-    """``encoded`` with rows of the pad id up to the longest walk's length, or to ``length``."""
+    """``encoded`` with rows of the pad id up to the longest walk's length, or to ``length``.
+
+    The walks' ends are few bytes, which the engine would merge into few tasks; they are dealt anew before they become many rows.
+    """
     ends = encoded.groupBy("walk_id").agg(F.max("pos").alias("last"))
     most = F.lit(length - 1) if length else F.col("most")
     full = ends if length else ends.crossJoin(F.broadcast(encoded.agg(F.max("pos").alias("most"))))
-    pads = full.where(F.col("last") < most).select("walk_id", F.explode(F.sequence(F.col("last") + 1, most)).alias("pos"))
+    dealt = full.where(F.col("last") < most).repartition(tasks_for(encoded.sparkSession, 0), "walk_id")
+    pads = dealt.select("walk_id", F.explode(F.sequence(F.col("last") + 1, most)).alias("pos"))
     return encoded.unionByName(pads.select("walk_id", "pos", F.lit(PAD_ID).cast("bigint").alias("token_id"), F.lit(BAD).alias("split_id")))
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..ranking import checkpointed
+from ..ranking import checkpointed, tasks_for
 
 RATING_SCHEMA = "source long, target long, rating int, timestamp double"
 
@@ -92,8 +92,9 @@ def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge from each part of an order to the next one."""
+    """An edge from each part of an order to the next one; tasks that sort lines are counted by rows."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    lines = lines.repartition(tasks_for(spark, lines.count()), "l_orderkey")
     in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     paired = lines.withColumn("next", F.lead("l_partkey").over(in_order)).where("next is not null")
     return paired.select(_line_key().alias("edge_key"), F.col("l_orderkey").alias("major"), F.col("l_linenumber").cast("bigint").alias("minor"), F.col("l_partkey").alias("u"), F.col("next").alias("v"), flag_label(F.col("l_returnflag")).alias("label"))

@@ -334,3 +334,17 @@ def test_splits_by_written_draws(spark):
     cells = lambda rows: sorted(map(tuple, rows.select(*edges.columns, "split_id").collect()))
     got = splits.split_edges(edges.withColumn("_drawn", splits.edge_draw(Dataset())), Dataset(), "_drawn")
     assert "_drawn" not in got.columns and cells(got) == cells(splits.split_edges(edges, Dataset()))
+
+
+def test_tasks_are_counted_by_rows(spark, tiny, monkeypatch):
+    """More rows make more tasks, not larger ones, for lines and steps; pads are dealt to all tasks."""
+    from edgewalk import ranking
+
+    monkeypatch.setattr(ranking, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet").count()
+    assert src.copurchase(spark, tiny).rdd.getNumPartitions() == -(-lines // 500)
+    steps = spark.range(100).selectExpr("id as walk_id", "0 as pos", "'N_1' as token").crossJoin(spark.range(30).select("id")).drop("id")
+    assert encode.with_context(steps).rdd.getNumPartitions() == 6
+    walks_of = spark.range(50).selectExpr("id as walk_id", "0 as pos", "3L as token_id", "-1 as split_id")
+    pads = encode.padded(walks_of, 5).where("pos > 0")
+    assert pads.count() == 200 and pads.select(F.spark_partition_id()).distinct().count() == 4
