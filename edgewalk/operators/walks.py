@@ -7,6 +7,8 @@ Draws depend on (seed, walk, step) only, so results don't depend on partitions,
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import edge_token, node_token
-from ..ranking import TASK_ROWS, checkpointed, draw, rank_by_draw, running_sums, shared_folder, stored, tasks_for
+from ..ranking import TASK_ROWS, checkpointed, draw, draws_of, rank_by_draw, running_sums, shared_folder, stored, tasks_for
 
-#: Most edges whose adjacency is broadcast (about 20 bytes each); larger graphs are joined step by step.
-BROADCAST_EDGES = 1_000_000
+#: Most edges whose adjacency is broadcast, and most bytes of it (mostly 6 an edge); larger graphs are joined step by step.
+BROADCAST_EDGES, BROADCAST_BYTES = 1 << 25, 1 << 28
+#: Most steps that a task takes (for some of its walks) before it gives their paths back.
+STEPS_AT_ONCE = 1 << 20
 #: Steps between parts of paths that are written.
 STEPS_PER_CUT = 8
 #: Numbers of out-edges that one key of a join covers, so that a walker meets so many edges of a hub at most.
@@ -86,23 +90,122 @@ def random_walks(edges: DataFrame, num_walks: int = 100, max_walk_length: int =
     """
     edges = edges.select("u", "v", "label", *carried(edges))
     begun = starts(edges, num_walks, seed, walks_per_node)
-    if edges.limit(broadcast_edges + 1).count() <= broadcast_edges:
-        return _broadcast_walks(begun, edges, max_walk_length, seed)
+    if edges.limit(broadcast_edges + 1).count() <= broadcast_edges and (kinds := Codes.of(edges)) is not None:
+        return _broadcast_walks(begun, edges, kinds, max_walk_length, seed)
     return _joined_walks(begun, edges, max_walk_length, seed)
 
 
-def _broadcast_walks(begun: DataFrame, edges: DataFrame, length: int, seed: int) -> DataFrame:
-    adj = checkpointed(adjacency(edges))
-    cur = begun.select("walk_id", F.col("node").alias("start"), "node", no_path(edges).alias("path"))
+@dataclass
+class Codes:
+    """How the columns of edges are held: numbers from 1 on, in the narrowest type, above the least value; 0 is null."""
+
+    kinds: dict[str, str]
+    least: dict[str, int]
+    width: dict[str, str]
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Codes | None:
+        """The codes of some edges; None if all would take over ``BROADCAST_BYTES``."""
+        names = edges.columns
+        found = edges.agg(F.count("*").alias("n"), F.approx_count_distinct("u").alias("nodes"), *(f(c).cast("bigint").alias(f"{c}_{f.__name__}") for c in names for f in (F.min, F.max))).first()
+        least = {c: found[f"{c}_min"] or 0 for c in names}
+        span = {c: (found[f"{c}_max"] or 0) - least[c] + 1 for c in names}
+        if max(span.values()) >= 1 << 63:
+            return None
+        width = {c: np.min_scalar_type(x).str for c, x in span.items()}
+        size = found["n"] * sum(np.dtype(width[c]).itemsize for c in names[1:]) + found["nodes"] * 16
+        return cls({c: edges.schema[c].dataType.simpleString() for c in names}, least, width) if size <= BROADCAST_BYTES else None
+
+    def coded(self, name: str, column: pa.Array) -> np.ndarray:
+        value, null = column.cast(pa.int64()).fill_null(self.least[name]).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+        return np.where(null, 0, value - self.least[name] + 1).astype(self.width[name])
+
+    def values(self, name: str, codes: np.ndarray) -> pa.Array:
+        kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[self.kinds[name]]
+        return pa.array(codes.astype("int64") - 1 + self.least[name], mask=codes == 0).cast(kind)
+
+
+def _coded_edges(codes: Codes, names: list[str]):
+    """A range of edges -> one row of each column's codes in order, behind its nodes and their numbers of out-edges.
+
+    Copies of a triple get its least split that isn't null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        columns = {c: np.concatenate([codes.coded(c, b[c]) for b in held]) for c in names}
+        # A null split comes last, the other nulls first.
+        keys = [x - np.array(1, x.dtype) if c == "split_id" else x for c, x in columns.items()]
+        order = np.lexsort(keys[::-1])
+        columns = {c: x[order] for c, x in columns.items()}
+        fresh = lambda *some: np.flatnonzero(np.r_[True, np.any([columns[c][1:] != columns[c][:-1] for c in some], axis=0)])
+        if len(names) > 3:
+            first = fresh(*names[:3])
+            columns[names[3]] = np.repeat(columns[names[3]][first], np.diff(np.append(first, len(order))))
+        first = fresh("u")
+        nodes = columns.pop("u")[first].astype("int64") - 1 + codes.least["u"]
+        parts = [nodes, np.diff(np.append(first, len(order))), *columns.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=["u", "deg", *names[1:]])
+
+    return run
+
+
+def coded_adjacency(edges: DataFrame, codes: Codes) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Nodes with out-edges in order, where the edges of each begin (and the last ones end), and the codes of all edges.
+
+    Edges are sorted in ranges of (u, v, label), so a hub is sorted by many tasks; the driver only puts the ranges' codes together.
+    """
+    names, spark = edges.columns, edges.sparkSession
+    ranged = edges.where("u is not null").repartitionByRange(tasks_for(spark, edges.count()), "u", "v", "label")
+    found = ranged.mapInArrow(_coded_edges(codes, names), ", ".join(f"{c} binary" for c in ("u", "deg", *names[1:]))).toArrow()
+    whole = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found[c] if x.is_valid)])
+    nodes, deg = whole("u", "int64"), whole("deg", "int64")
+    # A node on the border of two ranges is there twice.
+    first = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]]) if len(nodes) else np.zeros(0, int)
+    begin = np.r_[0, np.cumsum(deg)]
+    return nodes[first], begin[np.append(first, len(nodes))], {c: whole(c, codes.width[c]) for c in names[1:]}
+
+
+def _broadcast_walks(begun: DataFrame, edges: DataFrame, codes: Codes, length: int, seed: int) -> DataFrame:
+    """Each task takes its walks' steps, all of them, along the broadcast codes of the adjacency."""
+    spark = edges.sparkSession
+    shared = spark.sparkContext.broadcast(coded_adjacency(edges, codes))
+    begun = stored(begun.select("walk_id", F.col("node").alias("start")))
+    fields = no_path(edges).alias("path")
+    schema = f"{begun.schema.simpleString()[7:-1]}, path {begun.select(fields).schema['path'].dataType.simpleString()}"
+
+    def run(batches):
+        nodes, begin, held = shared.value
+        for batch in batches:
+            at_once = max(1, STEPS_AT_ONCE // max(length, 1))
+            for some in (batch.slice(k, at_once) for k in range(0, batch.num_rows, at_once)):
+                taken = steps_taken(some["walk_id"].to_numpy(), some["start"], nodes, begin, lambda e: codes.values("v", held["v"][e]), length, seed)
+                edge = taken[taken >= 0]
+                structs = pa.StructArray.from_arrays([codes.values(c, x[edge]) for c, x in held.items()], names=list(held))
+                ends = np.r_[0, np.cumsum((taken >= 0).sum(1))]
+                yield pa.RecordBatch.from_arrays([some["walk_id"], some["start"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], names=["walk_id", "start", "path"])
+
+    tasks = tasks_for(spark, begun.count() * length)
+    return begun.repartition(tasks, "walk_id").mapInArrow(run, schema)
+
+
+def steps_taken(walks: np.ndarray, start: pa.Array, nodes: np.ndarray, begin: np.ndarray, ahead, length: int, seed: int) -> np.ndarray:
+    """[walks, steps] places of the edges that walks take, -1 once they have ended; ``ahead`` has the nodes that edges lead to."""
+    out = np.full((len(walks), length), -1, np.int64)
+    alive, node = np.arange(len(walks)), start
     for step in range(1, length + 1):
-        cur = cur.join(F.broadcast(adj.withColumnRenamed("u", "node")), "node", "left")
-        pick = F.get("out", (draw(seed, F.col("walk_id"), step) % F.size("out")).cast("int"))
-        cur = cur.withColumn("edge", F.when(F.size("out") > 0, pick)).select(
-            "walk_id", "start", F.col("edge.v").alias("node"), F.when(F.col("edge").isNull(), F.col("path")).otherwise(F.concat("path", F.array("edge"))).alias("path")
-        )
-        if step % STEPS_PER_CUT == 0 and step < length:
-            cur = checkpointed(cur)
-    return cur.select("walk_id", "start", "path")
+        known, node = node.is_valid().to_numpy(zero_copy_only=False), node.fill_null(0).to_numpy(zero_copy_only=False)
+        place = np.searchsorted(nodes, node)
+        some = known & (place < len(nodes))
+        some[some] = nodes[place[some]] == node[some]
+        alive, place = alive[some], place[some]
+        if not len(alive):
+            break
+        out[alive, step - 1] = edge = begin[place] + draws_of(seed, walks[alive], step) % (begin[place + 1] - begin[place])
+        node = ahead(edge)
+    return out
 
 
 def _block(k: Column) -> Column:

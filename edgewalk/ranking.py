@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
+def draws_of(seed: int, numbers: np.ndarray, step: int) -> np.ndarray:
+    """``draw(seed, number, step)`` for each number, in a task's Python."""
+    digests = b"".join([hashlib.md5(f"{seed}|{i}|{step}".encode()).digest() for i in numbers.tolist()])
+    return (np.frombuffer(digests, ">u8")[::2] >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
+
+
 def rank_by_draw(df: DataFrame, drawn: str, ties: list[str], name: str = "rank", bucket_bits: int = 14) -> DataFrame:
     """``df`` with the 0-based row number by (drawn, ties).
 

@@ -348,3 +348,36 @@ def test_tasks_are_counted_by_rows(spark, tiny, monkeypatch):
     walks_of = spark.range(50).selectExpr("id as walk_id", "0 as pos", "3L as token_id", "-1 as split_id")
     pads = encode.padded(walks_of, 5).where("pos > 0")
     assert pads.count() == 200 and pads.select(F.spark_partition_id()).distinct().count() == 4
+
+
+def test_broadcast_walks_are_taken_in_one_pass(spark, monkeypatch):
+    """More edges than were broadcast before, in some ranges; no join for a step; paths equal those that are joined step by step."""
+    assert walks.BROADCAST_EDGES >= 27_000_000
+    rows = [(i, 0, 1) for i in range(1, 300)] + [(0, i, 0) for i in range(1, 90)] + [(0, 3, 0)] * 3 + [(i, 1 << 40, i % 2) for i in range(1, 200)] * 2 + [(-5, -6, 0), (-6, -5, 1)]
+    edges = edge_frame(spark, rows).select("u", "v", "label", (F.abs(F.hash("edge_key")) % 4).alias("split_id"))
+    monkeypatch.setattr(walks, "STEPS_AT_ONCE", 90)
+    paths = walks.random_walks(edges, 0, 9, 3, walks_per_node=2)
+    assert "Join" not in paths._jdf.queryExecution().executedPlan().toString()
+    cells = lambda some: sorted((r.walk_id, r.start, tuple(map(tuple, r.path))) for r in some.collect())
+    joined = walks.random_walks(edges, 0, 9, 3, 0, 2)
+    assert cells(paths) == cells(joined) and paths.dtypes == joined.dtypes
+    nodes, begin, held = walks.coded_adjacency(edges, walks.Codes.of(edges))
+    assert nodes.tolist() == sorted({u for u, _, _ in rows}) and begin[-1] == len(rows) and held["label"].dtype == np.uint8
+    monkeypatch.setattr(walks, "BROADCAST_BYTES", 100)
+    assert walks.Codes.of(edges) is None
+
+
+def test_broadcast_walks_end_at_nulls(spark):
+    """A null node ends a walk, and copies get their least split that isn't null."""
+    kind = "u long, v long, label int, split_id int"
+    edges = spark.createDataFrame([(1, 2, 0, None), (1, 2, 0, 3), (1, 2, 0, 2), (2, None, None, None), (None, 1, 1, 0)], kind)
+    found = {(r.start, tuple(map(tuple, r.path))) for r in walks.random_walks(edges, 40, 5, 3).collect()}
+    assert found == {(1, ((2, 0, 2), (None, None, None))), (2, ((None, None, None),)), (None, ())}
+
+
+def test_draws_of_tasks_equal_those_of_columns(spark):
+    from edgewalk import ranking
+
+    numbers = [0, 7, 123456789012, -3]
+    want = [[r[0] for r in spark.createDataFrame([(i,) for i in numbers], "n long").select(ranking.draw(42, F.col("n"), s)).collect()] for s in (1, 83)]
+    assert [ranking.draws_of(42, np.array(numbers), s).tolist() for s in (1, 83)] == want
