@@ -9,6 +9,9 @@ from ..functions.tokens import encode, is_edge, is_node, parse_edge_label, parse
 from ..ids import BAD, IGNORED, MASK_ID, PAD_ID, STAGE_TARGETS, UNK_ID
 from ..ranking import draw, rank_by_draw, tasks_for
 
+#: Most nodes whose ids are broadcast to the steps of walks (about 50 bytes each); steps are shuffled to meet more.
+BROADCAST_NODES = 1 << 21
+
 
 def with_context(tokens: DataFrame) -> DataFrame:
     """``tokens`` with the tokens before and behind in the walk; null at its ends. Tasks that sort them are counted by rows."""
@@ -29,17 +32,28 @@ def encode_walks(tokens: DataFrame, vocab: DataFrame, lookup: DataFrame) -> Data
 def encode_paths(walks: DataFrame, vocab: DataFrame, classes: DataFrame) -> DataFrame:
     """``encode_walks`` of walks whose paths have the split of each edge, clustered by walk.
 
-    A step (an edge and the node it leads to) is one row until its ids are found; only nodes are joined by a shuffle.
-    Steps aren't sorted for that join, and tasks that sort them are counted by rows.
+    A step (an edge and the node it leads to) is one row until its ids are found. Up to ``BROADCAST_NODES`` nodes come to the
+    steps, which stay where their walk is; more are joined by a shuffle, and only nodes are. Steps aren't sorted for that
+    join, and tasks that sort them are counted by rows.
     """
-    tasks = tasks_for(walks.sparkSession, walks.agg(F.sum(F.size("path") + 1)).first()[0] or 0)
     none = F.lit(None).cast("int")
     begun = walks.select("walk_id", F.lit(-1).alias("i"), F.col("start").alias("node"), none.alias("label"), none.alias("split_id"))
     steps = walks.select("walk_id", F.posexplode("path").alias("i", "e")).select("walk_id", "i", F.col("e.v").alias("node"), F.col("e.label").cast("int").alias("label"), F.col("e.split_id").cast("int").alias("split_id"))
     nodes = vocab.where(is_node(F.col("token"))).select(parse_node(F.col("token")).alias("node"), F.col("token_id").alias("node_id"))
     edges = classes.select(parse_edge_label(F.col("token")).cast("int").alias("label"), F.col("token_id").alias("edge_id"))
-    met = begun.unionByName(steps).join(nodes.hint("shuffle_hash"), "node", "left").join(F.broadcast(edges), "label", "left").select("walk_id", "i", "node_id", "edge_id", "split_id")
-    near = met.repartition(tasks, "walk_id").sortWithinPartitions("walk_id", "i")
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    if few:
+        first = F.array(F.struct(F.col("start").alias("v"), none.alias("label"), none.alias("split_id")))
+        path = F.transform("path", lambda e: F.struct(e["v"].alias("v"), e["label"].cast("int").alias("label"), e["split_id"].cast("int").alias("split_id")))
+        whole = walks.select("walk_id", F.posexplode(F.concat(first, path)).alias("k", "e"))
+        reached = whole.select("walk_id", (F.col("k") - 1).alias("i"), F.col("e.v").alias("node"), F.col("e.label").alias("label"), F.col("e.split_id").alias("split_id"))
+    else:
+        reached = begun.unionByName(steps)
+    met = reached.join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), "node", "left").join(F.broadcast(edges), "label", "left").select("walk_id", "i", "node_id", "edge_id", "split_id")
+    near = met
+    if not few:
+        tasks = tasks_for(walks.sparkSession, walks.agg(F.sum(F.size("path") + 1)).first()[0] or 0)
+        near = met.repartition(tasks, "walk_id").sortWithinPartitions("walk_id", "i")
     token = lambda pos, token_id, split: F.struct(pos.alias("pos"), F.coalesce(token_id, F.lit(UNK_ID)).cast("bigint").alias("token_id"), F.coalesce(split, F.lit(BAD)).alias("split_id"))
     both = F.array(token(2 * F.col("i") + 1, F.col("edge_id"), F.col("split_id")), token(2 * F.col("i") + 2, F.col("node_id"), none))
     return near.select("walk_id", F.explode(both).alias("t")).select("walk_id", "t.*").where("pos >= 0")

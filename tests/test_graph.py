@@ -381,3 +381,19 @@ def test_draws_of_tasks_equal_those_of_columns(spark):
     numbers = [0, 7, 123456789012, -3]
     want = [[r[0] for r in spark.createDataFrame([(i,) for i in numbers], "n long").select(ranking.draw(42, F.col("n"), s)).collect()] for s in (1, 83)]
     assert [ranking.draws_of(42, np.array(numbers), s).tolist() for s in (1, 83)] == want
+
+
+def test_steps_stay_where_their_walk_is(spark, monkeypatch):
+    """Few nodes are broadcast and no step is shuffled; more nodes give the same rows by a shuffle."""
+    split = splits.split_edges(edge_frame(spark, [(i % 5, (i * 3) % 7, i % 2) for i in range(60)]), Dataset())
+    paths = checkpointed(walks.random_walks(split, 30, 6, 1))
+    words = checkpointed(vocab.vocabulary(walks.walk_tokens(paths), split))
+    classes = checkpointed(vocab.class_map(words))
+    found = []
+    for most, shuffles in ((1 << 21, 0), (3, 2)):
+        monkeypatch.setattr(encode, "BROADCAST_NODES", most)
+        rows = encode.encode_paths(paths, words, classes)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") >= shuffles and (shuffles > 0 or "Exchange hashpartitioning" not in plan)
+        found.append(sorted(tuple(r) for r in rows.select("walk_id", "pos", "token_id", "split_id").collect()))
+    assert found[0] == found[1]
